@@ -36,7 +36,8 @@ def month_key(date: Column) -> Column:
 
 def month_index(yyyymm: Column) -> Column:
     """Months since year 0, so that distances are plain differences."""
-    return F.floor(yyyymm / 100).cast("int") * 12 + (yyyymm % 100).cast("int") - 1
+    year = F.floor(yyyymm / 100).cast("int")
+    return yyyymm - year * 88 - 1
 
 
 def index_to_key(index: Column) -> Column:

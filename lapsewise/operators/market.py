@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lapsewise.functions.keys import padded_code, product_key
 from lapsewise.spec import RetentionSpec
 
-COLUMNS = ("market", "market_desc", "prod_desc", "product_key")
+# About 100 bytes a row in a broadcast table.
+BROADCAST_ROWS = 1_000_000
 
 
 def _ordinary(products: DataFrame, spec: RetentionSpec) -> DataFrame:
@@ -90,12 +91,17 @@ def check_market(market: DataFrame) -> DataFrame:
     return market
 
 
-def in_market(fills: DataFrame, market: DataFrame) -> DataFrame:
+def in_market(
+    fills: DataFrame, market: DataFrame, market_rows: int | None = None
+) -> DataFrame:
     """Fills of products in any market, once per market.
 
-    The join carries no broadcast hint: the product dimension may be large, so
-    the size statistics (and adaptive execution) decide.
+    ``market_rows`` is a proven upper bound on the market's rows. Up to
+    ``BROADCAST_ROWS`` the market is broadcast and the fact is not shuffled;
+    above it, or without a bound, the join is left to statistics, and adaptive
+    execution may split a hot product.
     """
-    return fills.join(
-        market.select("product_key", "market", "market_desc", "prod_desc"), "product_key"
-    )
+    side = market.select("product_key", "market", "market_desc", "prod_desc")
+    if market_rows is not None and market_rows <= BROADCAST_ROWS:
+        side = F.broadcast(side)
+    return fills.join(side, "product_key")

@@ -23,7 +23,9 @@ from lapsewise.operators import exclusion, fills, market, survival
 from lapsewise.plans.inputs import Inputs
 from lapsewise.spec import RetentionSpec
 
-ENTITY = ("market", "market_desc", "entity_id")
+# The entity comes first: sorts on these keys then mostly compare one number.
+ENTITY = ("entity_id", "market", "market_desc")
+OTHER_CHAIN = "other"
 TRACK = (*ENTITY, "cohort_chain", "active", "busy")
 
 
@@ -53,10 +55,14 @@ def month_activity(market_fills: DataFrame, spec: RetentionSpec) -> DataFrame:
     """Fills per market, entity, month and kind of outlet.
 
     ``market_fills`` are trusted maintenance fills, retail or mail, with their
-    market. ``month_no`` counts months from the first lookback month.
+    market. ``month_no`` counts months from the first lookback month. Chains that
+    no rule names are counted as one.
     """
+    chain = F.col("chain")
+    named = chain.isin(*spec.cohort_chains, spec.sister_chain)
     return (
         fills.with_weight(market_fills, spec)
+        .withColumn("chain", F.when(named, chain).when(chain.isNotNull(), OTHER_CHAIN))
         .withColumn("month_no", month_index(F.col("fill_yyyymm")) - _base(spec))
         .withColumn(
             "own_mail", F.coalesce(F.col("supplier_id") == spec.own_mail_supplier, F.lit(False))
@@ -71,7 +77,7 @@ def month_activity(market_fills: DataFrame, spec: RetentionSpec) -> DataFrame:
 
 
 def _tracks(activity: DataFrame, spec: RetentionSpec) -> DataFrame:
-    """Each activity row once per cohort chain its entity uses.
+    """Each activity row once per cohort chain its entity may be a member at.
 
     ``active`` has a bit per month with a cohort fill at the chain, ``busy`` a
     bit per month with at least two.
@@ -80,13 +86,12 @@ def _tracks(activity: DataFrame, spec: RetentionSpec) -> DataFrame:
     by_entity = Window.partitionBy(*ENTITY)
     bit = _bit(F.col("month_no"))
     rows = activity.withColumn("n_month", F.sum("n_fills").over(by_month))
-    tracks = []
+    masks, tracks = {}, []
     for n, chain in enumerate(spec.cohort_chains):
         own = (F.col("chain") == chain) & F.col("channel").isin(*spec.cohort_channels)
         busy = own & (F.col("n_month") >= spec.min_fills)
-        rows = rows.withColumn(
-            f"active_{n}", F.bit_or(F.when(own, bit).otherwise(0)).over(by_entity)
-        ).withColumn(f"busy_{n}", F.bit_or(F.when(busy, bit).otherwise(0)).over(by_entity))
+        masks[f"active_{n}"] = F.bit_or(F.when(own, bit).otherwise(0)).over(by_entity)
+        masks[f"busy_{n}"] = F.bit_or(F.when(busy, bit).otherwise(0)).over(by_entity)
         tracks.append(
             F.struct(
                 F.lit(chain).alias("cohort_chain"),
@@ -94,11 +99,16 @@ def _tracks(activity: DataFrame, spec: RetentionSpec) -> DataFrame:
                 F.col(f"busy_{n}").alias("busy"),
             )
         )
-    cohort_months = ((1 << spec.cohort_count) - 1) << spec.lookback_months
+    cohort_months = F.lit(_span_bits(spec.lookback_months, spec.cohort_count))
+    active, busy = F.col("active"), F.col("busy")
     return (
-        rows.withColumn("track", F.explode(F.array(*tracks)))
+        rows.withColumns(masks)
+        .withColumn("track", F.explode(F.array(*tracks)))
         .select("*", "track.*")
-        .filter(F.col("active").bitwiseAND(F.lit(cohort_months).cast("bigint")) != 0)
+        .filter(
+            (active.bitwiseAND(cohort_months) != 0)
+            & ((F.bit_count(active) >= spec.min_fills) | (busy != 0))
+        )
         .select(
             *TRACK, "month_no", "chain", "channel", "outlet_class", "own_mail", "weight",
             "last_date",
@@ -106,12 +116,17 @@ def _tracks(activity: DataFrame, spec: RetentionSpec) -> DataFrame:
     )
 
 
+def _span_bits(first: int, count: int) -> int:
+    return ((1 << count) - 1) << first
+
+
 def _gap_starts(active: Column, spec: RetentionSpec) -> Column:
-    """Bits of the months followed by ``gap_months - 1`` months without a fill."""
-    starts = active
+    """Bits of the months that begin a gap, as far as a cohort can reach."""
+    reach = _span_bits(spec.lookback_months, spec.cohort_count + spec.last_lost_month - 1)
+    followed = F.lit(0).cast("bigint")
     for n in range(1, spec.gap_months):
-        starts = starts.bitwiseAND(F.bitwise_not(_down(active, F.lit(n))))
-    return starts
+        followed = followed.bitwiseOR(_down(active, F.lit(n)))
+    return active.bitwiseAND(F.bitwise_not(followed)).bitwiseAND(F.lit(reach))
 
 
 def _lowest(bits: Column) -> Column:
@@ -122,7 +137,9 @@ def _lowest(bits: Column) -> Column:
 def _outcomes(tracks: DataFrame, spec: RetentionSpec) -> DataFrame:
     """One row per (market, entity, chain), with what followed each of its losses.
 
-    ``outcomes`` holds at most one entry per ``gap_months`` of the study.
+    Of a chain's rows only those that follow a loss matter, and one to stand for
+    the chain itself: its first month. ``outcomes`` maps the month of a loss to
+    its outcome; it has at most one entry per ``gap_months`` of the study.
     """
     width = spec.gap_months - 1
     month = F.col("month_no")
@@ -134,8 +151,11 @@ def _outcomes(tracks: DataFrame, spec: RetentionSpec) -> DataFrame:
         F.col("lost_dest"), F.col("chain"), F.col("outlet_class"), spec
     )
     followed = F.col("loss_no").isNotNull()
+    own = (F.col("chain") == F.col("cohort_chain")) & F.col("channel").isin(*spec.cohort_channels)
+    stands = own & (month == _lowest(F.col("active")))
     per_class = (
         tracks.withColumn("loss_no", loss_no)
+        .filter(followed | stands)
         .withColumn("lost_dest", F.when(followed, dest))
         .withColumn("lost_dest_detail", F.when(followed, detail))
         .groupBy(*TRACK, "loss_no", "lost_dest", "lost_dest_detail")
@@ -163,13 +183,14 @@ def _outcomes(tracks: DataFrame, spec: RetentionSpec) -> DataFrame:
     )
     entry = F.struct(
         "loss_no",
-        F.col("best.lost_dest").alias("lost_dest"),
-        F.col("best.lost_dest_detail").alias("lost_dest_detail"),
-        "own_mail",
-    )
-    return per_loss.groupBy(*TRACK).agg(
-        F.collect_list(F.when(F.col("loss_no").isNotNull(), entry)).alias("outcomes")
+        F.struct(
+            F.col("best.lost_dest").alias("lost_dest"),
+            F.col("best.lost_dest_detail").alias("lost_dest_detail"),
+            "own_mail",
+        ),
     )
+    listed = F.collect_list(F.when(F.col("loss_no").isNotNull(), entry))
+    return per_loss.groupBy(*TRACK).agg(F.map_from_entries(listed).alias("outcomes"))
 
 
 def _members(outcomes: DataFrame, spec: RetentionSpec) -> DataFrame:
@@ -194,7 +215,7 @@ def _members(outcomes: DataFrame, spec: RetentionSpec) -> DataFrame:
         .filter(is_member)
         .withColumn("losses", losses)
         .withColumn("loss_no", F.when(F.col("losses") != 0, no + _lowest(F.col("losses"))))
-        .withColumn("found", F.when(lost, F.get(F.filter("outcomes", lambda o: o.loss_no == F.col("loss_no")), F.lit(0))))
+        .withColumn("found", F.col("outcomes")[F.col("loss_no")])
         .select(
             "market",
             "market_desc",
@@ -232,7 +253,7 @@ def member_outcomes(inputs: Inputs, spec: RetentionSpec, exclude: bool = True) -
     products = market.market_definition(
         inputs.products, inputs.bridge, inputs.market_codes, s
     )
-    activity = month_activity(market.in_market(raw, products), s)
+    activity = month_activity(market.in_market(raw, products, inputs.market_rows), s)
     outcomes = _outcomes(_tracks(activity.repartition("market", "entity_id"), s), s)
     if exclude:
         users = exclusion.code_users(

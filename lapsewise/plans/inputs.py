@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,15 @@ class Inputs:
     market_codes: DataFrame
     exclusion_codes: DataFrame
 
+    @cached_property
+    def market_rows(self) -> int:
+        """Upper bound on the market's rows, from the size of the dimension.
+
+        Each product gives at most one row by attribute and one by code list.
+        The count reads Parquet footers only.
+        """
+        return 2 * self.products.count()
+
 
 def star_inputs(spark: SparkSession, sf_dir: str, spec: RetentionSpec = star.STAR_SPEC) -> Inputs:
     return Inputs(

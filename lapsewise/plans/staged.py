@@ -43,6 +43,9 @@ class StagedStudy:
     def _keep(self, name: str, df: DataFrame) -> DataFrame:
         return write_stage(df, f"{self.store}/{name}") if self.store else df
 
+    def _in_market(self, rows: DataFrame) -> DataFrame:
+        return market.in_market(rows, self.market, self.inputs.market_rows)
+
     @stage
     def market(self) -> DataFrame:
         i = self.inputs
@@ -53,7 +56,7 @@ class StagedStudy:
         """Qualified fills of any market, from the lookback to the last span month."""
         s = self.spec
         rows = fills.qualified_fills(self.inputs.fills, s, s.lookback_first, s.fills_last)
-        return market.in_market(fills.with_weight(rows, s), self.market)
+        return self._in_market(fills.with_weight(rows, s))
 
     @stage
     def members(self) -> DataFrame:
@@ -99,7 +102,7 @@ class StagedStudy:
 
     @stage
     def followup(self) -> DataFrame:
-        raw = market.in_market(fills.followup_fills(self.inputs.fills, self.spec), self.market)
+        raw = self._in_market(fills.followup_fills(self.inputs.fills, self.spec))
         return destination.lost_window_fills(self.lost, raw, self.spec)
 
     @stage
