@@ -42,14 +42,17 @@ def cohort_fills(market_fills: DataFrame, members: DataFrame, spec: RetentionSpe
     """Each member's fills at its own chain, from the cohort month to the span's end.
 
     A fill is repeated for every cohort it follows (at most one per month of the
-    span). Inner join: adaptive execution may split a skewed side.
+    span). Inner join: adaptive execution may split a skewed side. Members that
+    already have a status hand it on.
     """
+    status = [c for c in members.columns if c == "status"]
     keys = members.select(
         "market",
         F.col("cohort_chain").alias("chain"),
         "entity_id",
         "cohort_yyyymm",
         "cohort_month",
+        *status,
     )
     distance = months_apart(F.col("fill_month"), F.col("cohort_month"))
     return (

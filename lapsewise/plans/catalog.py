@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lapsewise import spec as S
 from lapsewise.functions import keys, labels, months
-from lapsewise.operators import destination, fills, market, qc, survival
+from lapsewise.operators import destination, fills, gaps, market, qc, survival
 from lapsewise.plans import fused
 from lapsewise.plans.inputs import star_inputs
 from lapsewise.plans.staged import LeanStudy, StagedStudy
@@ -187,7 +187,7 @@ def entity_status(spark, sf_dir):
 
 @query
 def status_fills(spark, sf_dir):
-    return _steps(spark, sf_dir).status_fills.select(
+    return _lean(spark, sf_dir).status_fills.select(
         *CLAIM, "market", "cohort_chain", "cohort_yyyymm", "entity_id", "status", "fill_date",
         "fill_weight",
     )
@@ -195,7 +195,7 @@ def status_fills(spark, sf_dir):
 
 @query
 def fills_by_month(spark, sf_dir):
-    return _steps(spark, sf_dir).monthly
+    return _lean(spark, sf_dir).monthly
 
 
 # Gaps and lost month
@@ -203,17 +203,18 @@ def fills_by_month(spark, sf_dir):
 
 @query
 def entity_gaps(spark, sf_dir):
-    return _steps(spark, sf_dir).gaps
+    return _lean(spark, sf_dir).gaps
 
 
 @query
 def first_long_gap(spark, sf_dir):
-    return _steps(spark, sf_dir).first_gap
+    return _lean(spark, sf_dir).first_gap
 
 
 @query
 def lost_month(spark, sf_dir):
-    return _steps(spark, sf_dir).lost
+    study = _lean(spark, sf_dir)
+    return gaps.lost_month(study.status, study.first_gap, SPEC)
 
 
 @query

@@ -163,6 +163,10 @@ class LeanStudy(StagedStudy):
         month = month_start(F.col("cohort_yyyymm")).alias("cohort_month")
         return self.lifecycle.select("*", month).select(*cohort.MEMBER_WIDE, "status")
 
+    @stage
+    def status_fills(self) -> DataFrame:
+        return cohort.cohort_fills(self.qualified, self.status, self.spec)
+
     @stage
     def lost(self) -> DataFrame:
         return self.lifecycle.select(

@@ -24,11 +24,11 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only on a local master."""
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    found = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
+    if found:
+        return found
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set(CHECKPOINT_CONF, made)
-    return made
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    return context.getCheckpointDir()

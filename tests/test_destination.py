@@ -1,0 +1,144 @@
+"""Follow-up fills, destination and outlet class, step by step and fused."""
+
+import datetime as dt
+
+import pytest
+
+from conftest import fill, make_inputs, rows
+from lapsewise.operators import qc
+from lapsewise.plans import fused
+from lapsewise.plans.staged import StagedStudy
+
+BASE = [(201501, {}), (201501, {})]
+RETAIL = {"chain": "101"}
+MAIL = {"chain": "101", "channel": "MAIL"}
+
+# name: (follow-up fills, destination, detail)
+CASES = {
+    "no fill": ([], "Stopped Treatment", "Off Grid"),
+    "mail at any chain": ([(201502, MAIL)], "Mail", "Loss_Chain"),
+    "mail at the own chain": ([(201502, {"channel": "MAIL"})], "Mail", "Loss_WMT"),
+    "other own chain": ([(201502, {"chain": "955"})], "Competitor", "Loss_WMT"),
+    "sister chain": ([(201502, {"chain": "033"})], "Competitor", "Loss_Sam"),
+    "unknown chain": ([(201502, {"chain": None})], "Stopped Treatment", "Loss_Chain"),
+    "unknown chain and class": (
+        [(201502, {"chain": None, "outlet_class": None})],
+        "Stopped Treatment",
+        "Off Grid",
+    ),
+    "class unknown": ([(201502, {**RETAIL, "outlet_class": None})], "Competitor", "ATTENTION"),
+    "class of mail": ([(201502, {**RETAIL, "outlet_class": "OTHER"})], "Competitor", "Loss_Mail"),
+    "weight decides": (
+        [(201502, RETAIL), (201503, RETAIL), (201502, {**MAIL, "days_supply": 90})],
+        "Mail",
+        "Loss_Chain",
+    ),
+    "unknown days weigh most": (
+        [(201502, RETAIL), (201503, RETAIL), (201502, {**MAIL, "days_supply": None})],
+        "Mail",
+        "Loss_Chain",
+    ),
+    "later date on a tie": ([(201503, RETAIL), (201504, MAIL)], "Mail", "Loss_Chain"),
+    "name on a full tie": ([(201503, RETAIL), (201503, MAIL)], "Competitor", "Loss_Chain"),
+    "class by weight": (
+        [(201502, {**RETAIL, "days_supply": 90}), (201503, {"chain": "033"})],
+        "Competitor",
+        "Loss_Chain",
+    ),
+    "class by date on a tie": (
+        [(201502, RETAIL), (201503, {"chain": "033"})],
+        "Competitor",
+        "Loss_Sam",
+    ),
+    "class by name on a full tie": (
+        [(201502, {**RETAIL, "outlet_class": "OTHER"}), (201502, {"chain": "033"})],
+        "Competitor",
+        "Loss_Mail",
+    ),
+    "class of another destination is ignored": (
+        [(201502, {**MAIL, "outlet_class": "FOOD", "days_supply": 90}), (201504, RETAIL)],
+        "Mail",
+        "Loss_Food",
+    ),
+    "end of the gap is outside": (
+        [(201508, RETAIL)],
+        "Stopped Treatment",
+        "Off Grid",
+    ),
+    "last month of the gap is inside": ([(201507, RETAIL)], "Competitor", "Loss_Chain"),
+    "month of the last fill is outside": ([(201501, RETAIL)], "Stopped Treatment", "Off Grid"),
+    "other market": ([(201502, {**RETAIL, "product_key": 2001})], "Stopped Treatment", "Off Grid"),
+    "excluded supplier": ([(201502, {**RETAIL, "supplier_id": 725})], "Stopped Treatment", "Off Grid"),
+    "not maintenance": ([(201502, {**RETAIL, "is_maintenance": 0})], "Stopped Treatment", "Off Grid"),
+    "other channel": ([(201502, {**RETAIL, "channel": "CLINIC"})], "Stopped Treatment", "Off Grid"),
+}
+
+
+def case_fills():
+    return [
+        fill(n, month, **change)
+        for n, (followup, _, _) in enumerate(CASES.values())
+        for month, change in BASE + followup
+    ]
+
+
+@pytest.fixture(scope="module")
+def results(spark):
+    from lapsewise.spec import RetentionSpec
+
+    inputs = make_inputs(spark, case_fills())
+    study = StagedStudy(inputs, RetentionSpec())
+    columns = ("entity_id", "lost_dest", "lost_dest_detail")
+    only = "cohort_chain = '032' and market = '31100'"
+    return {
+        "steps": rows(study.outlet_class.filter(only), *columns),
+        "fused": rows(
+            fused.member_outcomes(inputs, RetentionSpec()).filter(only), *columns
+        ),
+    }
+
+
+@pytest.mark.parametrize("form", ["steps", "fused"])
+@pytest.mark.parametrize("case", CASES)
+def test_case(results, form, case):
+    n = list(CASES).index(case)
+    _, dest, detail = CASES[case]
+    assert [r[1:] for r in results[form] if r[0] == n] == [(dest, detail)]
+
+
+def test_window_is_open_at_both_ends(spark, spec):
+    fills = [fill(1, 201501), fill(1, 201501)] + [
+        fill(1, month, **RETAIL) for month in (201501, 201507, 201508)
+    ]
+    study = StagedStudy(make_inputs(spark, fills), spec)
+    assert rows(study.followup, "fill_yyyymm", "lost_dest") == [(201507, "Competitor")]
+    assert qc.window_breach(study.followup).first()[0] == 0
+    assert qc.window_breaches(study.followup).count() == 0
+
+
+def test_member_without_followup_keeps_one_row(spark, spec):
+    study = StagedStudy(make_inputs(spark, [fill(1), fill(1)]), spec)
+    assert rows(study.followup, "fill_yyyymm", "chain", "fill_weight", "lost_dest") == [
+        (None, None, 3, "Stopped Treatment")
+    ]
+
+
+def test_latest_of_several_cohorts_share_a_loss(spark, spec):
+    fills = [fill(1, 201501), fill(1, 201502), fill(1, 201502), fill(1, 201504, **MAIL)]
+    inputs = make_inputs(spark, fills)
+    want = [(201501, 2, "Mail"), (201502, 1, "Mail")]
+    columns = ("cohort_yyyymm", "lost_month", "lost_dest")
+    assert rows(StagedStudy(inputs, spec).destination, *columns) == want
+    assert rows(fused.member_outcomes(inputs, spec), *columns) == want
+
+
+def test_date_is_the_latest_fill_of_a_label(spark, spec):
+    fills = [
+        fill(1, 201501),
+        fill(1, 201501),
+        fill(1, 201502, day=3, **RETAIL),
+        fill(1, 201502, day=4, **MAIL),
+    ]
+    study = StagedStudy(make_inputs(spark, fills), spec)
+    assert rows(study.destination, "lost_dest") == [("Mail",)]
+    assert study.followup.agg({"fill_date": "max"}).first()[0] == dt.date(2015, 2, 4)

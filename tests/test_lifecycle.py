@@ -1,0 +1,148 @@
+"""Boundary cases of membership, status and lost month, in all three forms."""
+
+import pytest
+
+from conftest import fill, make_inputs, months, rows
+from lapsewise.plans import fused
+from lapsewise.plans.staged import LeanStudy, StagedStudy
+
+CASES = {
+    # name: (fill months or fills, {cohort month: (status, lost month)})
+    "one fill": ([201501], {}),
+    "two fills on one day": ([201501, 201501], {201501: ("NEW", 1)}),
+    "gap of six": ([201501, 201507], {201501: ("NEW", 7)}),
+    "gap of seven": ([201501, 201508], {201501: ("NEW", 1)}),
+    "every month of the span": (
+        months(201501, 18),
+        {
+            m: ("NEW" if n == 0 else "CONTINUING", 13 if n < 6 else 18 - n)
+            for n, m in enumerate(months(201501, 12))
+        },
+    ),
+    "fill after the span": ([201501, 201607], {}),
+    "lookback of twelve": (
+        [201401, 201501, 201502],
+        {201501: ("CONTINUING", 2)},
+    ),
+    "lookback of thirteen": ([201312, 201501, 201502], {201501: ("NEW", 2)}),
+    "second cohort": (
+        [201501, 201502, 201503],
+        {201501: ("NEW", 3), 201502: ("CONTINUING", 2)},
+    ),
+    "not in the cohort year": ([201412, 201601, 201602], {}),
+}
+
+
+def forms(spark, spec, fills):
+    inputs = make_inputs(spark, fills)
+    yield "steps", StagedStudy(inputs, spec).lost
+    yield "windows", LeanStudy(inputs, spec).lost
+    yield "fused", fused.member_outcomes(inputs, spec, exclude=False).withColumnRenamed(
+        "lost_month_before", "lost"
+    ).drop("lost_month").withColumnRenamed("lost", "lost_month")
+
+
+@pytest.fixture(scope="module")
+def results(spark):
+    """All cases in one table, one entity each."""
+    from lapsewise.spec import RetentionSpec
+
+    fills = [
+        fill(n, month)
+        for n, (fill_months, _) in enumerate(CASES.values())
+        for month in fill_months
+    ]
+    return {
+        form: rows(df, "entity_id", "cohort_yyyymm", "status", "lost_month")
+        for form, df in forms(spark, RetentionSpec(), fills)
+    }
+
+
+@pytest.mark.parametrize("form", ["steps", "windows", "fused"])
+@pytest.mark.parametrize("case", CASES)
+def test_case(results, form, case):
+    n = list(CASES).index(case)
+    got = {r[1]: (r[2], r[3]) for r in results[form] if r[0] == n}
+    assert got == CASES[case][1]
+
+
+def test_last_fill_at_eleven_and_twelve_months(spark, spec):
+    fills = [fill(1, m) for m in months(201501, 12)] + [fill(2, m) for m in months(201501, 13)]
+    for _, df in forms(spark, spec, fills):
+        first = df.filter("cohort_yyyymm = 201501")
+        assert rows(first, "entity_id", "lost_month") == [(1, 12), (2, 13)]
+
+
+def test_other_chain_is_no_lookback(spark, spec):
+    fills = [fill(1, 201412, chain="955"), fill(1, 201501), fill(1, 201502)]
+    for _, df in forms(spark, spec, fills):
+        assert rows(df, "cohort_chain", "cohort_yyyymm", "status") == [("032", 201501, "NEW")]
+
+
+def test_gap_keys(spark, spec):
+    fills = [fill(1, 201506), fill(1, 201507)]
+    for _, df in forms(spark, spec, fills):
+        assert rows(df, "before_gap_start", "after_gap_end", "lost_month") == [
+            (201507, 201602, 2)
+        ]
+
+
+@pytest.mark.parametrize("column", ["is_bridge_error", "supplier_id", "state"])
+def test_null_in_a_trust_column_drops_the_fill(spark, spec, column):
+    fills = [fill(1, 201501), fill(1, 201502, **{column: None})]
+    for _, df in forms(spark, spec, fills):
+        assert rows(df, "entity_id") == []
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"is_bridge_error": 1},
+        {"supplier_id": 725},
+        {"state": "PR"},
+        {"is_maintenance": 0},
+        {"is_maintenance": None},
+        {"channel": "MAIL"},
+        {"chain": "101"},
+        {"chain": None},
+        {"product_key": 3001},
+    ],
+)
+def test_unqualified_fill_does_not_count(spark, spec, change):
+    fills = [fill(1, 201501), fill(1, 201501, **change)]
+    for _, df in forms(spark, spec, fills):
+        assert rows(df, "entity_id") == []
+
+
+def test_two_classes_in_one_month_are_two_fills(spark, spec):
+    fills = [fill(1, 201501, outlet_class="CHAIN"), fill(1, 201501, outlet_class=None)]
+    for _, df in forms(spark, spec, fills):
+        assert rows(df, "cohort_yyyymm", "lost_month") == [(201501, 1)]
+
+
+def test_fused_form_refuses_what_does_not_fit(spark):
+    from dataclasses import replace
+
+    from lapsewise.spec import RetentionSpec
+
+    assert fused.fits(RetentionSpec())
+    for bad in ({"span_months": 60}, {"min_fills": 3}):
+        spec = replace(RetentionSpec(), **bad)
+        assert not fused.fits(spec)
+        with pytest.raises(ValueError):
+            fused.member_outcomes(make_inputs(spark, [fill()]), spec)
+
+
+def test_windows_take_other_limits(spark):
+    from dataclasses import replace
+
+    from lapsewise.spec import RetentionSpec
+
+    spec = replace(RetentionSpec(), span_months=24, gap_months=4, min_fills=3)
+    fills = [fill(1, m) for m in (201501, 201502, 201506, 201610)] + [
+        fill(2, m) for m in (201503, 201504)
+    ]
+    inputs = make_inputs(spark, fills)
+    steps = rows(StagedStudy(inputs, spec).lost, "entity_id", "cohort_yyyymm", "lost_month")
+    lean = rows(LeanStudy(inputs, spec).lost, "entity_id", "cohort_yyyymm", "lost_month")
+    assert steps == lean == [(1, 201501, 2), (1, 201502, 1)]
