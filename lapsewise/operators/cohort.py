@@ -38,12 +38,22 @@ def cohort_members(market_fills: DataFrame, spec: RetentionSpec) -> DataFrame:
     )
 
 
+def month_grain(market_fills: DataFrame) -> DataFrame:
+    """Qualified fills counted per market, chain, entity and month.
+
+    A hot entity shrinks to a row per month on the map side, before any shuffle.
+    """
+    return market_fills.groupBy(
+        "market", "market_desc", "chain", "entity_id", "fill_month", "fill_yyyymm"
+    ).agg(F.count("*").alias("n_fills"), F.sum("fill_weight").alias("weighted_fills"))
+
+
 def cohort_fills(market_fills: DataFrame, members: DataFrame, spec: RetentionSpec) -> DataFrame:
     """Each member's fills at its own chain, from the cohort month to the span's end.
 
     A fill is repeated for every cohort it follows (at most one per month of the
-    span). Inner join: adaptive execution may split a skewed side. Members that
-    already have a status hand it on.
+    span). Takes single fills or month-grain counts alike; what goes on to count
+    fills should pass the latter. Members that have a status hand it on.
     """
     status = [c for c in members.columns if c == "status"]
     keys = members.select(
@@ -62,58 +72,60 @@ def cohort_fills(market_fills: DataFrame, members: DataFrame, spec: RetentionSpe
     )
 
 
-def period_dim(members: DataFrame, spec: RetentionSpec) -> DataFrame:
-    """Per cohort month in the data: its calendar bounds and its two horizons.
+def period_dim(market_fills: DataFrame, spec: RetentionSpec) -> DataFrame:
+    """Per cohort month in the data: dates seen, calendar bounds, and horizons.
 
-    Bounds come from the calendar, not from the dates seen, so a month without a
-    fill on its first day keeps its cohort.
+    Horizons come from the calendar, not from the dates seen, so a month without
+    a fill on its first day keeps its cohort.
     """
     begin = F.col("cohort_begin")
-    months = members.select("cohort_yyyymm").distinct()
-    return months.select(
-        "cohort_yyyymm", month_start(F.col("cohort_yyyymm")).alias("cohort_begin")
-    ).select(
-        "cohort_yyyymm",
-        "cohort_begin",
-        F.last_day(begin).alias("cohort_end"),
-        F.add_months(begin, -spec.lookback_months).alias("lookback_begin"),
-        F.date_sub(begin, 1).alias("lookback_end"),
-        F.last_day(F.add_months(begin, spec.span_months - 1)).alias("lookforward_end"),
+    return (
+        market_fills.filter(
+            F.col("fill_yyyymm").between(spec.cohort_first, spec.cohort_last)
+        )
+        .groupBy(F.col("fill_yyyymm").alias("cohort_yyyymm"))
+        .agg(F.min("fill_date").alias("first_fill"), F.max("fill_date").alias("last_fill"))
+        .withColumn("cohort_begin", month_start(F.col("cohort_yyyymm")))
+        .withColumns(
+            {
+                "cohort_end": F.last_day(begin),
+                "lookback_begin": F.add_months(begin, -spec.lookback_months),
+                "lookback_end": F.date_sub(begin, 1),
+                "lookforward_end": F.last_day(F.add_months(begin, spec.span_months - 1)),
+            }
+        )
     )
 
 
 def cohort_min_fills(
-    members: DataFrame, fills_of_cohort: DataFrame, periods: DataFrame, spec: RetentionSpec
+    members: DataFrame, monthly: DataFrame, periods: DataFrame, spec: RetentionSpec
 ) -> DataFrame:
     """Members with enough fills in the span; two on one day are two.
 
-    ``periods`` has one row per cohort month, at most ``spec.cohort_count``,
-    which bounds the broadcast.
+    ``monthly`` is month-grain. ``periods`` has one row per cohort month, at most
+    ``spec.cohort_count``, which bounds the broadcast. Its dates are calendar
+    months, so a fill lies within them if its month does.
     """
     bounds = F.broadcast(periods.select("cohort_yyyymm", "cohort_begin", "lookforward_end"))
     active = (
-        fills_of_cohort.join(bounds, "cohort_yyyymm")
-        .filter(F.col("fill_date").between(F.col("cohort_begin"), F.col("lookforward_end")))
+        cohort_fills(monthly, members, spec)
+        .join(bounds, "cohort_yyyymm")
+        .filter(F.col("fill_month").between(F.col("cohort_begin"), F.col("lookforward_end")))
         .groupBy(*MEMBER)
-        .agg(F.count("*").alias("n_fills"))
+        .agg(F.sum("n_fills").alias("n_fills"))
         .filter(F.col("n_fills") >= spec.min_fills)
     )
     return members.join(active, list(MEMBER), "left_semi")
 
 
-def entity_status(members: DataFrame, market_fills: DataFrame, spec: RetentionSpec) -> DataFrame:
+def entity_status(members: DataFrame, monthly: DataFrame, spec: RetentionSpec) -> DataFrame:
     """NEW, or CONTINUING if the entity bought at this chain in the lookback.
 
-    ``market_fills`` are qualified fills reaching back ``lookback_months``. They
-    shrink to one row per month before the join, so each key stays small.
+    ``monthly`` is month-grain and reaches back ``lookback_months``.
     """
-    earlier = (
-        market_fills.filter(
-            F.col("fill_yyyymm").between(spec.lookback_first, spec.lookback_last)
-        )
-        .select("market", F.col("chain").alias("cohort_chain"), "entity_id", "fill_yyyymm")
-        .distinct()
-    )
+    earlier = monthly.filter(
+        F.col("fill_yyyymm").between(spec.lookback_first, spec.lookback_last)
+    ).select("market", F.col("chain").alias("cohort_chain"), "entity_id", "fill_yyyymm")
     back = month_index(F.col("cohort_yyyymm")) - month_index(F.col("fill_yyyymm"))
     seen = (
         members.select(*MEMBER)
@@ -133,5 +145,3 @@ def entity_status(members: DataFrame, market_fills: DataFrame, spec: RetentionSp
 def status_fills(fills_of_cohort: DataFrame, members: DataFrame) -> DataFrame:
     """Cohort fills of the members that remain, with their status."""
     return fills_of_cohort.join(members.select(*MEMBER, "status"), list(MEMBER))
-
-

@@ -2,37 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsewise.functions import labels
 from lapsewise.operators.cohort import MEMBER, MEMBER_WIDE
-from lapsewise.operators.fills import with_weight
 from lapsewise.spec import RetentionSpec
 
 LOSS = (*MEMBER_WIDE, "status", "last_fill_month", "before_gap_start", "after_gap_end", "lost_month")
 FILL_COLUMNS = (
-    "fill_yyyymm", "chain", "channel", "outlet_class", "fill_date", "days_supply",
-    "supplier_id", "product_key", "product_code", "state",
+    "fill_yyyymm", "chain", "channel", "outlet_class", "fill_date", "supplier_id",
+    "product_key", "fill_weight",
 )
 
 
+def _losses(lost: DataFrame, spec: RetentionSpec) -> DataFrame:
+    return lost.filter(F.col("lost_month") < spec.never_lost).select(*LOSS)
+
+
+def _inside(month: str) -> Column:
+    """Both ends of the gap are outside."""
+    return (F.col("before_gap_start") < F.col(month)) & (F.col(month) < F.col("after_gap_end"))
+
+
+def _labelled(rows: DataFrame, spec: RetentionSpec) -> DataFrame:
+    """With the destination; a loss without a fill weighs as a long fill."""
+    return rows.withColumn(
+        "lost_dest",
+        labels.destination(F.col("channel"), F.col("chain"), F.col("cohort_chain"), spec),
+    ).withColumn("fill_weight", F.coalesce("fill_weight", F.lit(spec.long_fill_weight)))
+
+
 def lost_window_fills(lost: DataFrame, market_fills: DataFrame, spec: RetentionSpec) -> DataFrame:
     """Fills of lost members inside their gap, at any chain; at least one row each.
 
-    ``market_fills`` are follow-up fills with their market. Both ends of the gap
-    are outside. A member without such a fill keeps one row with NULL fill
-    columns. This is a left join written in two parts: adaptive execution can
-    split a hot entity's fills in the inner join but not on the right side of an
-    outer one, and the unmatched part needs only the distinct fill months.
+    ``market_fills`` are weighted follow-up fills with their market. A member
+    without such a fill keeps one row with NULL fill columns. This is a left join
+    written in two parts: adaptive execution can split a hot entity's fills in
+    the inner join but not on the right side of an outer one, and the unmatched
+    part needs only the distinct fill months.
     """
-    losses = lost.filter(F.col("lost_month") < spec.never_lost).select(*LOSS)
-    inside = (F.col("before_gap_start") < F.col("fill_yyyymm")) & (
-        F.col("fill_yyyymm") < F.col("after_gap_end")
-    )
+    losses = _losses(lost, spec)
     matched = losses.join(
         market_fills.select("market", "entity_id", *FILL_COLUMNS), ["market", "entity_id"]
-    ).filter(inside)
+    ).filter(_inside("fill_yyyymm"))
 
     months = market_fills.select(
         F.col("market").alias("m_market"),
@@ -43,14 +56,43 @@ def lost_window_fills(lost: DataFrame, market_fills: DataFrame, spec: RetentionS
         months,
         (F.col("market") == F.col("m_market"))
         & (F.col("entity_id") == F.col("m_entity"))
-        & (F.col("before_gap_start") < F.col("m_yyyymm"))
-        & (F.col("m_yyyymm") < F.col("after_gap_end")),
+        & _inside("m_yyyymm"),
         "left_anti",
     )
-    rows = matched.unionByName(none_inside, allowMissingColumns=True)
-    return with_weight(rows, spec).withColumn(
-        "lost_dest",
-        labels.destination(F.col("channel"), F.col("chain"), F.col("cohort_chain"), spec),
+    return _labelled(matched.unionByName(none_inside, allowMissingColumns=True), spec)
+
+
+def fill_kinds(market_fills: DataFrame, spec: RetentionSpec) -> DataFrame:
+    """Follow-up fills summed per entity, month and kind of outlet.
+
+    All that ranks destinations and classes adds up, so this loses nothing they
+    need, and no entity keeps more than a few rows per month. Of the suppliers
+    only the own mail house is kept apart.
+    """
+    own_mail = F.when(
+        F.col("supplier_id") == spec.own_mail_supplier, F.col("supplier_id")
+    ).alias("supplier_id")
+    return market_fills.groupBy(
+        "market", "entity_id", "fill_yyyymm", "chain", "channel", "outlet_class", own_mail
+    ).agg(
+        F.count("*").alias("n_fills"),
+        F.sum("fill_weight").alias("fill_weight"),
+        F.max("fill_date").alias("fill_date"),
+    )
+
+
+def lost_window_kinds(lost: DataFrame, kinds: DataFrame, spec: RetentionSpec) -> DataFrame:
+    """As ``lost_window_fills``, from fill kinds; a plain left join, with no hot key."""
+    right = kinds.withColumnsRenamed({"market": "k_market", "entity_id": "k_entity"})
+    joined = _losses(lost, spec).join(
+        right,
+        (F.col("market") == F.col("k_market"))
+        & (F.col("entity_id") == F.col("k_entity"))
+        & _inside("fill_yyyymm"),
+        "left",
+    )
+    return _labelled(joined.drop("k_market", "k_entity"), spec).withColumn(
+        "n_fills", F.coalesce("n_fills", F.lit(1))
     )
 
 
@@ -69,8 +111,8 @@ def _heaviest(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
     )
 
 
-def lost_destination(followup: DataFrame, spec: RetentionSpec) -> DataFrame:
-    """One destination per lost member."""
+def lost_destination(followup: DataFrame) -> DataFrame:
+    """One destination per lost member, from follow-up fills or their kinds."""
     return _heaviest(followup, list(LOSS), "lost_dest")
 
 

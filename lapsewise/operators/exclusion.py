@@ -17,14 +17,10 @@ def code_users(fills: DataFrame, codes: DataFrame, spec: RetentionSpec) -> DataF
     ``fills`` are exclusion fills. Codes are compared as numbers; a dirty code
     matches nothing.
     """
-    listed = (
-        codes.select(code_number(F.col("ndc")).alias("code"))
-        .filter(F.col("code").isNotNull())
-        .distinct()
-    )
+    listed = codes.select(code_number(F.col("ndc")).alias("code"))
     return (
         fills.select("entity_id", code_number(F.col("product_code")).alias("code"))
-        .join(listed, "code")
+        .join(listed, "code", "left_semi")
         .select("entity_id")
         .distinct()
         .withColumn("market", F.lit(spec.exclusion_market))

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsewise.functions.months import index_to_key, month_index, month_key, months_apart
-from lapsewise.operators.cohort import MEMBER, MEMBER_WIDE
+from lapsewise.operators.cohort import MEMBER, MEMBER_WIDE, cohort_fills
 from lapsewise.spec import RetentionSpec
 
 
-def fills_by_month(member_fills: DataFrame) -> DataFrame:
-    """Fills and weighted fills per member and month."""
-    return member_fills.groupBy(*MEMBER_WIDE, "status", "fill_month", "fill_yyyymm").agg(
-        F.count("*").alias("n_fills"), F.sum("fill_weight").alias("weighted_fills")
+def fills_by_month(monthly: DataFrame, members: DataFrame, spec: RetentionSpec) -> DataFrame:
+    """Fills and weighted fills per member (with status) and month.
+
+    Fills are counted per month before they meet the cohorts, so nothing is
+    grouped afterwards.
+    """
+    return cohort_fills(monthly, members, spec).select(
+        *MEMBER_WIDE, "status", "fill_month", "fill_yyyymm", "n_fills", "weighted_fills"
     )
 
 
@@ -52,13 +56,6 @@ def lost_month(members: DataFrame, first_gap: DataFrame, spec: RetentionSpec) ->
     )
 
 
-def month_grain(market_fills: DataFrame) -> DataFrame:
-    """Qualified fills counted per market, chain, entity and month."""
-    return market_fills.groupBy(
-        "market", "market_desc", "chain", "entity_id", "fill_yyyymm"
-    ).agg(F.count("*").alias("n_fills"))
-
-
 def cohort_lifecycle(monthly: DataFrame, spec: RetentionSpec) -> DataFrame:
     """Membership, status and lost month from month-grain fills alone.
 

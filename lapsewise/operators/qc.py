@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapsewise.operators.survival import SEGMENT
+from lapsewise.operators.survival import SEGMENT, entities
 from lapsewise.spec import REPORT_COMPETITOR
 
 COHORT = ("market", "market_desc", "cohort_yyyymm", "cohort_chain")
@@ -21,11 +21,14 @@ def market_size(market: DataFrame) -> DataFrame:
     )
 
 
-def entity_counts(rows: DataFrame, by: tuple[str, ...] = COHORT) -> DataFrame:
-    """Rows and distinct entities per cohort."""
+def entity_counts(
+    rows: DataFrame, by: tuple[str, ...] = COHORT, weight: str | None = None
+) -> DataFrame:
+    """Rows and distinct entities per cohort; ``weight`` names a count per row."""
+    n_rows = F.sum(weight) if weight else F.count("*")
     return (
         rows.groupBy(*by)
-        .agg(F.count("*").alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"))
+        .agg(n_rows.alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"))
         .orderBy(*by)
     )
 
@@ -76,15 +79,15 @@ def lost_month_dest(cleaned: DataFrame) -> DataFrame:
     )
 
 
-def dest_counts(followup: DataFrame) -> DataFrame:
-    """Follow-up fills and entities per destination."""
-    return entity_counts(followup, (*SEGMENT, "lost_dest"))
+def dest_counts(kinds: DataFrame) -> DataFrame:
+    """Follow-up fills and entities per destination, from fill kinds."""
+    return entity_counts(kinds, (*SEGMENT, "lost_dest"), "n_fills")
 
 
-def outlet_class_counts(classes: DataFrame) -> DataFrame:
+def outlet_class_counts(classes: DataFrame, unique: bool = False) -> DataFrame:
     keys = [*SEGMENT, "lost_month", "lost_dest", "lost_dest_detail"]
     return (
-        classes.groupBy(*keys).agg(F.countDistinct("entity_id").alias("n_entities")).orderBy(*keys)
+        classes.groupBy(*keys).agg(entities(unique).alias("n_entities")).orderBy(*keys)
     )
 
 
@@ -93,14 +96,14 @@ def distinct_pairs(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(*columns).distinct()
 
 
-def with_grand_total(members: DataFrame) -> DataFrame:
+def with_grand_total(members: DataFrame, unique: bool = False) -> DataFrame:
     """Entities per segment beside the sum over all segments.
 
     The unpartitioned window sees the segments, not the members.
     """
     return (
         members.groupBy(*SEGMENT)
-        .agg(F.countDistinct("entity_id").alias("n_entities"))
+        .agg(entities(unique).alias("n_entities"))
         .withColumn("grand_total", F.sum("n_entities").over(Window.partitionBy(F.lit(1))))
     )
 

@@ -15,7 +15,7 @@ CURVE = (
 )
 
 
-def _entities(unique: bool) -> Column:
+def entities(unique: bool) -> Column:
     """Distinct entities; a plain count where each can occur only once."""
     return F.count("*") if unique else F.countDistinct("entity_id")
 
@@ -28,7 +28,7 @@ def lost_by_destination(classes: DataFrame, unique: bool = False) -> DataFrame:
     return (
         classes.withColumn("dest", labels.report_destination(F.col("lost_dest")))
         .groupBy(*SEGMENT, "lost_month", F.col("dest").alias("lost_dest"), "lost_dest_detail")
-        .agg(_entities(unique).alias("lost"))
+        .agg(entities(unique).alias("lost"))
     )
 
 
@@ -43,7 +43,7 @@ def survival_at_risk(members: DataFrame, unique: bool = False) -> DataFrame:
     )
     return (
         members.groupBy(*SEGMENT, "lost_month")
-        .agg(_entities(unique).alias("lost"))
+        .agg(entities(unique).alias("lost"))
         .withColumn("at_risk", F.sum("lost").over(downward))
         .withColumn("total", F.sum("lost").over(segment))
     )

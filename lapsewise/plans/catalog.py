@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from lapsewise import spec as S
 from lapsewise.functions import keys, labels, months
-from lapsewise.operators import destination, fills, gaps, market, qc, survival
+from lapsewise.operators import cohort, destination, fills, gaps, market, qc, survival
 from lapsewise.plans import fused
-from lapsewise.plans.inputs import star_inputs
+from lapsewise.plans.inputs import StarInputs
 from lapsewise.plans.staged import LeanStudy, StagedStudy
 from lapsewise.sources import star
 from lapsewise.sources.stages import shared_dir
@@ -29,15 +29,15 @@ def query(build: Query) -> Query:
 
 
 def _steps(spark: SparkSession, sf_dir: str, store: str | None = None) -> StagedStudy:
-    return StagedStudy(star_inputs(spark, sf_dir), SPEC, store)
+    return StagedStudy(StarInputs(spark, sf_dir), SPEC, store)
 
 
 def _lean(spark: SparkSession, sf_dir: str) -> LeanStudy:
-    return LeanStudy(star_inputs(spark, sf_dir), SPEC)
+    return LeanStudy(StarInputs(spark, sf_dir), SPEC)
 
 
 def _outcomes(spark: SparkSession, sf_dir: str, exclude: bool = True) -> DataFrame:
-    return fused.member_outcomes(star_inputs(spark, sf_dir), SPEC, exclude)
+    return fused.member_outcomes(StarInputs(spark, sf_dir), SPEC, exclude)
 
 
 def _still_lost(members: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def _still_lost(members: DataFrame) -> DataFrame:
 
 @query
 def fills_scan(spark, sf_dir):
-    return star_inputs(spark, sf_dir).fills.select(
+    return StarInputs(spark, sf_dir).fills.select(
         *CLAIM, "entity_id", "fill_date", "fill_month", "fill_yyyymm", "product_key", "chain",
         "channel", "outlet_class", "days_supply", "supplier_id", "state",
     )
@@ -58,7 +58,7 @@ def fills_scan(spark, sf_dir):
 @query
 def fills_qualified(spark, sf_dir):
     rows = fills.qualified_fills(
-        star_inputs(spark, sf_dir).fills, SPEC, SPEC.lookback_first, SPEC.fills_last
+        StarInputs(spark, sf_dir).fills, SPEC, SPEC.lookback_first, SPEC.fills_last
     )
     return fills.with_weight(rows, SPEC).select(
         *CLAIM, "entity_id", "fill_date", "chain", "channel", "supplier_id", "state", "fill_weight"
@@ -83,7 +83,7 @@ def market_by_attribute(spark, sf_dir):
 
 @query
 def market_by_code_list(spark, sf_dir):
-    i = star_inputs(spark, sf_dir)
+    i = StarInputs(spark, sf_dir)
     return market.market_by_code_list(i.products, i.bridge, i.market_codes, SPEC)
 
 
@@ -283,17 +283,17 @@ def survival_month_zero(spark, sf_dir):
 
 @query
 def survival_curve_new(spark, sf_dir):
-    return fused.survival_curve(star_inputs(spark, sf_dir), SPEC, S.NEW)
+    return fused.survival_curve(StarInputs(spark, sf_dir), SPEC, S.NEW)
 
 
 @query
 def survival_curve_cont(spark, sf_dir):
-    return fused.survival_curve(star_inputs(spark, sf_dir), SPEC, S.CONTINUING)
+    return fused.survival_curve(StarInputs(spark, sf_dir), SPEC, S.CONTINUING)
 
 
 @query
 def survival_curve_all(spark, sf_dir):
-    return fused.survival_curve(star_inputs(spark, sf_dir), SPEC)
+    return fused.survival_curve(StarInputs(spark, sf_dir), SPEC)
 
 
 @query
@@ -345,7 +345,9 @@ def qc_entity_counts(spark, sf_dir):
 
 @query
 def qc_entity_counts_fills(spark, sf_dir):
-    return qc.entity_counts(_steps(spark, sf_dir).cohort_fills)
+    study = _steps(spark, sf_dir)
+    copies = cohort.cohort_fills(study.months, study.members, SPEC)
+    return qc.entity_counts(copies, weight="n_fills")
 
 
 @query
@@ -371,23 +373,24 @@ def qc_lost_month_dest(spark, sf_dir):
 
 @query
 def qc_dest_counts(spark, sf_dir):
-    return qc.dest_counts(_lean(spark, sf_dir).followup)
+    return qc.dest_counts(_lean(spark, sf_dir).followup_kinds)
 
 
 @query
 def qc_grand_total_before(spark, sf_dir):
-    return qc.with_grand_total(_lean(spark, sf_dir).lost)
+    return qc.with_grand_total(_lean(spark, sf_dir).lost, unique=True)
 
 
 @query
 def qc_grand_total(spark, sf_dir):
-    return qc.with_grand_total(_outcomes(spark, sf_dir))
+    return qc.with_grand_total(_outcomes(spark, sf_dir), unique=True)
 
 
 @query
 def qc_grand_total_lost(spark, sf_dir):
     members = _outcomes(spark, sf_dir)
-    return qc.with_grand_total(members.filter(F.col("lost_month_before") <= SPEC.last_lost_month))
+    lost = members.filter(F.col("lost_month_before") <= SPEC.last_lost_month)
+    return qc.with_grand_total(lost, unique=True)
 
 
 @query
@@ -397,7 +400,7 @@ def qc_window_breach(spark, sf_dir):
 
 @query
 def qc_outlet_class(spark, sf_dir):
-    return qc.outlet_class_counts(_still_lost(_outcomes(spark, sf_dir)))
+    return qc.outlet_class_counts(_still_lost(_outcomes(spark, sf_dir)), unique=True)
 
 
 @query

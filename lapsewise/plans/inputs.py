@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +10,28 @@ from lapsewise.sources import star
 from lapsewise.spec import RetentionSpec
 
 
-@dataclass(frozen=True)
 class Inputs:
-    """``history`` is the fill fact back to its first month; ``fills`` may start
-    at the lookback, so that its scan can skip older data."""
+    """Tables of a study.
 
-    fills: DataFrame
-    history: DataFrame
-    products: DataFrame
-    bridge: DataFrame
-    market_codes: DataFrame
-    exclusion_codes: DataFrame
+    ``history`` is the fill fact back to its first month; ``fills`` may start at
+    the lookback, so that its scan can skip older data.
+    """
+
+    def __init__(
+        self,
+        fills: DataFrame,
+        history: DataFrame,
+        products: DataFrame,
+        bridge: DataFrame,
+        market_codes: DataFrame,
+        exclusion_codes: DataFrame,
+    ):
+        self.fills = fills
+        self.history = history
+        self.products = products
+        self.bridge = bridge
+        self.market_codes = market_codes
+        self.exclusion_codes = exclusion_codes
 
     @cached_property
     def market_rows(self) -> int:
@@ -33,12 +43,32 @@ class Inputs:
         return 2 * self.products.count()
 
 
-def star_inputs(spark: SparkSession, sf_dir: str, spec: RetentionSpec = star.STAR_SPEC) -> Inputs:
-    return Inputs(
-        fills=star.fills(spark, sf_dir, spec.lookback_first, spec.fills_last),
-        history=star.fills(spark, sf_dir, None, spec.fills_last),
-        products=star.products(spark, sf_dir),
-        bridge=star.product_codes(spark, sf_dir),
-        market_codes=star.market_codes(spark, sf_dir),
-        exclusion_codes=star.exclusion_codes(spark, sf_dir),
-    )
+class StarInputs(Inputs):
+    """The star tables, each bound when first used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, spec: RetentionSpec = star.STAR_SPEC):
+        self.spark, self.sf_dir, self.spec = spark, sf_dir, spec
+
+    @cached_property
+    def fills(self) -> DataFrame:
+        return star.fills(self.spark, self.sf_dir, self.spec.lookback_first, self.spec.fills_last)
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return star.fills(self.spark, self.sf_dir, None, self.spec.fills_last)
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return star.products(self.spark, self.sf_dir)
+
+    @cached_property
+    def bridge(self) -> DataFrame:
+        return star.product_codes(self.spark, self.sf_dir)
+
+    @cached_property
+    def market_codes(self) -> DataFrame:
+        return star.market_codes(self.spark, self.sf_dir)
+
+    @cached_property
+    def exclusion_codes(self) -> DataFrame:
+        return star.exclusion_codes(self.spark, self.sf_dir)

@@ -62,23 +62,25 @@ class StagedStudy:
     def members(self) -> DataFrame:
         return cohort.cohort_members(self.qualified, self.spec)
 
+    @stage
+    def months(self) -> DataFrame:
+        return cohort.month_grain(self.qualified)
+
     @stage
     def cohort_fills(self) -> DataFrame:
         return cohort.cohort_fills(self.qualified, self.members, self.spec)
 
     @stage
     def period_dim(self) -> DataFrame:
-        return cohort.period_dim(self.members, self.spec)
+        return cohort.period_dim(self.qualified, self.spec)
 
     @stage
     def active_members(self) -> DataFrame:
-        return cohort.cohort_min_fills(
-            self.members, self.cohort_fills, self.period_dim, self.spec
-        )
+        return cohort.cohort_min_fills(self.members, self.months, self.period_dim, self.spec)
 
     @stage
     def status(self) -> DataFrame:
-        return cohort.entity_status(self.active_members, self.qualified, self.spec)
+        return cohort.entity_status(self.active_members, self.months, self.spec)
 
     @stage
     def status_fills(self) -> DataFrame:
@@ -86,7 +88,7 @@ class StagedStudy:
 
     @cached_property
     def monthly(self) -> DataFrame:
-        return gaps.fills_by_month(self.status_fills)
+        return gaps.fills_by_month(self.months, self.status, self.spec)
 
     @stage
     def gaps(self) -> DataFrame:
@@ -100,14 +102,24 @@ class StagedStudy:
     def lost(self) -> DataFrame:
         return gaps.lost_month(self.status, self.first_gap, self.spec)
 
+    @property
+    def _any_chain(self) -> DataFrame:
+        raw = fills.followup_fills(self.inputs.fills, self.spec)
+        return self._in_market(fills.with_weight(raw, self.spec))
+
     @stage
     def followup(self) -> DataFrame:
-        raw = self._in_market(fills.followup_fills(self.inputs.fills, self.spec))
-        return destination.lost_window_fills(self.lost, raw, self.spec)
+        return destination.lost_window_fills(self.lost, self._any_chain, self.spec)
+
+    @stage
+    def followup_kinds(self) -> DataFrame:
+        """The follow-up as the later stages need it."""
+        kinds = destination.fill_kinds(self._any_chain, self.spec)
+        return destination.lost_window_kinds(self.lost, kinds, self.spec)
 
     @stage
     def destination(self) -> DataFrame:
-        return destination.lost_destination(self.followup, self.spec)
+        return destination.lost_destination(self.followup_kinds)
 
     @stage
     def kept(self) -> DataFrame:
@@ -119,12 +131,12 @@ class StagedStudy:
     @stage
     def cleaned(self) -> DataFrame:
         return exclusion.own_mail_cleanup(
-            self.kept, self.followup, self.destination, self.spec
+            self.kept, self.followup_kinds, self.destination, self.spec
         )
 
     @stage
     def outlet_class(self) -> DataFrame:
-        return destination.lost_outlet_class(self.followup, self.cleaned, self.spec)
+        return destination.lost_outlet_class(self.followup_kinds, self.cleaned, self.spec)
 
     @stage
     def curve(self) -> DataFrame:
@@ -156,7 +168,7 @@ class LeanStudy(StagedStudy):
 
     @cached_property
     def lifecycle(self) -> DataFrame:
-        return gaps.cohort_lifecycle(gaps.month_grain(self.qualified), self.spec)
+        return gaps.cohort_lifecycle(self.months, self.spec)
 
     @stage
     def status(self) -> DataFrame:

@@ -76,12 +76,14 @@ STEPS = {
         where date_diff('month', c.cohort_month, q.fill_month) between 0 and 17
     """,
     "periods": """
-        select distinct cohort_yyyymm, cohort_month as cohort_begin,
-               last_day(cohort_month) as cohort_end,
-               cast(cohort_month - interval 12 month as date) as lookback_begin,
-               cast(cohort_month - interval 1 day as date) as lookback_end,
-               last_day(cast(cohort_month + interval 17 month as date)) as lookforward_end
-        from candidates
+        select fill_yyyymm as cohort_yyyymm, min(fill_date) as first_fill,
+               max(fill_date) as last_fill, fill_month as cohort_begin,
+               last_day(fill_month) as cohort_end,
+               cast(fill_month - interval 12 month as date) as lookback_begin,
+               cast(fill_month - interval 1 day as date) as lookback_end,
+               last_day(cast(fill_month + interval 17 month as date)) as lookforward_end
+        from qualified where fill_yyyymm between 199801 and 199812
+        group by fill_yyyymm, fill_month
     """,
     "actives": """
         select c.* from candidates c

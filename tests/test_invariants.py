@@ -7,7 +7,7 @@ from conftest import rows
 from lapsewise.operators import qc
 from lapsewise.operators.cohort import MEMBER
 from lapsewise.plans import fused
-from lapsewise.plans.inputs import star_inputs
+from lapsewise.plans.inputs import StarInputs
 from lapsewise.plans.staged import StagedStudy
 from lapsewise.sources.star import STAR_SPEC
 
@@ -16,7 +16,7 @@ from lapsewise.sources.star import STAR_SPEC
 def study(spark, tmp_path_factory):
     """All steps, through written stages."""
     store = str(tmp_path_factory.mktemp("stages"))
-    return StagedStudy(star_inputs(spark, "/root/testdata/sf0.01"), STAR_SPEC, store)
+    return StagedStudy(StarInputs(spark, "/root/testdata/sf0.01"), STAR_SPEC, store)
 
 
 @pytest.fixture(scope="module")
@@ -86,7 +86,7 @@ def test_curve_properties(study):
 
 
 def test_fused_plan_gives_the_same_report(spark, study):
-    fast = fused.survival_curve(star_inputs(spark, "/root/testdata/sf0.01"), STAR_SPEC)
+    fast = fused.survival_curve(StarInputs(spark, "/root/testdata/sf0.01"), STAR_SPEC)
     assert rows(fast) == rows(study.curve)
     for status in ("NEW", "CONTINUING"):
         part = fused.survival_curve(study.inputs, STAR_SPEC, status)

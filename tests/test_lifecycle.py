@@ -146,3 +146,22 @@ def test_windows_take_other_limits(spark):
     steps = rows(StagedStudy(inputs, spec).lost, "entity_id", "cohort_yyyymm", "lost_month")
     lean = rows(LeanStudy(inputs, spec).lost, "entity_id", "cohort_yyyymm", "lost_month")
     assert steps == lean == [(1, 201501, 2), (1, 201502, 1)]
+
+
+def test_period_dim_is_a_calendar(spark, spec):
+    import datetime as dt
+
+    fills = [fill(1, 201502, day=10), fill(2, 201502, day=3), fill(1, 201601)]
+    period = StagedStudy(make_inputs(spark, fills), spec).period_dim.collect()
+    assert [r.asDict() for r in period] == [
+        {
+            "cohort_yyyymm": 201502,
+            "first_fill": dt.date(2015, 2, 3),
+            "last_fill": dt.date(2015, 2, 10),
+            "cohort_begin": dt.date(2015, 2, 1),
+            "cohort_end": dt.date(2015, 2, 28),
+            "lookback_begin": dt.date(2014, 2, 1),
+            "lookback_end": dt.date(2015, 1, 31),
+            "lookforward_end": dt.date(2016, 7, 31),
+        }
+    ]
