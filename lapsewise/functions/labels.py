@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lapsewise import spec as S
 from lapsewise.spec import RetentionSpec
 
+OTHER_CHAIN = "other"
+
 
 def fill_weight(days_supply: Column, spec: RetentionSpec) -> Column:
     """1 for a short fill; a long one, or one of unknown length, counts more."""
@@ -27,6 +29,12 @@ def destination(channel: Column, chain: Column, own_chain: Column, spec: Retenti
     )
 
 
+def chain_kind(chain: Column, spec: RetentionSpec) -> Column:
+    """A chain that some rule names, or one value for all others; NULL stays."""
+    named = chain.isin(*spec.cohort_chains, spec.sister_chain)
+    return F.when(named, chain).when(chain.isNotNull(), OTHER_CHAIN)
+
+
 def outlet_label(outlet_class: Column) -> Column:
     return F.concat(F.lit(S.DETAIL_PREFIX), F.initcap(outlet_class))
 

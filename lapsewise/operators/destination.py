@@ -66,14 +66,15 @@ def fill_kinds(market_fills: DataFrame, spec: RetentionSpec) -> DataFrame:
     """Follow-up fills summed per entity, month and kind of outlet.
 
     All that ranks destinations and classes adds up, so this loses nothing they
-    need, and no entity keeps more than a few rows per month. Of the suppliers
-    only the own mail house is kept apart.
+    need, and no entity keeps more than a few rows per month. Chains and suppliers
+    that no rule names are not kept apart.
     """
     own_mail = F.when(
         F.col("supplier_id") == spec.own_mail_supplier, F.col("supplier_id")
     ).alias("supplier_id")
+    chain = labels.chain_kind(F.col("chain"), spec).alias("chain")
     return market_fills.groupBy(
-        "market", "entity_id", "fill_yyyymm", "chain", "channel", "outlet_class", own_mail
+        "market", "entity_id", "fill_yyyymm", chain, "channel", "outlet_class", own_mail
     ).agg(
         F.count("*").alias("n_fills"),
         F.sum("fill_weight").alias("fill_weight"),

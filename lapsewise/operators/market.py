@@ -36,11 +36,10 @@ def market_by_code_list(
     products: DataFrame, bridge: DataFrame, codes: DataFrame, spec: RetentionSpec
 ) -> DataFrame:
     """One market from a list of codes, through the code-to-product bridge."""
-    listed = codes.select(
-        padded_code(F.col("ndc"), spec.code_length).alias("ndc_cd")
-    ).distinct()
+    listed = codes.select(padded_code(F.col("ndc"), spec.code_length).alias("ndc_cd"))
     return (
-        listed.join(bridge.select("ndc_cd", "prod_id", "pack_cd"), "ndc_cd")
+        bridge.select("ndc_cd", "prod_id", "pack_cd")
+        .join(listed, "ndc_cd", "left_semi")
         .join(
             _ordinary(products, spec).select("prod_id", "pack_cd", "prod_desc"),
             ["prod_id", "pack_cd"],

@@ -25,7 +25,6 @@ from lapsewise.spec import RetentionSpec
 
 # The entity comes first: sorts on these keys then mostly compare one number.
 ENTITY = ("entity_id", "market", "market_desc")
-OTHER_CHAIN = "other"
 TRACK = (*ENTITY, "cohort_chain", "active", "busy")
 
 
@@ -58,11 +57,9 @@ def month_activity(market_fills: DataFrame, spec: RetentionSpec) -> DataFrame:
     market. ``month_no`` counts months from the first lookback month. Chains that
     no rule names are counted as one.
     """
-    chain = F.col("chain")
-    named = chain.isin(*spec.cohort_chains, spec.sister_chain)
     return (
         fills.with_weight(market_fills, spec)
-        .withColumn("chain", F.when(named, chain).when(chain.isNotNull(), OTHER_CHAIN))
+        .withColumn("chain", labels.chain_kind(F.col("chain"), spec))
         .withColumn("month_no", month_index(F.col("fill_yyyymm")) - _base(spec))
         .withColumn(
             "own_mail", F.coalesce(F.col("supplier_id") == spec.own_mail_supplier, F.lit(False))

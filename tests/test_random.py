@@ -8,6 +8,7 @@ import pytest
 
 from conftest import fill, make_inputs, rows
 from lapsewise.functions.months import index_key, key_index, key_plus
+from lapsewise.operators import destination
 from lapsewise.plans import fused
 from lapsewise.plans.staged import LeanStudy
 from lapsewise.spec import RetentionSpec
@@ -138,6 +139,8 @@ def test_stages(spark, seed):
     study = LeanStudy(make_inputs(spark, fills, exclusion=["0777"]), RetentionSpec())
     keys = ("market", "cohort_chain", "cohort_yyyymm", "entity_id", "status")
     assert rows(study.kept, *keys, "lost_month") == [w[:6] for w in want]
+    from_fills = destination.lost_destination(study.followup)
+    assert rows(from_fills, *keys, "lost_dest") == rows(study.destination, *keys, "lost_dest")
     assert rows(study.cleaned, *keys, "lost_month", "lost_dest") == sorted(
         (w[:5] + w[6:8] for w in want), key=repr
     )
