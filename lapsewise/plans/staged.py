@@ -32,8 +32,10 @@ def stage(build):
 
 
 class StagedStudy:
-    """``store`` names a shared folder: each stage is then written there once and
-    read back; without it all stays one lazy plan."""
+    """``store`` names a shared folder: each stage that others build on is then
+    written there once and read back; without it all stays one lazy plan. Stages
+    of single fills (cohort, status and follow-up fills) are results only: the
+    rest works on sums, so they are never written."""
 
     def __init__(self, inputs: Inputs, spec: RetentionSpec, store: str | None = None):
         self.inputs = inputs
@@ -66,7 +68,7 @@ class StagedStudy:
     def months(self) -> DataFrame:
         return cohort.month_grain(self.qualified)
 
-    @stage
+    @cached_property
     def cohort_fills(self) -> DataFrame:
         return cohort.cohort_fills(self.qualified, self.members, self.spec)
 
@@ -82,7 +84,7 @@ class StagedStudy:
     def status(self) -> DataFrame:
         return cohort.entity_status(self.active_members, self.months, self.spec)
 
-    @stage
+    @cached_property
     def status_fills(self) -> DataFrame:
         return cohort.status_fills(self.cohort_fills, self.status)
 
@@ -107,7 +109,7 @@ class StagedStudy:
         raw = fills.followup_fills(self.inputs.fills, self.spec)
         return self._in_market(fills.with_weight(raw, self.spec))
 
-    @stage
+    @cached_property
     def followup(self) -> DataFrame:
         return destination.lost_window_fills(self.lost, self._any_chain, self.spec)
 
@@ -175,7 +177,7 @@ class LeanStudy(StagedStudy):
         month = month_start(F.col("cohort_yyyymm")).alias("cohort_month")
         return self.lifecycle.select("*", month).select(*cohort.MEMBER_WIDE, "status")
 
-    @stage
+    @cached_property
     def status_fills(self) -> DataFrame:
         return cohort.cohort_fills(self.qualified, self.status, self.spec)
 
