@@ -42,8 +42,9 @@ def month_grain(market_fills: DataFrame) -> DataFrame:
     """Qualified fills counted per market, chain, entity and month.
 
     A hot entity shrinks to a row per month on the map side, before any shuffle.
+    Fills of no known entity join nothing later, so they go here.
     """
-    return market_fills.groupBy(
+    return market_fills.filter(F.col("entity_id").isNotNull()).groupBy(
         "market", "market_desc", "chain", "entity_id", "fill_month", "fill_yyyymm"
     ).agg(F.count("*").alias("n_fills"), F.sum("fill_weight").alias("weighted_fills"))
 

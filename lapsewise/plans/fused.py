@@ -58,7 +58,7 @@ def month_activity(market_fills: DataFrame, spec: RetentionSpec) -> DataFrame:
     no rule names are counted as one.
     """
     return (
-        fills.with_weight(market_fills, spec)
+        fills.with_weight(market_fills.filter(F.col("entity_id").isNotNull()), spec)
         .withColumn("chain", labels.chain_kind(F.col("chain"), spec))
         .withColumn("month_no", month_index(F.col("fill_yyyymm")) - _base(spec))
         .withColumn(
@@ -164,8 +164,8 @@ def _outcomes(tracks: DataFrame, spec: RetentionSpec) -> DataFrame:
     )
 
     def first_choice(*named: str) -> Column:
-        """Heaviest, then latest, then first by name."""
-        late = -F.unix_date("last_date")
+        """Heaviest, then latest (a date before none), then first by name."""
+        late = F.coalesce(-F.unix_date("last_date"), F.lit(2**31 - 1))
         return F.min(F.struct((-F.col("weight")).alias("w"), late.alias("d"), *named))
 
     per_dest = per_class.groupBy(*TRACK, "loss_no", "lost_dest").agg(

@@ -46,7 +46,10 @@ REPORT_OFF_GRID = "Off Grid"
 
 @dataclass(frozen=True)
 class RetentionSpec:
-    """Months are integers YYYYMM; spans are counted in whole months."""
+    """Months are integers YYYYMM; spans are counted in whole months.
+
+    The defaults are fixed values too: those of the study the labels belong to.
+    """
 
     cohort_first: int = 201501
     cohort_last: int = 201512

@@ -120,6 +120,12 @@ def test_two_classes_in_one_month_are_two_fills(spark, spec):
         assert rows(df, "cohort_yyyymm", "lost_month") == [(201501, 1)]
 
 
+def test_fills_without_an_entity_make_no_member(spark, spec):
+    fills = [fill(None, 201501), fill(None, 201502), fill(1, 201501), fill(1, 201501)]
+    for _, df in forms(spark, spec, fills):
+        assert rows(df, "entity_id") == [(1,)]
+
+
 def test_fused_form_refuses_what_does_not_fit(spark):
     from dataclasses import replace
 
