@@ -29,9 +29,13 @@ TRACK = (*ENTITY, "cohort_chain", "active", "busy")
 
 
 def fits(spec: RetentionSpec) -> bool:
-    """Whether the study's months fit the bits of one integer."""
+    """Whether the study's months fit the bits of one integer, and its rules the plan."""
     months = key_index(spec.fills_last) - key_index(spec.lookback_first) + 1
-    return months + spec.gap_months <= 63 and spec.min_fills == 2
+    return (
+        months + spec.gap_months <= 63
+        and spec.min_fills == 2
+        and set(spec.cohort_channels) <= set(spec.followup_channels)
+    )
 
 
 def _base(spec: RetentionSpec) -> int:
@@ -240,7 +244,7 @@ def _members(outcomes: DataFrame, spec: RetentionSpec) -> DataFrame:
 def member_outcomes(inputs: Inputs, spec: RetentionSpec, exclude: bool = True) -> DataFrame:
     """Every cohort member that is left after the exclusion, with its outcome."""
     if not fits(spec):
-        raise ValueError("the months do not fit; use StagedStudy")
+        raise ValueError("the study does not fit one integer per customer; use LeanStudy")
     s = spec
     raw = fills.trusted_fills(inputs.fills, s).filter(
         F.col("fill_yyyymm").between(s.lookback_first, s.fills_last)

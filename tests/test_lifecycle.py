@@ -132,7 +132,7 @@ def test_fused_form_refuses_what_does_not_fit(spark):
     from lapsewise.spec import RetentionSpec
 
     assert fused.fits(RetentionSpec())
-    for bad in ({"span_months": 60}, {"min_fills": 3}):
+    for bad in ({"span_months": 60}, {"min_fills": 3}, {"cohort_channels": ("CLINIC",)}):
         spec = replace(RetentionSpec(), **bad)
         assert not fused.fits(spec)
         with pytest.raises(ValueError):
