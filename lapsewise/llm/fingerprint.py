@@ -138,8 +138,11 @@ def _with_next(docs: DataFrame) -> DataFrame:
     stretches = max(1, min(STRETCHES, rows // STRETCH_ROWS))
     sample = sorted(r[0] for r in sampling.bounded(ids, "key", 20 * stretches, 9).collect())
     inner = sorted({float(sample[len(sample) * k // stretches]) for k in range(1, stretches)}) if sample else []
-    cut = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="number", outputCol="stretch")
-    placed = cut.transform(slim.withColumn("number", F.col("key").cast("double"))).drop("number")
+    if inner:
+        cut = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="number", outputCol="stretch")
+        placed = cut.transform(slim.withColumn("number", F.col("key").cast("double"))).drop("number")
+    else:
+        placed = slim.withColumn("stretch", F.lit(0.0))
     heads = {int(r[0]): r[1] for r in placed.groupBy("stretch").agg(F.max("key")).collect()}  # STRETCHES at most
     order = sorted(heads, reverse=True)
     behind = [(heads[s], float(order[k - 1])) for k, s in enumerate(order)]  # the first of all: behind the last

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import dedup, langid, mix, pack, sampling, shared, simhash, toxicity
+from lapsewise.llm import dedup, fingerprint, langid, mix, pack, sampling, secrets, shared, simhash, store, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -26,6 +27,10 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
@@ -38,6 +43,23 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", sampling.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared.folder(spark)}/tokens-{uuid.uuid4().hex}"
+    store.write(table(spark, sf_dir, "documents"), VOCABULARY, path)
+    return store.read(spark, path)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[of_kind(kind) for kind in secrets.BASE],
+        F.sha2(secrets.listing(F.col("spans"), list(secrets.BASE)), 256).alias("base_sha256"),
+        secrets.listing(F.col("spans"), secrets.KINDS).alias("spans"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.copies(table(spark, sf_dir, "documents")).drop("row")
 
@@ -52,8 +74,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_pack": op2_pack,
+    "op3_fingerprint": op3_fingerprint,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
+    "op7_token_store": op7_token_store,
+    "op8_secrets": op8_secrets,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
 }
@@ -97,6 +122,7 @@ select doc_id, size, source_size, top::double / bottom::double as target,
        end::bigint as taken
 from placed
 """,
+    "op8_secrets": secrets.sql(),
     "op9_exact_dedup": r"""
 with normal as (
   select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256
