@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import dedup, fingerprint, langid, mix, pack, sampling, secrets, shared, simhash, store, toxicity
+from lapsewise.llm import dedup, extract, fingerprint, langid, mix, pack, sampling, secrets, shared, simhash, store, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -43,6 +43,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", sampling.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
 
 
+def op6_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared.folder(spark)}/tokens-{uuid.uuid4().hex}"
     store.write(table(spark, sf_dir, "documents"), VOCABULARY, path)
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprint": op3_fingerprint,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
+    "op6_extract": op6_extract,
     "op7_token_store": op7_token_store,
     "op8_secrets": op8_secrets,
     "op9_exact_dedup": op9_exact_dedup,
