@@ -62,11 +62,10 @@ class Words:
         length = np.minimum(np.repeat(counts, parts) - nth * SEQUENCE, SEQUENCE)
         return first, length
 
-    def code_points(self, at: np.ndarray) -> np.ndarray:
+    def code_points(self, at: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Places in the bytes as code points from the start of their text (lower-casing keeps their number)."""
         leads = np.zeros(len(self.data) + 1, np.int64)
         np.cumsum((self.data & 0xC0) != 0x80, out=leads[1:])
-        text = np.searchsorted(self.offsets, at, side="right") - 1
         return leads[at] - leads[self.offsets[text]]
 
 

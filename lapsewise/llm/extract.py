@@ -31,6 +31,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = "script style noscript template textarea iframe svg object title"
 ASIDE = frozenset("nav footer aside form button select menu dialog head".split())
 ARTICLE = frozenset(["article", "main"])
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th pre blockquote figure figcaption".split())
 #: Words in a class or id that name parts beside the article.
 BESIDE = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright "
@@ -43,7 +44,8 @@ _IN_PARAGRAPH = INLINE
 
 #: A role belongs to a host's template if this share of its pages has it.
 SUPPORT = 0.5
-#: Outside of articles, a slot holds text if links are at most this share of it, and it has this share of the largest.
+#: Without articles, slots hold text if links are at most this share of it; those with this share of the largest slot's
+#: text, and all that stand beside or below them in the same element, are the article.
 LINKS = 0.5
 SHARE = 0.2
 
@@ -135,6 +137,13 @@ def _slot(role: str, skeleton) -> str:
     return role
 
 
+def _holder(role: str) -> str:
+    """The element that holds a block of text among others."""
+    while role.rpartition("/")[2].partition(".")[0] in TEXT:
+        role = role.rpartition("/")[0]
+    return role
+
+
 def deduce(roles: list[dict], pages: int) -> tuple[list[str], list[str]]:
     """Skeleton and article slots of a host: ``roles`` have role, vector (a hash), pages, chars and links."""
     own = next((r["vector"] for r in roles if r["role"] == ""), None)
@@ -151,7 +160,9 @@ def deduce(roles: list[dict], pages: int) -> tuple[list[str], list[str]]:
     slots = [s for s in open_ if _in_article(s)]
     if not slots:
         largest = max((chars[s] for s in open_), default=0)
-        slots = [s for s in open_ if chars[s] and chars[s] >= SHARE * largest and links[s] <= LINKS * chars[s]]
+        texts = [s for s in open_ if chars[s] and links[s] <= LINKS * chars[s]]
+        holders = tuple(_holder(s) for s in texts if chars[s] >= SHARE * largest)
+        slots = [s for s in texts if any(s == h or s.startswith(f"{h}/") or not h for h in holders)]
     return sorted(skeleton), slots
 
 

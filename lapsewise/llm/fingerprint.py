@@ -82,7 +82,9 @@ def digits(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cells[row[found], bin_[found]] = cells[row[found], lender[found]]
         row, bin_ = row[~found], bin_[~found]
         turn += 1
-    out = (spans.mixed(cells) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    # a value that stands in several bins gives each of them bits of its own
+    own = np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out = (spans.mixed(cells + own) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     out[number == 0] = 0
     return out, number == 0
 

@@ -110,7 +110,7 @@ def identify(docs: DataFrame, model: Chain | None, with_spans: bool = False) ->
 def _runs(words: Words, text: np.ndarray, label: np.ndarray, labels: list, n: int) -> list[list[dict]]:
     edge = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(label) != 0)]))
     last = np.concatenate([edge[1:], [len(text)]]) - 1
-    begins, ends = words.code_points(words.starts[edge]), words.code_points(words.ends[last] - 1) + 1
+    begins, ends = words.code_points(words.starts[edge], text[edge]), words.code_points(words.ends[last], text[edge])
     out: list[list[dict]] = [[] for _ in range(n)]
     for t, c, a, b in zip(text[edge].tolist(), label[edge].tolist(), begins.tolist(), ends.tolist(), strict=True):
         out[t].append({"start": a, "end": b, "lang": labels[c]})

@@ -125,7 +125,7 @@ def _spans(words: Words | None, text: np.ndarray, p: np.ndarray, n: int) -> list
     edge = np.concatenate([[True], (np.diff(toxic) != 1) | (np.diff(text[toxic]) != 0)])
     first = toxic[edge]
     last = toxic[np.concatenate([edge[1:], [True]])]
-    begins, ends = words.code_points(words.starts[first]), words.code_points(words.ends[last] - 1) + 1
+    begins, ends = words.code_points(words.starts[first], text[first]), words.code_points(words.ends[last], text[first])
     for k, (t, a, b) in enumerate(zip(text[first].tolist(), begins.tolist(), ends.tolist(), strict=True)):
         out[t].append({"start": a, "end": b, "score": float(p[first[k] : last[k] + 1].max())})
     return out

@@ -1,0 +1,18 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+
+from conftest_llm import odd_rows, table
+
+
+@pytest.fixture(params=[False, True], ids=["plain", "clashing"])
+def odd_docs(request, spark):
+    return table(spark, odd_rows(), request.param)
+
+
+@pytest.fixture
+def no_docs(spark):
+    return table(spark, [])
