@@ -54,9 +54,9 @@ def cohort_fills(market_fills: DataFrame, members: DataFrame, spec: RetentionSpe
 
     A fill is repeated for every cohort it follows (at most one per month of the
     span). Takes single fills or month-grain counts alike; what goes on to count
-    fills should pass the latter. Members that have a status hand it on.
+    fills should pass the latter. Members that have a status or a sum of fills hand it on.
     """
-    status = [c for c in members.columns if c == "status"]
+    status = [c for c in members.columns if c in ("status", "fills_in_span")]
     keys = members.select(
         "market",
         F.col("cohort_chain").alias("chain"),
@@ -98,49 +98,48 @@ def period_dim(market_fills: DataFrame, spec: RetentionSpec) -> DataFrame:
     )
 
 
-def cohort_min_fills(
-    members: DataFrame, monthly: DataFrame, periods: DataFrame, spec: RetentionSpec
-) -> DataFrame:
-    """Members with enough fills in the span; two on one day are two.
+def member_history(members: DataFrame, monthly: DataFrame, spec: RetentionSpec) -> DataFrame:
+    """Members with their fills in the span and their fill months in the lookback.
 
-    ``monthly`` is month-grain. ``periods`` has one row per cohort month, at most
-    ``spec.cohort_count``, which bounds the broadcast. Its dates are calendar
-    months, so a fill lies within them if its month does.
+    ``monthly`` is month-grain and reaches back ``lookback_months``. One band join
+    serves both: a month lies in the span or before the cohort. Both ends are whole
+    calendar months, so the bounds of ``period_dim`` are month arithmetic here. Every
+    member has its own cohort month, so none is lost, and all its columns are carried
+    along: nothing is joined back.
     """
-    bounds = F.broadcast(periods.select("cohort_yyyymm", "cohort_begin", "lookforward_end"))
-    active = (
-        cohort_fills(monthly, members, spec)
-        .join(bounds, "cohort_yyyymm")
-        .filter(F.col("fill_month").between(F.col("cohort_begin"), F.col("lookforward_end")))
-        .groupBy(*MEMBER)
-        .agg(F.sum("n_fills").alias("n_fills"))
-        .filter(F.col("n_fills") >= spec.min_fills)
+    keys = members.select(*MEMBER_WIDE).withColumnsRenamed(
+        {"market_desc": "member_desc", "cohort_chain": "chain"}
+    )
+    distance = month_index(F.col("fill_yyyymm")) - month_index(F.col("cohort_yyyymm"))
+    return (
+        monthly.select("market", "chain", "entity_id", "fill_yyyymm", "n_fills")
+        .join(keys, ["entity_id", "chain", "market"])
+        .withColumn("distance", distance)
+        .filter(F.col("distance").between(-spec.lookback_months, spec.span_months - 1))
+        .groupBy(
+            "market",
+            F.col("member_desc").alias("market_desc"),
+            F.col("chain").alias("cohort_chain"),
+            "cohort_yyyymm",
+            "cohort_month",
+            "entity_id",
+        )
+        .agg(
+            F.coalesce(F.sum(F.when(F.col("distance") >= 0, F.col("n_fills"))), F.lit(0)).alias("fills_in_span"),
+            F.count_if(F.col("distance") < 0).alias("months_before"),
+        )
     )
-    return members.join(active, list(MEMBER), "left_semi")
 
 
-def entity_status(members: DataFrame, monthly: DataFrame, spec: RetentionSpec) -> DataFrame:
-    """NEW, or CONTINUING if the entity bought at this chain in the lookback.
+def cohort_min_fills(history: DataFrame, spec: RetentionSpec) -> DataFrame:
+    """Members with enough fills in the span; two on one day are two."""
+    return history.filter(F.col("fills_in_span") >= spec.min_fills)
 
-    ``monthly`` is month-grain and reaches back ``lookback_months``.
-    """
-    earlier = monthly.filter(
-        F.col("fill_yyyymm").between(spec.lookback_first, spec.lookback_last)
-    ).select("market", F.col("chain").alias("cohort_chain"), "entity_id", "fill_yyyymm")
-    back = month_index(F.col("cohort_yyyymm")) - month_index(F.col("fill_yyyymm"))
-    seen = (
-        members.select(*MEMBER)
-        .join(earlier, ["market", "cohort_chain", "entity_id"])
-        .filter(back.between(1, spec.lookback_months))
-        .select(*MEMBER)
-        .distinct()
-        .withColumn("seen", F.lit(True))
-    )
-    return (
-        members.join(seen, list(MEMBER), "left")
-        .withColumn("status", F.when(F.col("seen").isNull(), S.NEW).otherwise(S.CONTINUING))
-        .drop("seen")
-    )
+
+def entity_status(active: DataFrame) -> DataFrame:
+    """NEW, or CONTINUING if the entity bought at this chain in the lookback."""
+    status = F.when(F.col("months_before") > 0, S.CONTINUING).otherwise(S.NEW)
+    return active.select(*MEMBER_WIDE, status.alias("status"), "fills_in_span")
 
 
 def status_fills(fills_of_cohort: DataFrame, members: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapsewise.functions import labels
-from lapsewise.operators.cohort import MEMBER, MEMBER_WIDE
+from lapsewise.operators.cohort import MEMBER_WIDE
 from lapsewise.spec import RetentionSpec
 
 LOSS = (*MEMBER_WIDE, "status", "last_fill_month", "before_gap_start", "after_gap_end", "lost_month")
@@ -16,8 +16,8 @@ FILL_COLUMNS = (
 )
 
 
-def _losses(lost: DataFrame, spec: RetentionSpec) -> DataFrame:
-    return lost.filter(F.col("lost_month") < spec.never_lost).select(*LOSS)
+def _losses(lost: DataFrame, spec: RetentionSpec, *more: str) -> DataFrame:
+    return lost.filter(F.col("lost_month") < spec.never_lost).select(*LOSS, *more)
 
 
 def _inside(month: str) -> Column:
@@ -83,55 +83,80 @@ def fill_kinds(market_fills: DataFrame, spec: RetentionSpec) -> DataFrame:
 
 
 def lost_window_kinds(lost: DataFrame, kinds: DataFrame, spec: RetentionSpec) -> DataFrame:
-    """As ``lost_window_fills``, from fill kinds; a plain left join, with no hot key."""
+    """As ``lost_window_fills``, from fill kinds; a plain left join, with no hot key.
+
+    Members never lost match nothing and keep one row without a destination, so that
+    what follows needs no second look at the members.
+    """
     right = kinds.withColumnsRenamed({"market": "k_market", "entity_id": "k_entity"})
-    joined = _losses(lost, spec).join(
+    is_lost = F.col("lost_month") < spec.never_lost
+    joined = lost.select(*LOSS).join(
         right,
         (F.col("market") == F.col("k_market"))
         & (F.col("entity_id") == F.col("k_entity"))
+        & is_lost
         & _inside("fill_yyyymm"),
         "left",
     )
-    return _labelled(joined.drop("k_market", "k_entity"), spec).withColumn(
-        "n_fills", F.coalesce("n_fills", F.lit(1))
+    return (
+        _labelled(joined.drop("k_market", "k_entity"), spec)
+        .withColumn("lost_dest", F.when(is_lost, F.col("lost_dest")))
+        .withColumn("n_fills", F.coalesce("n_fills", F.lit(1)))
     )
 
 
-def _heaviest(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Per key, the label with most weighted fills; then latest date, then name."""
-    sizes = rows.groupBy(*keys, label).agg(
-        F.sum("fill_weight").alias("weight"), F.max("fill_date").alias("last_date")
-    )
-    order = Window.partitionBy(*keys).orderBy(
-        F.desc("weight"), F.desc_nulls_last("last_date"), F.asc_nulls_last(label)
+def first_choice(*named: str) -> Column:
+    """Of rows with weight and last_date: the heaviest, then latest (a date before none), then first by name."""
+    late = F.coalesce(-F.unix_date("last_date"), F.lit(2**31 - 1))
+    return F.min(F.struct((-F.col("weight")).alias("w"), late.alias("d"), *named))
+
+
+def chosen(per_class: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: its destination, the class of outlet behind that, and whether own mail was used.
+
+    ``per_class`` has weight, last_date and own_mail summed by key, ``lost_dest`` and ``lost_dest_detail``. The class is
+    chosen within each destination, then the destination; each step aggregates the one before.
+    """
+    per_dest = per_class.groupBy(*keys, "lost_dest").agg(
+        first_choice("lost_dest_detail").getField("lost_dest_detail").alias("lost_dest_detail"),
+        F.sum("weight").alias("weight"),
+        F.max("last_date").alias("last_date"),
+        F.max("own_mail").alias("own_mail"),
     )
     return (
-        sizes.withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") == 1)
-        .select(*keys, label)
+        per_dest.groupBy(*keys)
+        .agg(first_choice("lost_dest", "lost_dest_detail").alias("best"), F.max("own_mail").alias("own_mail"))
+        .select(*keys, "best.lost_dest", "best.lost_dest_detail", "own_mail")
     )
 
 
-def lost_destination(followup: DataFrame) -> DataFrame:
-    """One destination per lost member, from follow-up fills or their kinds."""
-    return _heaviest(followup, list(LOSS), "lost_dest")
+def member_followup(followup: DataFrame, spec: RetentionSpec) -> DataFrame:
+    """One row per member of ``followup``: LOSS, ``lost_dest``, ``lost_dest_detail``, ``own_mail``.
 
-
-def lost_outlet_class(followup: DataFrame, cleaned: DataFrame, spec: RetentionSpec) -> DataFrame:
-    """Outlet class behind the destination of each member still lost.
-
-    Follow-up fills are grouped by class first, so that the semi join and the
-    ranking see a few rows per member, however many fills it has.
+    Follow-up fills and fill kinds serve alike. Everything later stages ask of the follow-up is a column here.
     """
-    lost = cleaned.filter(F.col("lost_month") <= spec.last_lost_month)
     detail = labels.destination_detail(
         F.col("lost_dest"), F.col("chain"), F.col("outlet_class"), spec
     )
-    keys = [*LOSS, "lost_dest"]
-    grouped = (
-        followup.withColumn("lost_dest_detail", detail)
-        .groupBy(*keys, "lost_dest_detail")
-        .agg(F.sum("fill_weight").alias("fill_weight"), F.max("fill_date").alias("fill_date"))
-        .join(lost.select(*MEMBER, "lost_dest"), [*MEMBER, "lost_dest"], "left_semi")
+    own_mail = F.coalesce(F.col("supplier_id") == spec.own_mail_supplier, F.lit(False))
+    per_class = (
+        followup.withColumn("lost_dest_detail", F.when(F.col("lost_dest").isNotNull(), detail))
+        .groupBy(*LOSS, "lost_dest", "lost_dest_detail")
+        .agg(
+            F.sum("fill_weight").alias("weight"),
+            F.max("fill_date").alias("last_date"),
+            F.max(own_mail).alias("own_mail"),
+        )
     )
-    return _heaviest(grouped, keys, "lost_dest_detail")
+    return chosen(per_class, list(LOSS))
+
+
+def lost_destination(members: DataFrame, spec: RetentionSpec) -> DataFrame:
+    """One destination per lost member, of ``member_followup``."""
+    return _losses(members, spec, "lost_dest")
+
+
+def lost_outlet_class(cleaned: DataFrame, spec: RetentionSpec) -> DataFrame:
+    """Outlet class behind the destination of each member still lost after the cleanup."""
+    lost = cleaned.filter(F.col("lost_month") <= spec.last_lost_month)
+    return lost.select(*LOSS, "lost_dest", "lost_dest_detail")

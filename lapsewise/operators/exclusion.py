@@ -5,67 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise import spec as S
 from lapsewise.functions.keys import code_number
-from lapsewise.operators.cohort import MEMBER
+from lapsewise.operators.market import hinted
 from lapsewise.spec import RetentionSpec
 
 
-def code_users(fills: DataFrame, codes: DataFrame, spec: RetentionSpec) -> DataFrame:
+def of_codes(fills: DataFrame, codes: DataFrame, codes_bytes: int | None = None) -> DataFrame:
+    """Fills (or anything with a ``product_code``) of listed codes.
+
+    Codes are compared as numbers; a dirty code matches nothing. ``codes_bytes``
+    bounds the stored size of the list, as for a market.
+    """
+    listed = codes.select(code_number(F.col("ndc")).alias("listed_code"))
+    same = code_number(F.col("product_code")) == F.col("listed_code")
+    return fills.join(hinted(listed, codes_bytes), same, "left_semi")
+
+
+def code_users(listed_fills: DataFrame, spec: RetentionSpec) -> DataFrame:
     """Entities that bought a listed code, tagged with the market they leave.
 
-    ``fills`` are exclusion fills. Codes are compared as numbers; a dirty code
-    matches nothing.
+    ``listed_fills`` are exclusion fills of listed codes.
     """
-    listed = codes.select(code_number(F.col("ndc")).alias("code"))
     return (
-        fills.select("entity_id", code_number(F.col("product_code")).alias("code"))
-        .join(listed, "code", "left_semi")
-        .select("entity_id")
+        listed_fills.select("entity_id")
         .distinct()
         .withColumn("market", F.lit(spec.exclusion_market))
     )
 
 
 def exclude_code_users(
-    lost: DataFrame, fills: DataFrame, codes: DataFrame, spec: RetentionSpec
+    lost: DataFrame, listed_fills: DataFrame, spec: RetentionSpec
 ) -> DataFrame:
     """Members without those of the exclusion market who ever bought a listed code."""
-    return lost.join(code_users(fills, codes, spec), ["market", "entity_id"], "left_anti")
+    return lost.join(code_users(listed_fills, spec), ["market", "entity_id"], "left_anti")
 
 
-def own_mail_cleanup(
-    kept: DataFrame, followup: DataFrame, destinations: DataFrame, spec: RetentionSpec
-) -> DataFrame:
+def own_mail_cleanup(members: DataFrame, spec: RetentionSpec) -> DataFrame:
     """Members who moved to the chain's own mail house count as not lost.
 
-    A member never lost who still used it would get the number after never;
-    follow-up fills exist for lost members only, so none does.
+    ``members`` have ``lost_month``, and of their follow-up ``lost_dest`` and
+    ``own_mail`` (see ``destination.member_followup``). A member never lost who
+    still used the mail house would get the number after never; follow-up fills
+    exist for lost members only, so none does.
     """
-    own_mail = (
-        followup.filter(F.col("supplier_id") == spec.own_mail_supplier)
-        .select(*MEMBER)
-        .distinct()
-        .withColumn("own_mail", F.lit(True))
-    )
-    dest = destinations.select(*MEMBER, F.col("lost_dest").alias("dest"))
     number = F.col("lost_month")
     never = number == spec.never_lost
-    moved = F.col("own_mail").isNotNull()
-    return (
-        kept.join(own_mail, list(MEMBER), "left")
-        .join(dest, list(MEMBER), "left")
-        .withColumn(
-            "lost_dest",
-            F.when(never | ((number < spec.never_lost) & moved), S.DEST_NOT_LOST).otherwise(
-                F.col("dest")
-            ),
-        )
-        .withColumn(
-            "lost_month",
-            F.when(never & moved, spec.never_lost + 1)
+    moved = F.coalesce(F.col("own_mail"), F.lit(False))
+    return members.withColumns(
+        {
+            "lost_dest": F.when(
+                never | ((number < spec.never_lost) & moved), spec.labels.not_lost
+            ).otherwise(F.col("lost_dest")),
+            "lost_month": F.when(never & moved, spec.never_lost + 1)
             .when((number < spec.never_lost) & moved, spec.never_lost)
             .otherwise(number),
-        )
-        .drop("own_mail", "dest")
+        }
     )

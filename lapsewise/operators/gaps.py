@@ -48,11 +48,23 @@ def first_long_gap(gaps: DataFrame, spec: RetentionSpec) -> DataFrame:
     )
 
 
-def lost_month(members: DataFrame, first_gap: DataFrame, spec: RetentionSpec) -> DataFrame:
-    """All members, numbered by the month of their loss; the last number is never."""
+def lost_month(gaps: DataFrame, spec: RetentionSpec) -> DataFrame:
+    """All members, numbered by the month of their loss; the last number is never.
+
+    Every member has a row in ``gaps`` (its cohort month at least), so the members
+    without a long gap are kept by the aggregation itself, not by an outer join.
+    """
+    start = F.min(F.when(F.col("month_gap") >= spec.gap_months, F.col("fill_month")))
     distance = months_apart(F.col("last_fill_month"), F.col("cohort_month"))
-    return members.join(first_gap, list(MEMBER), "left").withColumn(
-        "lost_month", F.coalesce(distance + 1, F.lit(spec.never_lost))
+    return (
+        gaps.groupBy(*MEMBER_WIDE, "status")
+        .agg(start.alias("last_fill_month"))
+        .select(
+            "*",
+            month_key(F.col("last_fill_month")).alias("before_gap_start"),
+            month_key(F.add_months("last_fill_month", spec.gap_months)).alias("after_gap_end"),
+            F.coalesce(distance + 1, F.lit(spec.never_lost)).alias("lost_month"),
+        )
     )
 
 
@@ -97,5 +109,6 @@ def cohort_lifecycle(monthly: DataFrame, spec: RetentionSpec) -> DataFrame:
             index_to_key(last_fill).alias("before_gap_start"),
             index_to_key(last_fill + spec.gap_months).alias("after_gap_end"),
             F.coalesce(last_fill - idx + 1, F.lit(spec.never_lost)).alias("lost_month"),
+            "fills_in_span",
         )
     )

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsewise.functions.keys import padded_code, product_key
 from lapsewise.spec import RetentionSpec
 
-# About 100 bytes a row in a broadcast table.
-BROADCAST_ROWS = 1_000_000
+# Stored bytes of a table that may be broadcast; in memory it is several times as large.
+BROADCAST_BYTES = 32 << 20
 
 
 def _ordinary(products: DataFrame, spec: RetentionSpec) -> DataFrame:
@@ -18,6 +18,35 @@ def _ordinary(products: DataFrame, spec: RetentionSpec) -> DataFrame:
     return products.filter((flag != spec.special_flag) | flag.isNull())
 
 
+def _once(rows: DataFrame, spec: RetentionSpec) -> DataFrame:
+    """Each product once per market.
+
+    A strict study fails, when it runs, on a product with two descriptions or a market with two: either would count
+    fills twice. The check is part of the plan: it costs no more shuffles of products than leaving out repeated rows.
+    """
+    if not spec.strict_market:
+        return rows.distinct()
+    described = ("market_desc", "prod_desc")
+    bounds = [f(c).alias(f"{n}_{c}") for c in described for n, f in (("least", F.min), ("most", F.max))]
+    in_market = Window.partitionBy("market")
+    clear = F.col("least_prod_desc").eqNullSafe(F.col("most_prod_desc")) & F.min("least_market_desc").over(
+        in_market
+    ).eqNullSafe(F.max("most_market_desc").over(in_market))
+    error = F.raise_error(F.concat(F.lit("market is ambiguous: "), F.col("market"), F.lit(", product "), F.col("product_key")))
+    return (
+        rows.groupBy("market", "product_key")
+        .agg(*bounds)
+        .withColumn("clear", clear)
+        .filter(F.when(F.col("clear"), F.lit(True)).otherwise(error.cast("boolean")))
+        .select(
+            "market",
+            F.col("least_market_desc").alias("market_desc"),
+            F.col("least_prod_desc").alias("prod_desc"),
+            "product_key",
+        )
+    )
+
+
 def market_by_attribute(products: DataFrame, spec: RetentionSpec) -> DataFrame:
     return (
         _ordinary(products, spec)
@@ -28,7 +57,7 @@ def market_by_attribute(products: DataFrame, spec: RetentionSpec) -> DataFrame:
             "prod_desc",
             product_key(F.col("prod_id"), F.col("pack_cd")).alias("product_key"),
         )
-        .distinct()
+        .transform(_once, spec)
     )
 
 
@@ -50,7 +79,7 @@ def market_by_code_list(
             "prod_desc",
             product_key(F.col("prod_id"), F.col("pack_cd")).alias("product_key"),
         )
-        .distinct()
+        .transform(_once, spec)
     )
 
 
@@ -90,17 +119,20 @@ def check_market(market: DataFrame) -> DataFrame:
     return market
 
 
+def hinted(side: DataFrame, stored_bytes: int | None) -> DataFrame:
+    """``side`` marked for broadcast if a bound on its stored bytes is known and small."""
+    return F.broadcast(side) if stored_bytes is not None and stored_bytes <= BROADCAST_BYTES else side
+
+
 def in_market(
-    fills: DataFrame, market: DataFrame, market_rows: int | None = None
+    fills: DataFrame, market: DataFrame, market_bytes: int | None = None
 ) -> DataFrame:
     """Fills of products in any market, once per market.
 
-    ``market_rows`` is a proven upper bound on the market's rows. Up to
-    ``BROADCAST_ROWS`` the market is broadcast and the fact is not shuffled;
+    ``market_bytes`` bounds the stored size of the market. Up to
+    ``BROADCAST_BYTES`` the market is broadcast and the fact is not shuffled;
     above it, or without a bound, the join is left to statistics, and adaptive
     execution may split a hot product.
     """
     side = market.select("product_key", "market", "market_desc", "prod_desc")
-    if market_rows is not None and market_rows <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    return fills.join(side, "product_key")
+    return fills.join(hinted(side, market_bytes), "product_key")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsewise.operators.survival import SEGMENT, entities
-from lapsewise.spec import REPORT_COMPETITOR
+from lapsewise.spec import Labels
 
 COHORT = ("market", "market_desc", "cohort_yyyymm", "cohort_chain")
 
@@ -22,24 +22,34 @@ def market_size(market: DataFrame) -> DataFrame:
 
 
 def entity_counts(
-    rows: DataFrame, by: tuple[str, ...] = COHORT, weight: str | None = None
+    rows: DataFrame,
+    by: tuple[str, ...] = COHORT,
+    weight: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
-    """Rows and distinct entities per cohort; ``weight`` names a count per row."""
+    """Rows and distinct entities per cohort; ``weight`` names a count per row.
+
+    ``unique`` states that an entity has one row per group, which saves a shuffle.
+    """
     n_rows = F.sum(weight) if weight else F.count("*")
     return (
         rows.groupBy(*by)
-        .agg(n_rows.alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"))
+        .agg(n_rows.alias("n_rows"), entities(unique).alias("n_entities"))
         .orderBy(*by)
     )
 
 
-def gap_reconcile(member_fills: DataFrame, monthly: DataFrame) -> DataFrame:
-    """Month-grain fill counts must add up to the fills themselves."""
-    raw = member_fills.groupBy(*SEGMENT).agg(F.count("*").alias("n_fills"))
-    rolled = monthly.groupBy(*SEGMENT).agg(F.sum("n_fills").alias("n_rolled_up"))
+def gap_reconcile(member_fills: DataFrame) -> DataFrame:
+    """Month-grain sums of fills must add up to the fills themselves.
+
+    ``member_fills`` are single cohort fills of members that hand on
+    ``fills_in_span``, the sum over the month grain.
+    """
     return (
-        raw.join(rolled, list(SEGMENT), "full")
-        .na.fill(0, ["n_fills", "n_rolled_up"])
+        member_fills.groupBy(*SEGMENT, "entity_id")
+        .agg(F.count("*").alias("n_fills"), F.max("fills_in_span").alias("n_rolled_up"))
+        .groupBy(*SEGMENT)
+        .agg(F.sum("n_fills").alias("n_fills"), F.sum("n_rolled_up").alias("n_rolled_up"))
         .withColumn("difference", F.col("n_fills") - F.col("n_rolled_up"))
     )
 
@@ -99,12 +109,12 @@ def distinct_pairs(rows: DataFrame, *columns: str) -> DataFrame:
 def with_grand_total(members: DataFrame, unique: bool = False) -> DataFrame:
     """Entities per segment beside the sum over all segments.
 
-    The unpartitioned window sees the segments, not the members.
+    The window sees the segments, a few rows, not the members; it is one partition on purpose.
     """
     return (
         members.groupBy(*SEGMENT)
         .agg(entities(unique).alias("n_entities"))
-        .withColumn("grand_total", F.sum("n_entities").over(Window.partitionBy(F.lit(1))))
+        .withColumn("grand_total", F.sum("n_entities").over(Window.partitionBy()))
     )
 
 
@@ -123,7 +133,7 @@ def window_breaches(followup: DataFrame) -> DataFrame:
     )
 
 
-def month_zero(curve: DataFrame, dest: str = REPORT_COMPETITOR) -> DataFrame:
+def month_zero(curve: DataFrame, dest: str = Labels().report_competitor) -> DataFrame:
     """Details that one destination shows at the curve's start."""
     keys = ["market", "status", "cohort_yyyymm", "chain_name"]
     return (
@@ -162,6 +172,25 @@ def version_diff(
     )
 
 
+def row_diff(old: DataFrame, new: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Whole rows of two versions of a table: how many there are in each, and how many differ.
+
+    Rows are compared by all ``columns``, repeats counted, in one aggregation.
+    """
+    both = old.select(*columns, F.lit(1).alias("is_old"), F.lit(0).alias("is_new")).unionByName(
+        new.select(*columns, F.lit(0).alias("is_old"), F.lit(1).alias("is_new"))
+    )
+    return (
+        both.groupBy(*columns)
+        .agg(F.sum("is_old").alias("n_old"), F.sum("is_new").alias("n_new"))
+        .agg(
+            F.sum("n_old").alias("n_old"),
+            F.sum("n_new").alias("n_new"),
+            F.sum(F.abs(F.col("n_old") - F.col("n_new"))).alias("n_differ"),
+        )
+    )
+
+
 def curve_report_topn(curve: DataFrame, n: int = 200) -> DataFrame:
     """First rows of the combined report, in a total order."""
     keys = [
@@ -192,9 +221,9 @@ def curve_report_topn(curve: DataFrame, n: int = 200) -> DataFrame:
     )
 
 
-def preview(rows: DataFrame, n: int = 30) -> DataFrame:
-    """Some rows, no particular ones."""
-    return rows.limit(n)
+def preview(rows: DataFrame, by: tuple[str, ...], n: int = 30) -> DataFrame:
+    """The first rows in the order of ``by``."""
+    return rows.orderBy(*[F.asc_nulls_last(c) for c in by]).limit(n)
 
 
 def stage_ledger(stages: dict[str, DataFrame]) -> DataFrame:

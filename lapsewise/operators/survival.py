@@ -20,13 +20,15 @@ def entities(unique: bool) -> Column:
     return F.count("*") if unique else F.countDistinct("entity_id")
 
 
-def lost_by_destination(classes: DataFrame, unique: bool = False) -> DataFrame:
+def lost_by_destination(
+    classes: DataFrame, spec: RetentionSpec, unique: bool = False
+) -> DataFrame:
     """Lost entities per segment, month of loss, reported destination and class.
 
     ``unique`` states that each member has one row, which saves a shuffle.
     """
     return (
-        classes.withColumn("dest", labels.report_destination(F.col("lost_dest")))
+        classes.withColumn("dest", labels.report_destination(F.col("lost_dest"), spec))
         .groupBy(*SEGMENT, "lost_month", F.col("dest").alias("lost_dest"), "lost_dest_detail")
         .agg(entities(unique).alias("lost"))
     )
@@ -64,6 +66,32 @@ def survival_rate(at_risk: DataFrame, spec: RetentionSpec) -> DataFrame:
     )
 
 
+def dense_rate(at_risk: DataFrame, spec: RetentionSpec) -> DataFrame:
+    """Curve points for every month from 0 to the last, also those in which nobody was lost.
+
+    A month without a row survives as the month before it; month 0 is whole. The
+    months are made per segment, a few rows each.
+    """
+    segment = Window.partitionBy(*SEGMENT).orderBy("lost_month")
+    so_far = segment.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    months = F.sequence(F.lit(0), F.lit(spec.last_lost_month))
+    every = at_risk.select(*SEGMENT, "total").distinct().withColumn("lost_month", F.explode(months))
+    lost = at_risk.select(*SEGMENT, "lost_month", F.col("lost").alias("in_month"))
+    gone = F.sum("in_month").over(so_far)
+    return (
+        every.join(lost, [*SEGMENT, "lost_month"], "left")
+        .withColumn("in_month", F.coalesce("in_month", F.lit(0)))
+        .withColumn("survival", F.col("total") - gone)
+        .select(
+            *SEGMENT,
+            "lost_month",
+            (F.col("survival") + F.col("in_month")).alias("cohort"),
+            "survival",
+            (F.col("survival") / F.col("total")).alias("rate"),
+        )
+    )
+
+
 def _with_month_zero(df: DataFrame, at_zero: dict) -> DataFrame:
     """Each month-1 row once more as month 0, with some columns replaced."""
     first = df.filter(F.col("lost_month") == 1).withColumns(
@@ -81,24 +109,24 @@ def lost_month_zero(lost: DataFrame) -> DataFrame:
     return _with_month_zero(lost, {"lost": F.lit(0).cast("bigint")})
 
 
-def curve_report(points: DataFrame, lost: DataFrame) -> DataFrame:
+def curve_report(points: DataFrame, lost: DataFrame, spec: RetentionSpec) -> DataFrame:
     """Report rows: every point with each of its destinations.
 
     ``points`` and ``lost`` include month 0; both are small counts. A month in
     which nobody was lost has no row.
     """
     keys = [*SEGMENT, "lost_month"]
-    return labelled(points.join(lost, keys))
+    return labelled(points.join(lost, keys), spec)
 
 
-def labelled(rows: DataFrame) -> DataFrame:
+def labelled(rows: DataFrame, spec: RetentionSpec) -> DataFrame:
     return rows.select(
-        labels.market_rank(F.col("market")).alias("rank"),
+        labels.market_rank(F.col("market"), spec).alias("rank"),
         "market",
         "market_desc",
         "status",
         "cohort_yyyymm",
-        labels.chain_name(F.col("cohort_chain")).alias("chain_name"),
+        labels.chain_name(F.col("cohort_chain"), spec).alias("chain_name"),
         "lost_month",
         "cohort",
         "lost_dest",
@@ -117,7 +145,7 @@ def survival_curve(
         members = members.filter(F.col("status") == status)
         classes = classes.filter(F.col("status") == status)
     points = survival_month_zero(survival_rate(survival_at_risk(members), spec))
-    return curve_report(points, lost_month_zero(lost_by_destination(classes)))
+    return curve_report(points, lost_month_zero(lost_by_destination(classes, spec)), spec)
 
 
 def curve_from_counts(counts: DataFrame, spec: RetentionSpec) -> DataFrame:
@@ -142,7 +170,7 @@ def curve_from_counts(counts: DataFrame, spec: RetentionSpec) -> DataFrame:
             *SEGMENT,
             "lost_month",
             "cohort",
-            labels.report_destination(F.col("lost_dest")).alias("lost_dest"),
+            labels.report_destination(F.col("lost_dest"), spec).alias("lost_dest"),
             "lost_dest_detail",
             F.col("members").alias("lost"),
             left.alias("survival"),
@@ -158,6 +186,7 @@ def curve_from_counts(counts: DataFrame, spec: RetentionSpec) -> DataFrame:
         .withColumn("lost", F.when(at_zero, 0).otherwise(F.col("lost")))
         .withColumn("survival", F.when(at_zero, F.col("cohort")).otherwise(F.col("survival")))
         .withColumn("rate", F.when(at_zero, 1.0).otherwise(F.col("rate")))
-        .withColumn("lost_month", F.col("shown"))
+        .withColumn("lost_month", F.col("shown")),
+        spec,
     )
 

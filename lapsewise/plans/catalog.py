@@ -15,7 +15,7 @@ from lapsewise.plans import fused
 from lapsewise.plans.inputs import StarInputs
 from lapsewise.plans.staged import LeanStudy, StagedStudy
 from lapsewise.sources import star
-from lapsewise.sources.stages import shared_dir
+from lapsewise.sources.stages import remove, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPEC = star.STAR_SPEC
@@ -78,7 +78,7 @@ def fills_in_market(spark, sf_dir):
 
 @query
 def market_by_attribute(spark, sf_dir):
-    return market.market_by_attribute(star.products(spark, sf_dir), SPEC)
+    return market.market_by_attribute(StarInputs(spark, sf_dir).products, SPEC)
 
 
 @query
@@ -97,7 +97,7 @@ def market_definition(spark, sf_dir):
 
 @query
 def fn_product_key(spark, sf_dir):
-    return star.table(spark, sf_dir, "part").select(
+    return star.Tables(spark, sf_dir)("part").select(
         "p_partkey",
         keys.product_key(F.col("p_partkey"), F.col("p_size")).alias("product_key"),
     )
@@ -106,7 +106,7 @@ def fn_product_key(spark, sf_dir):
 @query
 def fn_code_normalise(spark, sf_dir):
     part_key = F.col("p_partkey").cast("string")
-    return star.table(spark, sf_dir, "part").select(
+    return star.Tables(spark, sf_dir)("part").select(
         "p_partkey",
         keys.code_number(keys.padded_code(part_key, 12)).alias("from_padded"),
         keys.code_number(part_key).alias("from_short"),
@@ -117,13 +117,13 @@ def fn_code_normalise(spark, sf_dir):
 @query
 def fn_month_parse(spark, sf_dir):
     key = months.month_key(F.col("o_orderdate").cast("date"))
-    return star.table(spark, sf_dir, "orders").select(
+    return star.Tables(spark, sf_dir)("orders").select(
         "o_orderkey", key.alias("order_yyyymm"), months.month_start(key).alias("order_month")
     )
 
 
 def _shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.table(spark, sf_dir, "lineitem").select(
+    return star.Tables(spark, sf_dir)("lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("ship_date")
     )
 
@@ -140,7 +140,7 @@ def fn_month_key(spark, sf_dir):
 
 @query
 def fn_fill_weight(spark, sf_dir):
-    return star.table(spark, sf_dir, "lineitem").select(
+    return star.Tables(spark, sf_dir)("lineitem").select(
         "l_orderkey",
         "l_linenumber",
         labels.fill_weight(F.col("l_quantity"), SPEC).alias("fill_weight"),
@@ -149,8 +149,8 @@ def fn_fill_weight(spark, sf_dir):
 
 @query
 def fn_outlet_label(spark, sf_dir):
-    return star.table(spark, sf_dir, "part").select(
-        "p_partkey", labels.outlet_label(F.col("p_type")).alias("outlet_label")
+    return star.Tables(spark, sf_dir)("part").select(
+        "p_partkey", labels.outlet_label(F.col("p_type"), SPEC).alias("outlet_label")
     )
 
 
@@ -177,17 +177,18 @@ def period_dim(spark, sf_dir):
 
 @query
 def cohort_min_fills(spark, sf_dir):
-    return _steps(spark, sf_dir).active_members
+    return _steps(spark, sf_dir).active_members.select(*cohort.MEMBER_WIDE)
 
 
 @query
 def entity_status(spark, sf_dir):
-    return _steps(spark, sf_dir).status
+    return _steps(spark, sf_dir).status.select(*cohort.MEMBER_WIDE, "status")
 
 
 @query
 def status_fills(spark, sf_dir):
-    return _lean(spark, sf_dir).status_fills.select(
+    study = _lean(spark, sf_dir)
+    return cohort.status_fills(study.cohort_fills, study.status).select(
         *CLAIM, "market", "cohort_chain", "cohort_yyyymm", "entity_id", "status", "fill_date",
         "fill_weight",
     )
@@ -213,13 +214,12 @@ def first_long_gap(spark, sf_dir):
 
 @query
 def lost_month(spark, sf_dir):
-    study = _lean(spark, sf_dir)
-    return gaps.lost_month(study.status, study.first_gap, SPEC)
+    return gaps.lost_month(_lean(spark, sf_dir).gaps, SPEC)
 
 
 @query
 def cohort_lifecycle(spark, sf_dir):
-    return _lean(spark, sf_dir).lifecycle
+    return _lean(spark, sf_dir).lifecycle.drop("fills_in_span")
 
 
 # Destinations and exclusions
@@ -245,7 +245,7 @@ def exclude_code_users(spark, sf_dir):
 
 @query
 def own_mail_cleanup(spark, sf_dir):
-    return _lean(spark, sf_dir).cleaned
+    return _lean(spark, sf_dir).cleaned.select(*destination.LOSS, "lost_dest")
 
 
 @query
@@ -263,7 +263,7 @@ def member_outcomes(spark, sf_dir):
 
 @query
 def lost_by_destination(spark, sf_dir):
-    return survival.lost_by_destination(_still_lost(_outcomes(spark, sf_dir)), unique=True)
+    return survival.lost_by_destination(_still_lost(_outcomes(spark, sf_dir)), SPEC, unique=True)
 
 
 @query
@@ -296,6 +296,18 @@ def survival_curve_all(spark, sf_dir):
     return fused.survival_curve(StarInputs(spark, sf_dir), SPEC)
 
 
+@query
+def survival_curve_joined(spark, sf_dir):
+    """The report as a join of the curve with its destinations, from members and classes."""
+    study = _lean(spark, sf_dir)
+    return survival.survival_curve(study.cleaned, study.outlet_class, SPEC)
+
+
+@query
+def survival_rate_dense(spark, sf_dir):
+    return survival.dense_rate(survival_at_risk(spark, sf_dir), SPEC)
+
+
 @query
 def curve_report_topn(spark, sf_dir):
     return qc.curve_report_topn(survival_curve_all(spark, sf_dir), 200)
@@ -323,14 +335,21 @@ def distinct_pairs_curve(spark, sf_dir):
 
 @query
 def preview(spark, sf_dir):
-    return qc.preview(_outcomes(spark, sf_dir))
+    return qc.preview(_outcomes(spark, sf_dir), cohort.MEMBER)
 
 
 @query
 def stage_ledger(spark, sf_dir):
-    """Runs the steps through written stages, each computed once."""
+    """Runs the steps through written stages, each computed once, and leaves none of them.
+
+    The ledger itself is a row per stage.
+    """
     store = f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
-    return qc.stage_ledger(_steps(spark, sf_dir, store).stages())
+    try:
+        ledger = qc.stage_ledger(_steps(spark, sf_dir, store).stages())
+        return spark.createDataFrame(ledger.collect(), ledger.schema)
+    finally:
+        remove(spark, store)
 
 
 @query
@@ -340,7 +359,7 @@ def qc_market_size(spark, sf_dir):
 
 @query
 def qc_entity_counts(spark, sf_dir):
-    return qc.entity_counts(_lean(spark, sf_dir).status, (*qc.COHORT, "status"))
+    return qc.entity_counts(_lean(spark, sf_dir).status, (*qc.COHORT, "status"), unique=True)
 
 
 @query
@@ -350,10 +369,33 @@ def qc_entity_counts_fills(spark, sf_dir):
     return qc.entity_counts(copies, weight="n_fills")
 
 
+@query
+def qc_entity_counts_followup(spark, sf_dir):
+    """Follow-up fills and their entities by segment."""
+    kinds = _lean(spark, sf_dir).followup_kinds.filter(F.col("lost_month") < SPEC.never_lost)
+    return qc.entity_counts(kinds, survival.SEGMENT, "n_fills")
+
+
+@query
+def qc_entity_counts_destination(spark, sf_dir):
+    return qc.entity_counts(_lean(spark, sf_dir).destination, survival.SEGMENT, unique=True)
+
+
+@query
+def qc_entity_counts_excluded(spark, sf_dir):
+    kept = _lean(spark, sf_dir).kept
+    lost = kept.filter(F.col("lost_month") <= SPEC.last_lost_month)
+    return qc.entity_counts(lost, survival.SEGMENT, unique=True)
+
+
+@query
+def qc_entity_counts_cleaned(spark, sf_dir):
+    return qc.entity_counts(_lean(spark, sf_dir).cleaned, survival.SEGMENT, unique=True)
+
+
 @query
 def qc_gap_reconcile(spark, sf_dir):
-    study = _lean(spark, sf_dir)
-    return qc.gap_reconcile(study.status_fills, study.monthly)
+    return qc.gap_reconcile(_lean(spark, sf_dir).status_fills)
 
 
 @query
@@ -373,7 +415,8 @@ def qc_lost_month_dest(spark, sf_dir):
 
 @query
 def qc_dest_counts(spark, sf_dir):
-    return qc.dest_counts(_lean(spark, sf_dir).followup_kinds)
+    kinds = _lean(spark, sf_dir).followup_kinds
+    return qc.dest_counts(kinds.filter(F.col("lost_month") < SPEC.never_lost))
 
 
 @query
@@ -415,9 +458,20 @@ def qc_curve_totals(spark, sf_dir):
 
 @query
 def qc_version_diff(spark, sf_dir):
-    """The step-by-step members against the fused ones."""
+    """The step-by-step members against those of the windows, counted."""
     return qc.version_diff(
         _steps(spark, sf_dir).lost,
         _lean(spark, sf_dir).lost,
         ("market", "cohort_chain", "cohort_yyyymm", "lost_month"),
     )
+
+
+@query
+def qc_form_diff(spark, sf_dir):
+    """The step-by-step members and their outcomes against the fused ones, row by row."""
+    columns = (*cohort.MEMBER, "status", "lost_month", "lost_dest", "lost_dest_detail")
+    still_lost = F.col("lost_month") <= SPEC.last_lost_month
+    steps = _steps(spark, sf_dir).cleaned.withColumn(
+        "lost_dest_detail", F.when(still_lost, F.col("lost_dest_detail"))
+    )
+    return qc.row_diff(steps, _outcomes(spark, sf_dir), columns)

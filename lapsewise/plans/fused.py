@@ -1,11 +1,12 @@
 """The study as one straight plan, for large data.
 
-Fills are read once and counted per entity and month before they are shuffled.
+Fills are read once, joined and filtered as far as that needs no shuffle, and counted
+per entity and month before they are shuffled to the entity.
 An entity's activity at a chain then fits one integer, a bit per month, and
 membership, status and losses are bit arithmetic on it. A fill follows at most
 one loss per chain, because losses are at least ``gap_months`` apart, so the
-follow-up needs no join either. After the shuffle on (market, entity) all that
-remains runs without another one, down to the counts.
+follow-up needs no join either. After the one shuffle on the entity all that remains,
+the exclusion of code users included, runs without another one, down to the counts.
 
 No group grows with the fills of a hot entity: the first aggregation leaves a
 row per month, chain, channel, class and mail flag.
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from lapsewise import spec as S
 from lapsewise.functions import labels
 from lapsewise.functions.months import index_to_key, key_index, month_index
-from lapsewise.operators import exclusion, fills, market, survival
+from lapsewise.operators import destination, exclusion, fills, market, survival
 from lapsewise.plans.inputs import Inputs
+from lapsewise.plans.staged import LeanStudy
 from lapsewise.spec import RetentionSpec
 
 # The entity comes first: sorts on these keys then mostly compare one number.
@@ -29,7 +31,10 @@ TRACK = (*ENTITY, "cohort_chain", "active", "busy")
 
 
 def fits(spec: RetentionSpec) -> bool:
-    """Whether the study's months fit the bits of one integer, and its rules the plan."""
+    """Whether the study's months fit the bits of one integer, and its rules the plan.
+
+    A study that does not fit runs on month-grain windows up to the lost month: see ``member_outcomes``.
+    """
     months = key_index(spec.fills_last) - key_index(spec.lookback_first) + 1
     return (
         months + spec.gap_months <= 63
@@ -167,29 +172,8 @@ def _outcomes(tracks: DataFrame, spec: RetentionSpec) -> DataFrame:
         )
     )
 
-    def first_choice(*named: str) -> Column:
-        """Heaviest, then latest (a date before none), then first by name."""
-        late = F.coalesce(-F.unix_date("last_date"), F.lit(2**31 - 1))
-        return F.min(F.struct((-F.col("weight")).alias("w"), late.alias("d"), *named))
-
-    per_dest = per_class.groupBy(*TRACK, "loss_no", "lost_dest").agg(
-        first_choice("lost_dest_detail").getField("lost_dest_detail").alias("lost_dest_detail"),
-        F.sum("weight").alias("weight"),
-        F.max("last_date").alias("last_date"),
-        F.max("own_mail").alias("own_mail"),
-    )
-    per_loss = per_dest.groupBy(*TRACK, "loss_no").agg(
-        first_choice("lost_dest", "lost_dest_detail").alias("best"),
-        F.max("own_mail").alias("own_mail"),
-    )
-    entry = F.struct(
-        "loss_no",
-        F.struct(
-            F.col("best.lost_dest").alias("lost_dest"),
-            F.col("best.lost_dest_detail").alias("lost_dest_detail"),
-            "own_mail",
-        ),
-    )
+    per_loss = destination.chosen(per_class, [*TRACK, "loss_no"])
+    entry = F.struct("loss_no", F.struct("lost_dest", "lost_dest_detail", "own_mail"))
     listed = F.collect_list(F.when(F.col("loss_no").isNotNull(), entry))
     return per_loss.groupBy(*TRACK).agg(F.map_from_entries(listed).alias("outcomes"))
 
@@ -228,12 +212,12 @@ def _members(outcomes: DataFrame, spec: RetentionSpec) -> DataFrame:
             index_to_key(start + spec.gap_months).alias("after_gap_end"),
             raw.alias("lost_month_before"),
             F.when(still_lost, raw).otherwise(spec.never_lost).alias("lost_month"),
-            F.when(still_lost, F.coalesce(F.col("found.lost_dest"), F.lit(S.DEST_STOPPED)))
-            .otherwise(S.DEST_NOT_LOST)
+            F.when(still_lost, F.coalesce(F.col("found.lost_dest"), F.lit(spec.labels.stopped)))
+            .otherwise(spec.labels.not_lost)
             .alias("lost_dest"),
             F.when(
                 still_lost,
-                F.when(F.col("found").isNull(), S.DETAIL_OFF_GRID).otherwise(
+                F.when(F.col("found").isNull(), spec.labels.detail_off_grid).otherwise(
                     F.col("found.lost_dest_detail")
                 ),
             ).alias("lost_dest_detail"),
@@ -242,28 +226,55 @@ def _members(outcomes: DataFrame, spec: RetentionSpec) -> DataFrame:
 
 
 def member_outcomes(inputs: Inputs, spec: RetentionSpec, exclude: bool = True) -> DataFrame:
-    """Every cohort member that is left after the exclusion, with its outcome."""
+    """Every cohort member that is left after the exclusion, with its outcome.
+
+    A study of any length and any minimum of fills: what does not fit one integer
+    per customer takes the form that works on windows over months.
+    """
     if not fits(spec):
-        raise ValueError("the study does not fit one integer per customer; use LeanStudy")
+        return windowed_outcomes(inputs, spec, exclude)
     s = spec
-    raw = fills.trusted_fills(inputs.fills, s).filter(
+    products = market.market_definition(
+        inputs.products, inputs.bridge, inputs.market_codes, s
+    )
+    raw = fills.trusted_fills(inputs.fills_in_market(products), s).filter(
         F.col("fill_yyyymm").between(s.lookback_first, s.fills_last)
         & F.col("channel").isin(*s.followup_channels)
         & (F.col("is_maintenance") == 1)
     )
-    products = market.market_definition(
-        inputs.products, inputs.bridge, inputs.market_codes, s
-    )
-    activity = month_activity(market.in_market(raw, products, inputs.market_rows), s)
-    outcomes = _outcomes(_tracks(activity.repartition("market", "entity_id"), s), s)
+    # on the entity alone: every later key, the anti join's too, has it
+    activity = month_activity(raw, s).repartition("entity_id")
+    outcomes = _outcomes(_tracks(activity, s), s)
     if exclude:
-        users = exclusion.code_users(
-            fills.exclusion_fills(inputs.history, s), inputs.exclusion_codes, s
-        )
-        outcomes = outcomes.join(users, ["market", "entity_id"], "left_anti")
+        listed = fills.exclusion_fills(inputs.history_of_codes(), s)
+        outcomes = exclusion.exclude_code_users(outcomes, listed, s)
     return _members(outcomes, s)
 
 
+def windowed_outcomes(inputs: Inputs, spec: RetentionSpec, exclude: bool = True) -> DataFrame:
+    """The same rows from ``LeanStudy``, without a bound on months or fills."""
+    study = LeanStudy(inputs, spec)
+    before = F.col("lost_month").alias("lost_month_before")
+    outcome = study.outcome.select("*", before)
+    if exclude:
+        outcome = exclusion.exclude_code_users(outcome, study._listed, spec)
+    still_lost = F.col("lost_month") <= spec.last_lost_month
+    return exclusion.own_mail_cleanup(outcome, spec).select(
+        "market",
+        "market_desc",
+        "cohort_chain",
+        "cohort_yyyymm",
+        "entity_id",
+        "status",
+        "before_gap_start",
+        "after_gap_end",
+        "lost_month_before",
+        "lost_month",
+        "lost_dest",
+        F.when(still_lost, F.col("lost_dest_detail")).alias("lost_dest_detail"),
+    )
+
+
 def member_counts(members: DataFrame) -> DataFrame:
     """Members per segment, month of loss, destination and class; a small table."""
     return members.groupBy(

@@ -45,9 +45,6 @@ class StagedStudy:
     def _keep(self, name: str, df: DataFrame) -> DataFrame:
         return write_stage(df, f"{self.store}/{name}") if self.store else df
 
-    def _in_market(self, rows: DataFrame) -> DataFrame:
-        return market.in_market(rows, self.market, self.inputs.market_rows)
-
     @stage
     def market(self) -> DataFrame:
         i = self.inputs
@@ -57,12 +54,13 @@ class StagedStudy:
     def qualified(self) -> DataFrame:
         """Qualified fills of any market, from the lookback to the last span month."""
         s = self.spec
-        rows = fills.qualified_fills(self.inputs.fills, s, s.lookback_first, s.fills_last)
-        return self._in_market(fills.with_weight(rows, s))
+        rows = self.inputs.fills_in_market(self.market)
+        return fills.with_weight(fills.qualified_fills(rows, s, s.lookback_first, s.fills_last), s)
 
     @stage
     def members(self) -> DataFrame:
-        return cohort.cohort_members(self.qualified, self.spec)
+        """From the month grain, which has every (market, chain, month, entity) once."""
+        return cohort.cohort_members(self.months, self.spec)
 
     @stage
     def months(self) -> DataFrame:
@@ -78,11 +76,12 @@ class StagedStudy:
 
     @stage
     def active_members(self) -> DataFrame:
-        return cohort.cohort_min_fills(self.members, self.months, self.period_dim, self.spec)
+        history = cohort.member_history(self.members, self.months, self.spec)
+        return cohort.cohort_min_fills(history, self.spec)
 
     @stage
     def status(self) -> DataFrame:
-        return cohort.entity_status(self.active_members, self.months, self.spec)
+        return cohort.entity_status(self.active_members)
 
     @cached_property
     def status_fills(self) -> DataFrame:
@@ -102,12 +101,12 @@ class StagedStudy:
 
     @stage
     def lost(self) -> DataFrame:
-        return gaps.lost_month(self.status, self.first_gap, self.spec)
+        return gaps.lost_month(self.gaps, self.spec)
 
     @property
     def _any_chain(self) -> DataFrame:
-        raw = fills.followup_fills(self.inputs.fills, self.spec)
-        return self._in_market(fills.with_weight(raw, self.spec))
+        rows = self.inputs.fills_in_market(self.market)
+        return fills.with_weight(fills.followup_fills(rows, self.spec), self.spec)
 
     @cached_property
     def followup(self) -> DataFrame:
@@ -120,25 +119,30 @@ class StagedStudy:
         return destination.lost_window_kinds(self.lost, kinds, self.spec)
 
     @stage
+    def outcome(self) -> DataFrame:
+        """Every member with what its follow-up says."""
+        return destination.member_followup(self.followup_kinds, self.spec)
+
+    @cached_property
     def destination(self) -> DataFrame:
-        return destination.lost_destination(self.followup_kinds)
+        return destination.lost_destination(self.outcome, self.spec)
 
-    @stage
+    @property
+    def _listed(self) -> DataFrame:
+        return fills.exclusion_fills(self.inputs.history_of_codes(), self.spec)
+
+    @cached_property
     def kept(self) -> DataFrame:
-        raw = fills.exclusion_fills(self.inputs.history, self.spec)
-        return exclusion.exclude_code_users(
-            self.lost, raw, self.inputs.exclusion_codes, self.spec
-        )
+        return exclusion.exclude_code_users(self.lost, self._listed, self.spec)
 
     @stage
     def cleaned(self) -> DataFrame:
-        return exclusion.own_mail_cleanup(
-            self.kept, self.followup_kinds, self.destination, self.spec
-        )
+        left = exclusion.exclude_code_users(self.outcome, self._listed, self.spec)
+        return exclusion.own_mail_cleanup(left, self.spec)
 
-    @stage
+    @cached_property
     def outlet_class(self) -> DataFrame:
-        return destination.lost_outlet_class(self.followup_kinds, self.cleaned, self.spec)
+        return destination.lost_outlet_class(self.cleaned, self.spec)
 
     @stage
     def curve(self) -> DataFrame:
@@ -175,7 +179,7 @@ class LeanStudy(StagedStudy):
     @stage
     def status(self) -> DataFrame:
         month = month_start(F.col("cohort_yyyymm")).alias("cohort_month")
-        return self.lifecycle.select("*", month).select(*cohort.MEMBER_WIDE, "status")
+        return self.lifecycle.select("*", month).select(*cohort.MEMBER_WIDE, "status", "fills_in_span")
 
     @cached_property
     def status_fills(self) -> DataFrame:

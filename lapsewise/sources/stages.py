@@ -3,32 +3,70 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+def _at(spark: SparkSession, path: str):
+    """The path and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def write_stage(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Replace the table at ``path`` and read it back with a short lineage."""
-    writer = df.write.mode("overwrite")
+    """Replace the table at ``path`` and read it back with a short lineage.
+
+    The new table is written beside the old one and takes its place when it is whole,
+    so that a write that fails leaves the old one as it was.
+    """
+    spark = df.sparkSession
+    new = f"{path}-{uuid.uuid4().hex}"
+    writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return read_stage(df.sparkSession, path)
+    writer.parquet(new)
+    remove(spark, path)
+    place, files = _at(spark, new)
+    if not files.rename(place, _at(spark, path)[0]):
+        raise OSError(f"{new} could not be renamed to {path}")
+    return read_stage(spark, path)
 
 
 def read_stage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stage, or a folder of stages, if it is there."""
+    place, files = _at(spark, path)
+    files.delete(place, True)
+
+
+@cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="run-", dir=tempfile.gettempdir())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only on a local master."""
+    """The cluster's shared folder; a temporary one only on a local master.
+
+    A folder below the machine's own temporary one is refused on a cluster, where each
+    machine would see another.
+    """
     context = spark.sparkContext
+    local = context.master.startswith("local")
     found = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if found:
+        place = urlparse(found)
+        own = place.scheme in ("", "file") and place.path.startswith(tempfile.gettempdir() + "/")
+        if own and not local:
+            raise ValueError(f"{found} lies on each machine by itself; set {CHECKPOINT_CONF} to a shared folder")
         return found
-    if not context.master.startswith("local"):
+    if not local:
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-    return context.getCheckpointDir()
+    return _own_folder(context.applicationId)

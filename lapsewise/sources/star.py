@@ -7,11 +7,13 @@ columns it reads, so the Parquet scan reads no others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from lapsewise.functions.months import month_floor, month_key
+from lapsewise.operators.market import hinted
 from lapsewise.spec import RetentionSpec
 
 OWN_MAIL = -1
@@ -26,15 +28,22 @@ STAR_SPEC = RetentionSpec(
 )
 
 
-_SCHEMAS: dict[str, StructType] = {}
+class Tables:
+    """The tables of one folder by name, each bound once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._bound: dict[str, DataFrame] = {}
+
+    def __call__(self, name: str) -> DataFrame:
+        if name not in self._bound:
+            self._bound[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._bound[name]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table by name; its schema is read from the files once per process."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+def stored_bytes(df: DataFrame) -> int:
+    """Stored size of a plain table, as its files say; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def _month_text(yyyymm: int) -> str:
@@ -42,42 +51,57 @@ def _month_text(yyyymm: int) -> str:
 
 
 def fills(
-    spark: SparkSession,
-    sf_dir: str,
+    tables: Tables,
     first: int | None = None,
     last: int | None = None,
+    narrow: Callable[[DataFrame], DataFrame] | None = None,
+    narrowed: tuple[str, ...] = (),
 ) -> DataFrame:
     """Fill fact; ``first``/``last`` (YYYYMM) cut the scan itself.
 
     The month bounds are put on the stored timestamp, where Parquet row groups
-    can be skipped, and not only on the derived month.
+    can be skipped, and not only on the derived month. ``narrow`` joins line items
+    with what they must match (by ``product_key`` or ``product_code``) and may add
+    the columns ``narrowed``. All that depends on the outlet and the product is
+    joined and filtered before the orders, so that only surviving line items are
+    shuffled, once.
     """
     shipped = F.col("l_shipdate")
-    items = table(spark, sf_dir, "lineitem")
+    items = tables("lineitem")
     if first is not None:
         items = items.filter(shipped >= F.lit(_month_text(first)))
     if last is not None:
         after = last + 1 if last % 100 < 12 else (last // 100 + 1) * 100 + 1
         items = items.filter(shipped < F.lit(_month_text(after)))
-    orders = table(spark, sf_dir, "orders").select(
+    items = items.withColumns(
+        {"product_key": F.col("l_partkey"), "product_code": F.col("l_partkey").cast("string")}
+    )
+    orders = tables("orders").select(
         "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"
     )
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    outlets = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    nations = tables("nation").select("n_nationkey", "n_name", "n_regionkey")
+    outlets = (
+        tables("supplier")
+        .select("s_suppkey", "s_nationkey")
+        .join(hinted(nations, stored_bytes(nations)), F.col("s_nationkey") == F.col("n_nationkey"))
+    )
+    # an outlet row is a supplier's and its nation's: no more than thrice the supplier's bytes
+    outlets = hinted(outlets, 3 * stored_bytes(tables("supplier")))
+    items = items.join(outlets, F.col("l_suppkey") == F.col("s_suppkey"))
+    if narrow is not None:
+        items = narrow(items)
 
     region = F.col("n_regionkey")
     fill_date = shipped.cast("date")
     return (
         items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(outlets, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             F.col("o_custkey").alias("entity_id"),
             fill_date.alias("fill_date"),
             month_floor(fill_date).alias("fill_month"),
             month_key(fill_date).alias("fill_yyyymm"),
-            F.col("l_partkey").alias("product_key"),
-            F.col("l_partkey").cast("string").alias("product_code"),
+            "product_key",
+            "product_code",
             F.when(region.isin(0, 1), "032")
             .when(region.isin(2, 3), "955")
             .when(F.col("n_nationkey") % 2 == 0, "033")
@@ -99,14 +123,15 @@ def fills(
             F.lit(0).alias("is_bridge_error"),
             F.col("l_orderkey").alias("claim_order"),
             F.col("l_linenumber").alias("claim_line"),
+            *narrowed,
         )
     )
 
 
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+def products(tables: Tables) -> DataFrame:
     """Product dimension: the part key split into a product and a pack number."""
     kind = F.col("p_type")
-    return table(spark, sf_dir, "part").select(
+    return tables("part").select(
         F.floor(F.col("p_partkey") / 1000).cast("int").alias("prod_id"),
         (F.col("p_partkey") % 1000).cast("int").alias("pack_cd"),
         F.when(kind.isin("ECONOMY", "LARGE"), "31100")
@@ -120,29 +145,29 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def product_codes(tables: Tables) -> DataFrame:
     """Bridge from twelve-digit codes to products."""
-    return table(spark, sf_dir, "part").select(
+    return tables("part").select(
         F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("ndc_cd"),
         F.floor(F.col("p_partkey") / 1000).cast("int").alias("prod_id"),
         (F.col("p_partkey") % 1000).cast("int").alias("pack_cd"),
     )
 
 
-def market_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def market_codes(tables: Tables) -> DataFrame:
     """Code list that defines the listed market."""
     brands = [f"Brand#{n}" for n in range(1, 9)]
     return (
-        table(spark, sf_dir, "part")
+        tables("part")
         .filter(F.col("p_brand").isin(*brands))
         .select(F.col("p_partkey").cast("string").alias("ndc"))
     )
 
 
-def exclusion_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exclusion_codes(tables: Tables) -> DataFrame:
     """Code list whose buyers leave the listed market's cohorts."""
     return (
-        table(spark, sf_dir, "part")
+        tables("part")
         .filter(F.col("p_partkey") % 100 == 3)
         .select(F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("ndc"))
     )

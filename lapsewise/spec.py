@@ -13,35 +13,41 @@ ATTRIBUTE_MARKETS = (
 )
 LIST_MARKET = "39200"
 LIST_MARKET_DESC = "DIABETES"
-MARKET_RANK = {
-    "31100": 1,
-    "31400": 2,
-    "39200": 3,
-    "64300": 4,
-    "32100": 5,
-    "72100": 6,
-    "41100": 7,
-    "23400": 8,
-    "31300": 9,
-    "20200": 10,
-}
-CHAIN_NAMES = {"032": "Supercenter", "955": "Neighborhood"}
-CHAIN_NAME_UNKNOWN = "null"
+MARKET_RANKS = (
+    ("31100", 1),
+    ("31400", 2),
+    ("39200", 3),
+    ("64300", 4),
+    ("32100", 5),
+    ("72100", 6),
+    ("41100", 7),
+    ("23400", 8),
+    ("31300", 9),
+    ("20200", 10),
+)
+CHAIN_NAMES = (("032", "Supercenter"), ("955", "Neighborhood"))
 NEW = "NEW"
 CONTINUING = "CONTINUING"
-DEST_MAIL = "Mail"
-DEST_COMPETITOR = "Competitor"
-DEST_STOPPED = "Stopped Treatment"
-DEST_NOT_LOST = "not lost"
-ATTENTION = "ATTENTION"
-DETAIL_OFF_GRID = "Off Grid"
-DETAIL_OWN = "Loss_WMT"
-DETAIL_SISTER = "Loss_Sam"
-DETAIL_MAIL = "Loss_Mail"
-DETAIL_PREFIX = "Loss_"
-REPORT_MAIL = "Lost to Mail"
-REPORT_COMPETITOR = "Lost to Competitor"
-REPORT_OFF_GRID = "Off Grid"
+
+
+@dataclass(frozen=True)
+class Labels:
+    """Texts of destinations, classes and the report; the defaults are fixed values as well."""
+
+    mail: str = "Mail"
+    competitor: str = "Competitor"
+    stopped: str = "Stopped Treatment"
+    not_lost: str = "not lost"
+    attention: str = "ATTENTION"
+    detail_off_grid: str = "Off Grid"
+    detail_own: str = "Loss_WMT"
+    detail_sister: str = "Loss_Sam"
+    detail_mail: str = "Loss_Mail"
+    detail_prefix: str = "Loss_"
+    report_mail: str = "Lost to Mail"
+    report_competitor: str = "Lost to Competitor"
+    report_off_grid: str = "Off Grid"
+    chain_unknown: str = "null"
 
 
 @dataclass(frozen=True)
@@ -78,11 +84,20 @@ class RetentionSpec:
     exclusion_market: str = LIST_MARKET
     outlet_class_mail: str = "OTHER"
 
+    #: Markets must be unambiguous; otherwise a product described twice counts twice.
+    strict_market: bool = True
+
+    labels: Labels = Labels()
+    market_ranks: tuple[tuple[str, int], ...] = MARKET_RANKS
+    chain_names: tuple[tuple[str, str], ...] = CHAIN_NAMES
+
     def __post_init__(self) -> None:
         if self.cohort_last < self.cohort_first:
             raise ValueError("cohort_last lies before cohort_first")
         if not 1 < self.gap_months <= self.span_months:
             raise ValueError("gap_months must be 2..span_months")
+        if self.lookback_months < 1 or self.min_fills < 1:
+            raise ValueError("lookback_months and min_fills must be at least 1")
 
     @property
     def followup_channels(self) -> tuple[str, ...]:

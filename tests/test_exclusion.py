@@ -92,6 +92,6 @@ def test_own_mail_outside_the_gap_changes_nothing(spark, spec):
 def test_member_never_lost_with_own_mail_gets_the_next_number(spark, spec):
     study = StagedStudy(make_inputs(spark, [fill(1, 201501), fill(1, 201506)]), spec)
     never = study.lost.selectExpr("* except (lost_month)", "13 as lost_month")
-    with_mail = study.followup.selectExpr("* except (supplier_id)", "348 as supplier_id")
-    cleaned = exclusion.own_mail_cleanup(never, with_mail, study.destination, spec)
+    with_mail = never.selectExpr("*", "'Mail' as lost_dest", "true as own_mail")
+    cleaned = exclusion.own_mail_cleanup(with_mail, spec)
     assert rows(cleaned, "lost_month", "lost_dest") == [(14, "not lost")]

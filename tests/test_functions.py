@@ -116,15 +116,45 @@ def test_destination_detail(spark, spec, dest, chain, outlet, expected):
     assert got == expected
 
 
-def test_report_labels(spark):
+def test_report_labels(spark, spec):
     df = spark.createDataFrame(
         [("Mail",), ("Competitor",), ("Stopped Treatment",), ("ATTENTION",), (None,)], "d string"
     )
-    got = [r[0] for r in df.select(labels.report_destination(F.col("d"))).collect()]
+    got = [r[0] for r in df.select(labels.report_destination(F.col("d"), spec)).collect()]
     assert got == ["Lost to Mail", "Lost to Competitor", "Off Grid", "ATTENTION", "ATTENTION"]
 
 
-def test_rank_and_chain_name_of_unknown_values(spark):
+def test_rank_and_chain_name_of_unknown_values(spark, spec):
     df = spark.createDataFrame([("39200", "032"), ("00000", "101"), ("20200", None)], "m string, c string")
-    got = df.select(labels.market_rank(F.col("m")), labels.chain_name(F.col("c"))).collect()
+    got = df.select(labels.market_rank(F.col("m"), spec), labels.chain_name(F.col("c"), spec)).collect()
     assert [tuple(r) for r in got] == [(3, "Supercenter"), (None, "null"), (10, "null")]
+
+
+def test_names_of_another_retailer(spark):
+    """Its own texts, ranks and chains, and none of the defaults."""
+    from dataclasses import replace
+
+    from lapsewise.operators import survival
+    from lapsewise.spec import Labels, RetentionSpec
+
+    own = Labels(**{name: f"my {name}" for name in Labels.__dataclass_fields__})
+    spec = replace(
+        RetentionSpec(), cohort_chains=("A", "B"), sister_chain="C", labels=own,
+        market_ranks=(("m1", 1),), chain_names=(("A", "Shop A"), ("B", "Shop B")),
+    )
+    rows = [(ch, o, k) for ch in ("A", "C", "Z", None) for o in ("RETAIL", "MAIL") for k in ("OTHER", "CLUB", None)]
+    df = spark.createDataFrame(rows, "chain string, channel string, outlet string")
+    dest = labels.destination(F.col("channel"), F.col("chain"), F.lit("B"), spec)
+    said = df.withColumn("dest", dest).select(
+        "dest",
+        labels.destination_detail(F.col("dest"), F.col("chain"), F.col("outlet"), spec).alias("detail"),
+        labels.report_destination(F.col("dest"), spec).alias("report"),
+    ).collect()
+    assert all(str(text).startswith("my ") for row in said for text in row)
+    points = spark.createDataFrame(
+        [("m1", "M", c, 201501, "NEW", 1, 5, "d", "x", 1, 4, 0.8) for c in ("A", "B")],
+        "market string, market_desc string, cohort_chain string, cohort_yyyymm int, status string, "
+        "lost_month int, cohort long, lost_dest string, lost_dest_detail string, lost long, survival long, rate double",
+    )
+    report = survival.labelled(points, spec).collect()
+    assert sorted((r["rank"], r["chain_name"]) for r in report) == [(1, "Shop A"), (1, "Shop B")]

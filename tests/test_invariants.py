@@ -65,7 +65,7 @@ def test_no_breach_and_no_alarm(study):
 
 
 def test_month_counts_add_up(study):
-    assert qc.gap_reconcile(study.status_fills, study.monthly).filter("difference <> 0").count() == 0
+    assert qc.gap_reconcile(study.status_fills).filter("difference <> 0").count() == 0
 
 
 def test_curve_properties(study):

@@ -126,17 +126,27 @@ def test_fills_without_an_entity_make_no_member(spark, spec):
         assert rows(df, "entity_id") == [(1,)]
 
 
-def test_fused_form_refuses_what_does_not_fit(spark):
+def test_what_does_not_fit_one_integer_takes_the_other_form(spark):
     from dataclasses import replace
 
     from lapsewise.spec import RetentionSpec
 
     assert fused.fits(RetentionSpec())
-    for bad in ({"span_months": 60}, {"min_fills": 3}, {"cohort_channels": ("CLINIC",)}):
-        spec = replace(RetentionSpec(), **bad)
+    fills = [fill(1, 201501, channel="CLINIC"), fill(1, 201502, channel="CLINIC"), fill(2, 201503)]
+    for change in ({"span_months": 60}, {"min_fills": 3}, {"cohort_channels": ("CLINIC",)}):
+        spec = replace(RetentionSpec(), **change)
         assert not fused.fits(spec)
-        with pytest.raises(ValueError):
-            fused.member_outcomes(make_inputs(spark, [fill()]), spec)
+        inputs = make_inputs(spark, fills)
+        got = rows(fused.member_outcomes(inputs, spec), "entity_id", "cohort_yyyymm")
+        assert got == rows(LeanStudy(inputs, spec).kept, "entity_id", "cohort_yyyymm")
+
+
+@pytest.mark.parametrize("bad", [{"lookback_months": 0}, {"min_fills": 0}])
+def test_settings_out_of_range(bad):
+    from lapsewise.spec import RetentionSpec
+
+    with pytest.raises(ValueError):
+        RetentionSpec(**bad)
 
 
 def test_windows_take_other_limits(spark):

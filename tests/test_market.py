@@ -1,7 +1,11 @@
+from dataclasses import replace
+
 import pytest
 
-from conftest import PRODUCT_SCHEMA, rows
+from conftest import PRODUCT_SCHEMA, fill, make_inputs, rows
 from lapsewise.operators import market
+from lapsewise.plans import fused
+from lapsewise.plans.staged import LeanStudy
 
 
 def products(spark, *items):
@@ -67,6 +71,34 @@ def test_market_join_hint_follows_the_bound(spark):
         return df._jdf.queryExecution().analyzed().toString()
 
     assert "ResolvedHint" in plan(market.in_market(fills, small, 10))
-    assert "ResolvedHint" not in plan(market.in_market(fills, small, market.BROADCAST_ROWS + 1))
+    assert "ResolvedHint" not in plan(market.in_market(fills, small, market.BROADCAST_BYTES + 1))
     assert "ResolvedHint" not in plan(market.in_market(fills, small))
     assert rows(market.in_market(fills, small, 10)) == rows(market.in_market(fills, small))
+
+
+TWICE = [
+    (1, 1, "31100", "MARKET ONE", "one", None),
+    (1, 1, "31100", "MARKET ONE", "one again", None),
+    (2, 1, None, None, "two", None),
+]
+TWO_NAMES = [
+    (1, 1, "31100", "MARKET ONE", "one", None),
+    (1, 2, "31100", "MARKET UNO", "two", None),
+    (2, 1, None, None, "two", None),
+]
+
+
+@pytest.mark.parametrize("products", [TWICE, TWO_NAMES])
+def test_an_ambiguous_market_stops_the_study(spark, spec, products):
+    inputs = make_inputs(spark, [fill(1)], products=products)
+    for run in (fused.member_outcomes, lambda i, s: LeanStudy(i, s).lost):
+        with pytest.raises(Exception, match="market is ambiguous"):
+            run(inputs, spec).collect()
+
+
+def test_a_loose_market_counts_a_product_described_twice_twice(spark, spec):
+    loose = replace(spec, strict_market=False)
+    inputs = make_inputs(spark, [fill(1)], products=TWICE)
+    assert rows(LeanStudy(inputs, loose).lost, "entity_id", "lost_month") == [(1, 1)]
+    sound = make_inputs(spark, [fill(1)])
+    assert rows(LeanStudy(sound, spec).lost) == rows(LeanStudy(sound, loose).lost) == []

@@ -41,14 +41,88 @@ def test_scans_read_few_columns(flagship):
             assert not re.search(r"l_extendedprice|l_tax|l_comment|o_totalprice|p_retailprice", scan)
 
 
-def test_shuffles_of_the_fused_plan(flagship):
-    """Per fact branch: one for the counts, one to (market, entity); no window adds one."""
-    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", flagship)
-    keys = [re.sub(r"#\d+L?", "", e) for e in exchanges]
-    by_entity = [k for k in keys if k.startswith("market, entity_id,")]
-    assert len(by_entity) <= 2
-    assert sum("month_no" in k for k in keys) == 1
-    assert not any("active" in k for k in keys)
+@pytest.fixture
+def no_broadcasts(spark):
+    """Plans as for large tables: only what is hinted, behind a size check, is broadcast."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def exchange_keys(plan):
+    """Keys of all shuffles between executors, in the plan's order; reuse is not counted."""
+    found = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    return [re.sub(r"#\d+L?|, \d+$", "", re.sub(r", \d+, [A-Z_]+.*$", "", keys)) for keys in found]
+
+
+def keys_only(plan):
+    return [", ".join(k for k in keys.split(", ") if not k.isdigit() and not k.isupper()) for keys in exchange_keys(plan)]
+
+
+def fact_scans(plan):
+    return len([line for line in plan.split("\n") if "FileScan" in line and "l_shipdate" in line])
+
+
+#: Shuffles of the product dimension for the market's own definition.
+OF_MARKET = {"market, product_key", "product_key", "market", "ndc_cd", "prod_id, pack_cd"}
+
+
+def test_shuffles_of_the_fused_plan(spark, no_broadcasts):
+    """The fact: one shuffle to its orders in each branch, one for the counts, one to the entity."""
+    members = keys_only(plan_of(catalog.REGISTRY["member_outcomes"](spark, SF_DIR)))
+    rest = sorted(k for k in members if k not in OF_MARKET)
+    assert rest == sorted(
+        [
+            "l_orderkey",
+            "o_orderkey",
+            "l_orderkey",
+            "o_orderkey",
+            "entity_id, market, market_desc, month_no, chain, channel, outlet_class, own_mail",
+            "entity_id",
+            "entity_id",
+        ]
+    )
+
+
+@pytest.mark.parametrize("name", ["survival_curve_all", "entity_status", "exclude_code_users", "fills_in_market"])
+def test_line_items_meet_outlets_and_products_before_any_shuffle(spark, no_broadcasts, name):
+    plan = plan_of(catalog.REGISTRY[name](spark, SF_DIR))
+    keys = keys_only(plan)
+    assert not {"l_suppkey", "s_suppkey", "l_partkey", "product_code"} & set(keys)
+    assert keys.count("l_orderkey") == fact_scans(plan)
+    lines = plan.split("\n")
+    for k, line in enumerate(lines):
+        if "hashpartitioning(l_orderkey" in line:
+            depth = re.search(r"[A-Z]", line).start()
+            below = []
+            for later in lines[k + 1 :]:
+                if re.search(r"[A-Z]", later).start() <= depth:
+                    break
+                below.append(later)
+            assert any("BroadcastHashJoin" in x and "l_suppkey" in x for x in below)
+            assert any("BroadcastHashJoin" in x and ("l_partkey" in x or "product" in x) for x in below)
+
+
+@pytest.mark.parametrize(
+    "name, most",
+    [
+        ("cohort_members", 1),
+        ("entity_status", 2),
+        ("cohort_min_fills", 2),
+        ("lost_month", 2),
+        ("own_mail_cleanup", 3),
+        ("lost_outlet_class", 3),
+        ("lost_destination", 2),
+        ("lost_window_fills", 4),
+        ("qc_gap_reconcile", 2),
+        ("qc_version_diff", 4),
+        ("survival_curve_all", 2),
+    ],
+)
+def test_reads_of_the_fact(spark, name, most):
+    assert fact_scans(plan_of(catalog.REGISTRY[name](spark, SF_DIR))) <= most
 
 
 def test_lifecycle_shuffles_once_after_the_month_counts(spark):

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import pytest
 
@@ -49,7 +50,7 @@ def best(followup, label):
     return min(weight, key=lambda k: (-weight[k], -date[k].toordinal(), k))
 
 
-def expected(fills):
+def expected(fills, spec=RetentionSpec()):
     trusted = [
         f
         for f in fills
@@ -60,7 +61,7 @@ def expected(fills):
     users = {
         f["entity_id"]
         for f in trusted
-        if f["channel"] == "RETAIL" and f["fill_yyyymm"] <= 201705 and f["product_code"] == "777"
+        if f["channel"] == "RETAIL" and f["fill_yyyymm"] <= spec.fills_last and f["product_code"] == "777"
     }
     usable = [f for f in trusted if f["is_maintenance"] == 1 and f["product_key"] in MARKETS]
     own, anywhere = defaultdict(list), defaultdict(list)
@@ -74,9 +75,9 @@ def expected(fills):
     for (market, entity, chain), used in own.items():
         if market == "39200" and entity in users:
             continue
-        for cohort in range(key_index(201501), key_index(201512) + 1):
+        for cohort in range(key_index(spec.cohort_first), key_index(spec.cohort_last) + 1):
             span = sorted(m for m in used if cohort <= m < cohort + 18)
-            if cohort not in used or len(span) < 2:
+            if cohort not in used or len(span) < spec.min_fills:
                 continue
             status = "NEW" if not any(cohort - 12 <= m < cohort for m in used) else "CONTINUING"
             ends = span[1:] + [cohort + 18]
@@ -119,6 +120,54 @@ def expected(fills):
     return sorted(found, key=repr)
 
 
+OUTCOME = (
+    "market", "cohort_chain", "cohort_yyyymm", "entity_id", "status", "lost_month_before",
+    "lost_month", "lost_dest", "lost_dest_detail",
+)
+
+
+def test_windowed_outcomes(spark):
+    fills = list(world(5))
+    got = fused.windowed_outcomes(make_inputs(spark, fills, exclusion=["0777"]), RetentionSpec())
+    assert rows(got, *OUTCOME) == expected(fills)
+
+
+@pytest.mark.parametrize("form", [fused.member_outcomes, fused.windowed_outcomes])
+def test_a_chain_may_be_named_as_all_others_are(spark, form):
+    """The own chain "other" against the own chain "own": names change nothing else."""
+    found = []
+    for own in ("own", "other"):
+        spec = replace(RetentionSpec(), cohort_chains=(own, "955"), sister_chain="other_")
+        fills = [
+            {**f, "chain": {"032": own, "033": "other_", "101": "zz"}.get(f["chain"], f["chain"])}
+            for f in world(6, n=2500)
+        ]
+        columns = [c for c in OUTCOME if c != "cohort_chain"]
+        got = rows(form(make_inputs(spark, fills, exclusion=["0777"]), spec), "cohort_chain", *columns)
+        found.append(sorted(("032" if c == own else c, *rest) for c, *rest in got), )
+    plain = [
+        (chain, market, *rest)
+        for market, chain, *rest in expected([f for f in world(6, n=2500)])
+    ]
+    assert found[0] == found[1]
+    assert found[0] == sorted(plain)
+
+
+@pytest.mark.parametrize(
+    "change",
+    [{"cohort_first": 201401, "cohort_last": 201812}, {"min_fills": 1}, {"min_fills": 3}],
+    ids=["five years", "one fill", "three fills"],
+)
+def test_studies_of_any_length_and_minimum(spark, change):
+    spec = replace(RetentionSpec(), **change)
+    assert not fused.fits(spec)
+    fills = list(world(7, n=3000))
+    got = rows(fused.member_outcomes(make_inputs(spark, fills, exclusion=["0777"]), spec), *OUTCOME)
+    assert got == expected(fills, spec)
+    curve = fused.survival_curve(make_inputs(spark, fills, exclusion=["0777"]), spec)
+    assert rows(curve) == rows(LeanStudy(make_inputs(spark, fills, exclusion=["0777"]), spec).curve)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_fused_outcomes(spark, seed):
     fills = list(world(seed))
@@ -126,8 +175,7 @@ def test_fused_outcomes(spark, seed):
     assert len({w[7] for w in want}) == 4
     got = rows(
         fused.member_outcomes(make_inputs(spark, fills, exclusion=["0777"]), RetentionSpec()),
-        "market", "cohort_chain", "cohort_yyyymm", "entity_id", "status", "lost_month_before",
-        "lost_month", "lost_dest", "lost_dest_detail",
+        *OUTCOME,
     )
     assert got == want
 
@@ -139,7 +187,9 @@ def test_stages(spark, seed):
     study = LeanStudy(make_inputs(spark, fills, exclusion=["0777"]), RetentionSpec())
     keys = ("market", "cohort_chain", "cohort_yyyymm", "entity_id", "status")
     assert rows(study.kept, *keys, "lost_month") == [w[:6] for w in want]
-    from_fills = destination.lost_destination(study.followup)
+    from_fills = destination.lost_destination(
+        destination.member_followup(study.followup, study.spec), study.spec
+    )
     assert rows(from_fills, *keys, "lost_dest") == rows(study.destination, *keys, "lost_dest")
     assert rows(study.cleaned, *keys, "lost_month", "lost_dest") == sorted(
         (w[:5] + w[6:8] for w in want), key=repr

@@ -39,7 +39,7 @@ def inputs(spark):
 
 def test_activity_does_not_grow_with_fills_or_chains(inputs):
     study = LeanStudy(inputs, SPEC)
-    activity = fused.month_activity(study._in_market(inputs.fills), SPEC)
+    activity = fused.month_activity(inputs.fills_in_market(study.market), SPEC)
     hot = activity.filter("entity_id = 0")
     assert hot.agg({"n_fills": "sum"}).first()[0] == 9000
     # months, chain kinds, channels, classes, mail flag

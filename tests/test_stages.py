@@ -19,9 +19,20 @@ def test_write_partitioned(spark, tmp_path):
     assert rows(back, "id", "part") == rows(df, "id", "part")
 
 
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    stages.write_stage(spark.range(10).toDF("a"), path)
+    with pytest.raises(Exception, match="no"):
+        stages.write_stage(spark.range(3).selectExpr("raise_error('no') as b"), path)
+    assert stages.read_stage(spark, path).count() == 10
+    stages.remove(spark, path)
+    stages.remove(spark, path)
+    assert not (tmp_path / "stage").exists()
+
+
 class Context:
     def __init__(self, master):
-        self.master, self.folder = master, None
+        self.master, self.folder, self.applicationId = master, None, f"test-{id(self)}"
 
     def getCheckpointDir(self):
         return self.folder
@@ -52,8 +63,10 @@ def test_local_session_gets_its_own_folder_once():
     made = stages.shared_dir(session)
     assert made.startswith("/tmp/run-")
     assert stages.shared_dir(session) == made
+    assert session.sparkContext.folder is None
 
 
-def test_no_local_folder_on_a_cluster():
+@pytest.mark.parametrize("folder", [None, "/tmp/x", "file:///tmp/x"])
+def test_no_local_folder_on_a_cluster(folder):
     with pytest.raises(ValueError):
-        stages.shared_dir(Session("spark://somewhere:7077"))
+        stages.shared_dir(Session("spark://somewhere:7077", folder))
