@@ -26,6 +26,9 @@ AFFIX = 3
 GRAM = 3
 #: Occurrences from which a feature learns at the full rate.
 RARE = 10
+#: Occurrences among the training words from which a spelling is a feature. Rarer ones are told by their parts, in
+#: training as later, so that parts learn what they say of words never seen.
+KNOWN = 5
 
 
 @dataclass
@@ -107,17 +110,27 @@ class Chain:
     weights: np.ndarray
     listed: np.ndarray
     lists: list[np.ndarray]
+    #: Hashes of the spellings that are features, sorted.
+    known: np.ndarray
     bias: np.ndarray
     transitions: np.ndarray
 
     def _in_lists(self, hashes: np.ndarray) -> np.ndarray:
         return np.stack([np.isin(hashes, x) for x in self.lists], 1).astype(np.float32)
 
+    def features(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        fixed, grams, gram_at = features(words.spelled, words.spelled_at, hashes)
+        if len(self.known):
+            place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            fixed[self.known[place] != hashes, 0] = BUCKETS
+        else:
+            fixed[:, 0] = BUCKETS
+        return fixed, grams, gram_at
+
     def scores(self, words: Words) -> np.ndarray:
         """Score of each label for each spelling."""
         hashes = words.hashes()
-        fixed, grams, gram_at = features(words.spelled, words.spelled_at, hashes)
-        return _scores(self, fixed, grams, gram_at, self._in_lists(hashes))
+        return _scores(self, *self.features(words, hashes), self._in_lists(hashes))
 
     def marginals(self, words: Words) -> np.ndarray:
         """Probability of each label for each word, by forward-backward."""
@@ -168,7 +181,7 @@ def forward_backward(scores, which, first, length, transitions):
     return both / both.sum(1, keepdims=True), pairs
 
 
-def train(words: Words, truth: np.ndarray, labels: list, lists: list[np.ndarray], rounds: int = 40, rate: float = 0.3,
+def train(words: Words, truth: np.ndarray, labels: list, lists: list[np.ndarray], rounds: int = 30, rate: float = 0.3,
           decay: float = 1e-3, joined: bool = False) -> Chain:
     """Fits a field to labelled words by Adam on the likelihood.
 
@@ -176,9 +189,10 @@ def train(words: Words, truth: np.ndarray, labels: list, lists: list[np.ndarray]
     """
     k = len(labels)
     hashes = words.hashes()
-    fixed, grams, gram_at = features(words.spelled, words.spelled_at, hashes)
-    model = Chain(labels, np.zeros((BUCKETS + 1, k), np.float32), np.zeros((len(lists), k), np.float32), lists,
+    known = np.sort(hashes[np.bincount(words.which, minlength=len(hashes)) >= KNOWN])
+    model = Chain(labels, np.zeros((BUCKETS + 1, k), np.float32), np.zeros((len(lists), k), np.float32), lists, known,
                   np.zeros(k, np.float32), np.zeros((k, k), np.float32))
+    fixed, grams, gram_at = model.features(words, hashes)
     listed = model._in_lists(hashes)
     if len(truth) == 0:
         return model

@@ -15,13 +15,13 @@ from lapsewise.llm.chain import Chain, Words, train
 
 #: Labelled rows that the field is fitted on, at most (about; chosen by a hash of doc_id) of either label, and code
 #: points of a row that can be among them. Every row is scored whole.
-SAMPLE_TOXIC = 1500
-SAMPLE_CLEAN = 2500
+SAMPLE_TOXIC = 1000
+SAMPLE_CLEAN = 1500
 SAMPLE_CHARS = 20_000
-#: A word is a toxic token where toxic documents have it this much likelier than chance (log-likelihood ratio), and this
-#: many times as often as clean ones.
-LEAST_GAIN = 12.0
-LEAST_RATIO = 4.0
+#: A word is a toxic token where toxic documents have it this many times as often as clean ones, and so much likelier
+#: than chance (log-likelihood ratio) that of all the sample's words this many would get there by chance.
+LEAST_RATIO = 20.0
+BY_CHANCE = 0.1
 REJECT = 0.7
 TOKEN = 0.5
 
@@ -57,16 +57,25 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     truth = np.array([int(t > 0) for _, _, t in sample], np.int64)
     if not 0 < truth.sum() < len(truth):
         return None
-    words = Words.of(pa.array([t for _, t, _ in sample], pa.string()))
+    # each half is measured by a field of the other half, so that the scores hold for texts not learned from
+    half = np.arange(len(truth)) % 2
+    measures = np.zeros((len(truth), 4))
+    for k in (0, 1):
+        field = _field([t for (_, t, _), h in zip(sample, half, strict=True) if h != k], truth[half != k])
+        words = Words.of(pa.array([t for (_, t, _), h in zip(sample, half, strict=True) if h == k], pa.string()))
+        measures[half == k] = _measures(field.marginals(words)[:, 1], words.text_of(), int((half == k).sum()))
+    # each kind counts as often as among all labelled rows
+    share = np.array([of_all.get(0, 1) / max(1, (truth == 0).sum()), of_all.get(1, 1) / max(1, (truth == 1).sum())])
+    return Model(_field([t for _, t, _ in sample], truth), _logistic(measures, truth, share[truth]))
+
+
+def _field(texts: list[str], truth: np.ndarray) -> Chain:
+    """A field of toxic tokens from documents' labels."""
+    words = Words.of(pa.array(texts, pa.string()))
     text = words.text_of()
     telling = _telling(words, text, truth)
     of_word = (telling[words.which] & (truth[text] == 1)).astype(np.int64)
-    lists = [np.sort(words.hashes()[telling])]
-    field = train(words, of_word, [0, 1], lists)
-    measures = _measures(field.marginals(words)[:, 1], text, len(truth))
-    # each kind counts as often as among all labelled rows
-    share = np.array([of_all.get(0, 1) / max(1, (truth == 0).sum()), of_all.get(1, 1) / max(1, (truth == 1).sum())])
-    return Model(field, _logistic(measures, truth, share[truth]))
+    return train(words, of_word, [0, 1], [np.sort(words.hashes()[telling])])
 
 
 def _telling(words: Words, text: np.ndarray, truth: np.ndarray) -> np.ndarray:
@@ -80,7 +89,7 @@ def _telling(words: Words, text: np.ndarray, truth: np.ndarray) -> np.ndarray:
     both = (a + b) / (toxic + clean)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = 2 * (np.where(a > 0, a * np.log(a / (both * toxic)), 0) + np.where(b > 0, b * np.log(b / (both * clean)), 0))
-    return (gain >= LEAST_GAIN) & (a / toxic >= LEAST_RATIO * (b + 0.5) / clean)
+    return (gain >= 2 * np.log(max(1, n) / BY_CHANCE)) & (a / toxic >= LEAST_RATIO * (b + 0.5) / clean)
 
 
 def _measures(p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
