@@ -11,6 +11,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='lapsewise-')}"
+
+
 def folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where it is unset, a new temporary folder on a local master only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,9 +23,7 @@ def folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="lapsewise-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -48,6 +51,7 @@ def shipped(spark: SparkSession) -> SparkSession:
 @cache
 def _ship(application: str) -> None:
     package = Path(__file__).resolve().parents[1]
+    # read by the driver alone, which serves it to the executors
     target = Path(tempfile.mkdtemp(prefix="lapsewise-code-")) / f"{package.name}.zip"
     with zipfile.ZipFile(target, "w") as archive:
         for source in sorted(package.rglob("*.py")):

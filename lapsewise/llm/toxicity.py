@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.llm import sampling, shared, spans
+from lapsewise.llm import fingerprint, sampling, shared, spans
 from lapsewise.llm.chain import Chain, Words, train
 
 #: Labelled rows that the field is fitted on, at most (about; chosen by a hash of doc_id) of either label, and code
@@ -54,16 +54,18 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     texts = texts.where(F.col("text").isNotNull() & (F.length("text") <= chars))
     # the sample is bounded by its parameters, so it is small enough to be sent to all
     sample = sorted(tuple(r) for r in texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect())
+    # copies of one document are not evidence twice
+    sample = [s for s, new in zip(sample, _unlike([t for _, t, _ in sample]), strict=True) if new]
     truth = np.array([int(t > 0) for _, _, t in sample], np.int64)
     if not 0 < truth.sum() < len(truth):
         return None
     # each half is measured by a field of the other half, so that the scores hold for texts not learned from
     half = np.arange(len(truth)) % 2
-    measures = np.zeros((len(truth), 4))
+    measures = np.zeros((len(truth), 5))
     for k in (0, 1):
         field = _field([t for (_, t, _), h in zip(sample, half, strict=True) if h != k], truth[half != k])
         words = Words.of(pa.array([t for (_, t, _), h in zip(sample, half, strict=True) if h == k], pa.string()))
-        measures[half == k] = _measures(field.marginals(words)[:, 1], words.text_of(), int((half == k).sum()))
+        measures[half == k] = _measures(field, words)[0]
     # each kind counts as often as among all labelled rows
     share = np.array([of_all.get(0, 1) / max(1, (truth == 0).sum()), of_all.get(1, 1) / max(1, (truth == 1).sum())])
     return Model(_field([t for _, t, _ in sample], truth), _logistic(measures, truth, share[truth]))
@@ -78,6 +80,27 @@ def _field(texts: list[str], truth: np.ndarray) -> Chain:
     return train(words, of_word, [0, 1], [np.sort(words.hashes()[telling])])
 
 
+def _unlike(texts: list[str]) -> list[bool]:
+    """Which texts of the sample share none of a few smallest shingles with a text before them."""
+    hashed, text = fingerprint.shingles(pa.array(texts, pa.string()))
+    first = np.searchsorted(text, np.arange(len(texts)))
+    has = np.bincount(text, minlength=len(texts)) > 0
+    kept = np.ones(len(texts), bool)
+    seen: set = set()
+    least = []
+    for k in range(4):
+        turned = spans.mixed(hashed ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
+        values = np.zeros(len(texts), np.uint64)
+        if has.any():
+            values[has] = np.minimum.reduceat(turned, first[has])
+        least.append(values)
+    for i in np.flatnonzero(has).tolist():
+        own = {(k, int(least[k][i])) for k in range(4)}
+        kept[i] = not own & seen
+        seen |= own
+    return kept.tolist()
+
+
 def _telling(words: Words, text: np.ndarray, truth: np.ndarray) -> np.ndarray:
     """Which spellings tell of toxic documents, by the number of documents that have them."""
     pairs = np.unique(words.which.astype(np.int64) * len(truth) + text)
@@ -92,14 +115,20 @@ def _telling(words: Words, text: np.ndarray, truth: np.ndarray) -> np.ndarray:
     return (gain >= 2 * np.log(max(1, n) / BY_CHANCE)) & (a / toxic >= LEAST_RATIO * (b + 0.5) / clean)
 
 
-def _measures(p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-    """Of each document: the surest token, the expected number of toxic tokens and their share."""
-    p = np.clip(p, 1e-6, 1 - 1e-6)
+def _measures(field: Chain, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document: the surest token, the expected number of toxic tokens, of those that are listed, and their share.
+
+    Also each word's probability and its document.
+    """
+    p = np.clip(field.marginals(words)[:, 1], 1e-6, 1 - 1e-6)
+    text, n = words.text_of(), len(words.offsets) - 1
+    listed = np.bincount(text, p * np.isin(words.hashes(), field.lists[0])[words.which], n)
     most = np.full(n, 1e-6)
     np.maximum.at(most, text, p)
     total = np.bincount(text, p, n)
-    words = np.bincount(text, minlength=n)
-    return np.stack([np.log(most / (1 - most)) / 5, np.log1p(total), np.sqrt(total / np.maximum(words, 1)), np.ones(n)], 1)
+    count = np.bincount(text, minlength=n)
+    share = np.sqrt(total / np.maximum(count, 1))
+    return np.stack([np.log(most / (1 - most)) / 5, np.log1p(total), np.log1p(listed), share, np.ones(n)], 1), p, text
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30, decay: float = 0.1) -> np.ndarray:
@@ -121,8 +150,7 @@ def _score(model: Model | None, column: pa.Array) -> tuple[np.ndarray, Words | N
     if model is None:
         return np.zeros(n), None, np.zeros(0, np.int64), np.zeros(0)
     words = Words.of(column)
-    p, text = model.field.marginals(words)[:, 1], words.text_of()
-    x = _measures(p, text, n)
+    x, p, text = _measures(model.field, words)
     return 1 / (1 + np.exp(-np.clip(x @ model.document, -30, 30))), words, text, p
 
 
