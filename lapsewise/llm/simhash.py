@@ -62,6 +62,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, ``row`` (place in the table) and ``fp`` (the fingerprint as a signed long) of every row of ``docs``."""
+    shared.shipped(docs.sparkSession)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,6 +185,7 @@ def links(fps: DataFrame, radius: int = RADIUS, most: int = CELL) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``fps`` (fp, distinct) within ``radius`` bits."""
     if radius != RADIUS:
         raise ValueError("cells with many points are exact for 2 bits only")
+    shared.shipped(fps.sparkSession)
     cells = shared.stored(fps.select("fp").mapInArrow(_cells(radius), "cell long, fp long"))
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("points")).where("points > 1")
     shown = shared.stored(sizes)
