@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators might use themselves.
 CLASHING = "row long, size long, copies int, slot int, stretch double, key long, col string, keep_id long, fp long, spans string"
@@ -47,3 +49,13 @@ def odd_rows(seed=1, n=60):
     ]
     rng.shuffle(rows)
     return rows
+
+
+@pytest.fixture(params=[False, True], ids=["plain", "clashing"])
+def odd_docs(request, spark):
+    return table(spark, odd_rows(), request.param)
+
+
+@pytest.fixture
+def no_docs(spark):
+    return table(spark, [])

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
-from conftest_llm import odd_rows, split_words, table
+from odd_tables import no_docs, odd_docs, odd_rows, split_words, table  # noqa: F401
 
 from lapsewise.llm import components, dedup, simhash
 

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest_llm import odd_rows, table
+from odd_tables import no_docs, odd_docs, odd_rows, table  # noqa: F401
 
 from lapsewise.llm import langid, sampling, toxicity
 from lapsewise.llm.chain import SEQUENCE, Words, forward_backward

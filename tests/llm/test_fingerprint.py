@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest_llm import odd_rows, split_words, table
+from odd_tables import no_docs, odd_docs, odd_rows, split_words, table  # noqa: F401
 
 from lapsewise.llm import fingerprint
 

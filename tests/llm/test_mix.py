@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
-from conftest_llm import odd_rows, split_words, table
+from odd_tables import no_docs, odd_docs, odd_rows, split_words, table  # noqa: F401
 
 from lapsewise.llm import mix
 

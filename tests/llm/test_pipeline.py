@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest_llm import odd_rows, table
+from odd_tables import odd_rows, table
 from test_copies import brute_components, brute_fingerprint, last
 
 import corpus_pipeline

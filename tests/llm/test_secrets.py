@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest_llm import odd_rows, table
+from odd_tables import no_docs, odd_docs, odd_rows, table  # noqa: F401
 
 from lapsewise.llm import secrets
 

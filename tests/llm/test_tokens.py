@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest_llm import odd_rows
+from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
 from tokenizers import Tokenizer
 
 from lapsewise.llm import bpe, pack, store
