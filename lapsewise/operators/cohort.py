@@ -10,6 +10,8 @@ from lapsewise.functions.months import month_index, month_start, months_apart
 from lapsewise.spec import RetentionSpec
 
 MEMBER = ("market", "cohort_chain", "cohort_yyyymm", "entity_id")
+#: What members hand on to their fills, if they have it.
+HANDED_ON = ("status", "fills_in_span")
 MEMBER_WIDE = (
     "market", "market_desc", "cohort_chain", "cohort_yyyymm", "cohort_month", "entity_id",
 )
@@ -56,7 +58,7 @@ def cohort_fills(market_fills: DataFrame, members: DataFrame, spec: RetentionSpe
     span). Takes single fills or month-grain counts alike; what goes on to count
     fills should pass the latter. Members that have a status or a sum of fills hand it on.
     """
-    status = [c for c in members.columns if c in ("status", "fills_in_span")]
+    status = [c for c in members.columns if c in HANDED_ON]
     keys = members.select(
         "market",
         F.col("cohort_chain").alias("chain"),
@@ -144,4 +146,5 @@ def entity_status(active: DataFrame) -> DataFrame:
 
 def status_fills(fills_of_cohort: DataFrame, members: DataFrame) -> DataFrame:
     """Cohort fills of the members that remain, with their status."""
-    return fills_of_cohort.join(members.select(*MEMBER, "status"), list(MEMBER))
+    more = [c for c in members.columns if c in HANDED_ON]
+    return fills_of_cohort.join(members.select(*MEMBER, *more), list(MEMBER))
