@@ -1,19 +1,23 @@
-"""Main text of web pages by template deduction: equivalence classes of tokens that share occurrence vectors.
+"""Main text of web pages by template deduction: roles of elements that a host's pages share, and whether their text varies.
 
-A page is read as roles: the path of an element's block ancestors, each with its class and id. A role's occurrence
-vector says how often it occurs in each page of its host; roles of equal vectors form a class. The class of the page
-itself (once on each page) is the skeleton; other classes nest in it by their paths. What lies under a skeleton role and
-no deeper one is a slot, whose text, links and names over all pages of the host decide whether it holds the article.
+A page is read as roles: the path of an element's block ancestors, each with those of its classes and ids that several
+pages of the host have. Roles that stand once on nearly every page that has them, on enough pages of the host, are its
+templates' skeleton, nested by their paths; a host may have several templates, and a page has the roles it has. What
+lies under a skeleton role and no deeper one is a slot. Text of rarer or repeated roles belongs to the slot around them.
+A page's article is what stands in its article elements; without one, all slots whose text is not the same on most
+pages of the host. Parts beside the article are told by name, unless they hold most of the text.
 
-Vectors are compared by a hash that adds up page by page, so a host of any size is summed by Spark, never gathered.
+Spark sums words, roles and slots; only what a template shares is gathered, as much as some pages have.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +35,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = "script style noscript template textarea iframe svg object title"
 ASIDE = frozenset("nav footer aside form button select menu dialog head".split())
 ARTICLE = frozenset(["article", "main"])
+FRAME = ARTICLE | {"html", "body"}
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th pre blockquote figure figcaption".split())
 #: Words in a class or id that name parts beside the article.
 BESIDE = frozenset(
@@ -40,28 +45,85 @@ BESIDE = frozenset(
 )
 #: A start tag of the first kind ends an open element of the second: paragraphs, list items, cells.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_IN_PARAGRAPH = INLINE
 
-#: A role belongs to a host's template if this share of its pages has it.
-SUPPORT = 0.5
-#: Without articles, slots hold text if links are at most this share of it; those with this share of the largest slot's
-#: text, and all that stand beside or below them in the same element, are the article.
-LINKS = 0.5
-SHARE = 0.2
+#: A word of a class or id, or a role, belongs to a host's templates if this share of its pages has it, and two at least.
+SUPPORT = 0.05
+#: A role stands once if it does on this share of the pages that have it.
+ONCE = 0.9
+#: More than this share is most: of a slot's text in links, of pages with the same text, of a page's text in an element.
+MOST = 0.5
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW.replace(' ', '|')})\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<[!?][^>]*>"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*)>""",
     re.S | re.I,
 )
+_PARTS = re.compile(r"[^a-z0-9]+")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
-def blocks(page: str) -> tuple[list[tuple[str, str, int]], Counter]:
-    """Blocks of text (role, text with white space as single blanks, code points in links) and how often roles occur."""
-    stack: list[str] = []
-    found: list[tuple[str, str, int]] = []
-    roles: Counter = Counter([""])
+@dataclass
+class Page:
+    """Elements (the page itself first): parent, role, tag, whether named as beside the article. Blocks: element, text
+    with white space as single blanks, code points in links."""
+
+    parents: list[int] = field(default_factory=lambda: [0])
+    roles: list[str] = field(default_factory=lambda: [""])
+    tags: list[str] = field(default_factory=lambda: [""])
+    named: list[bool] = field(default_factory=lambda: [False])
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)
+
+    def chars(self) -> list[int]:
+        """Code points of text in each element and all below it."""
+        out = [0] * len(self.parents)
+        for k, text, _ in self.blocks:
+            out[k] += len(text)
+        for k in range(len(out) - 1, 0, -1):
+            out[self.parents[k]] += out[k]
+        return out
+
+    def counts(self) -> Counter:
+        return Counter(r for r, t in zip(self.roles, self.tags, strict=True) if t not in TEXT)
+
+    def beside(self, large: set[str]) -> list[bool]:
+        """Which elements are, or lie in, something beside the article; a header is if it stands outside of articles.
+
+        Names do not tell of the page's frame, of articles, of what holds the one article and of ``large`` roles.
+        """
+        n = len(self.parents)
+        inside, holds = [False] * n, [False] * n
+        for k in range(1, n):
+            inside[k] = inside[self.parents[k]] or self.tags[k] in ARTICLE
+        outer = [k for k in range(1, n) if self.tags[k] in ARTICLE and not inside[self.parents[k]]]
+        for k in outer if len(outer) == 1 else [k for k in outer if self.tags[k] == "main"]:
+            while k and not holds[k]:
+                holds[k] = True
+                k = self.parents[k]
+        out = [False] * n
+        for k in range(1, n):
+            tag, up = self.tags[k], self.parents[k]
+            by_name = self.named[k]
+            out[k] = out[up] or tag in ASIDE or (tag == "header" and not inside[up]) or by_name
+        return out
+
+    def slots(self, skeleton: set[str], repeated: set[str], large: set[str]) -> list[tuple[str, str, int]]:
+        """The blocks that are not beside the article, as slot, text and code points in links.
+
+        An article that stands once on the page is a slot also if the host's pages seldom have it.
+        """
+        beside = self.beside(large)
+        counts = self.counts()
+        bones = {r for r, n in counts.items() if n == 1 and _in_article(r.rpartition("/")[2]) and r not in repeated} | skeleton
+        of = [""] * len(self.parents)
+        for k in range(1, len(of)):
+            of[k] = self.roles[k] if self.tags[k] not in TEXT and self.roles[k] in bones else of[self.parents[k]]
+        return [(of[k], text, linked) for k, text, linked in self.blocks if not beside[k]]
+
+
+def read_page(page: str, words: set[str] | None = None) -> Page:
+    """Elements and blocks of a page; roles have the classes and ids among ``words``, or all."""
+    out = Page()
+    stack = [0]
     held: list[str] = []
     linked = links = at = 0
 
@@ -70,7 +132,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], Counter]:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            found.append(("/".join(stack), text, min(linked, len(text))))
+            out.blocks.append((stack[-1], text, min(linked, len(text))))
         linked = 0
 
     def read(part: str) -> None:
@@ -93,152 +155,149 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], Counter]:
             continue
         flush()
         if token["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].partition(".")[0] == tag:
+            for k in range(len(stack) - 1, 0, -1):
+                if out.tags[stack[k]] == tag:
                     del stack[k:]
                     links = 0
                     break
             continue
-        top = stack[-1].partition(".")[0] if stack else ""
+        top = out.tags[stack[-1]]
         if top == "p" or top in _ENDS.get(tag, ()):
             stack.pop()  # a block ends an open paragraph, an item the item before it
             links = 0
         if tag in VOID or token["attrs"].endswith("/"):
             continue
-        names = sorted({w for m in _NAMES.findall(token["attrs"]) for w in " ".join(m).lower().split()})
-        stack.append(".".join([tag, *names]))
-        roles["/".join(stack)] += 1
+        names = names_of(token["attrs"]) if token["attrs"] else ()
+        out.parents.append(stack[-1])
+        above = out.roles[stack[-1]]
+        own = ".".join([tag, *sorted(n for n in names if words is None or n in words)])
+        out.roles.append(f"{above}/{own}" if above else own)
+        out.tags.append(tag)
+        out.named.append(any(part in BESIDE for name in names for part in _PARTS.split(name)))
+        stack.append(len(out.parents) - 1)
     read(page[at:])
     flush()
-    return found, roles
+    return out
 
 
-def beside(role: str) -> bool:
-    """Whether an ancestor is by its name something beside the article; a header is if it stands outside of articles."""
-    inside = False
-    for element in role.split("/"):
-        tag, _, names = element.partition(".")
-        if tag in ASIDE or (tag == "header" and not inside):
-            return True
-        if any(word in BESIDE for word in re.split(r"[^a-z0-9]+", names)):
-            return True
-        inside = inside or tag in ARTICLE
-    return False
+def names_of(markup: str) -> set[str]:
+    """Words of all classes, ids and ARIA roles."""
+    return {w for m in _NAMES.findall(markup) for w in " ".join(m).lower().split()}
 
 
 def _in_article(role: str) -> bool:
     return any(element.partition(".")[0] in ARTICLE for element in role.split("/"))
 
 
-def _slot(role: str, skeleton) -> str:
-    """The nearest ancestor of the skeleton."""
-    while role and role not in skeleton:
-        role = role.rpartition("/")[0]
-    return role
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _holder(role: str) -> str:
-    """The element that holds a block of text among others."""
-    while role.rpartition("/")[2].partition(".")[0] in TEXT:
-        role = role.rpartition("/")[0]
-    return role
-
-
-def deduce(roles: list[dict], pages: int) -> tuple[list[str], list[str]]:
-    """Skeleton and article slots of a host: ``roles`` have role, vector (a hash), pages, chars and links."""
-    own = next((r["vector"] for r in roles if r["role"] == ""), None)
-    classes: dict[int, list[str]] = {}
-    for r in roles:
-        if r["pages"] >= SUPPORT * pages:
-            classes.setdefault(r["vector"], []).append(r["role"])
-    skeleton = set(classes.get(own, [])) | {""}
-    chars, links = Counter(), Counter()
-    for r in roles:
-        chars[_slot(r["role"], skeleton)] += r["chars"]
-        links[_slot(r["role"], skeleton)] += r["links"]
-    open_ = [s for s in sorted(skeleton) if not beside(s)]
-    slots = [s for s in open_ if _in_article(s)]
-    if not slots:
-        largest = max((chars[s] for s in open_), default=0)
-        texts = [s for s in open_ if chars[s] and links[s] <= LINKS * chars[s]]
-        holders = tuple(_holder(s) for s in texts if chars[s] >= SHARE * largest)
-        slots = [s for s in texts if any(s == h or s.startswith(f"{h}/") or not h for h in holders)]
-    return sorted(skeleton), slots
-
-
-def _own(found: list, roles: Counter) -> tuple[list[str], list[str]]:
-    """The template of a page by itself."""
+def slot_texts(found: list[tuple[str, str, int]]) -> dict[str, tuple[int, int, int]]:
+    """Of each slot of a page: a hash of its text, code points and those in links."""
+    texts: dict[str, list[str]] = {}
     chars, links = Counter(), Counter()
-    for role, text, linked in found:
-        chars[role] += len(text)
-        links[role] += linked
-    return deduce([{"role": r, "vector": n, "pages": 1, "chars": chars[r], "links": links[r]} for r, n in roles.items()], 1)
+    for slot, text, linked in found:
+        texts.setdefault(slot, []).append(text)
+        chars[slot] += len(text)
+        links[slot] += linked
+    return {s: (_digest("\n".join(t)), chars[s], links[s]) for s, t in texts.items()}
 
 
-def main_text(page: str, skeleton: list[str], slots: list[str]) -> str:
-    """The blocks of the page that lie in article slots; a page that has none of them is read by itself."""
-    found, roles = blocks(page)
-    wanted = set(slots)
-    if not any(r in wanted for r in roles if r) and any(found):
-        skeleton, slots = _own(found, roles)
-        wanted = set(slots)
-    bones = set(skeleton)
-    kept = [text for role, text, _ in found if _slot(role, bones) in wanted and not beside(role)]
-    return "\n".join(kept)
+def main_text(page: str, words: set, skeleton: set, repeated: set, large: set, common: dict[str, int], menus: set) -> str:
+    """The article's blocks in page order.
+
+    Without an article element these are the blocks of all slots whose text is not ``common`` to most pages and not a
+    menu, or that lie in such a slot.
+    """
+    found = read_page(page, words).slots(skeleton, repeated, large)
+    texts = slot_texts(found)
+    own = {s for s in texts if _in_article(s)}
+    own = own or {s for s, (digest, _, _) in texts.items() if common.get(s) != digest}
+    holders = tuple(f"{s}/" for s in own if s.rpartition("/")[2].partition(".")[0] not in FRAME - ARTICLE and s)
+    return "\n".join(text for slot, text, _ in found if slot in own or slot.startswith(holders))
 
 
 def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """For each host of ``pages`` (row, host, html): host, ``skeleton`` and ``slots`` (arrays of roles)."""
+def _rows(batches: Iterator[pa.RecordBatch], rows_of, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, 500):
+            rows = [r for page in batch.slice(low, 500).to_pylist() for r in rows_of(page)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "row", "role", "n", "chars", "links"]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                rows = []
-                for page in batch.slice(low, 500).to_pylist():
-                    found, roles = blocks(page["html"])
-                    chars, links = Counter(), Counter()
-                    for role, text, linked in found:
-                        chars[role] += len(text)
-                        links[role] += linked
-                    rows += [(page["host"], page["row"], r, n, chars[r], links[r]) for r, n in roles.items()]
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    def deduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts = batch.to_pylist()
-            both = [deduce(h["roles"], h["pages"]) for h in hosts]
-            yield pa.record_batch(
-                [
-                    batch.column(0),
-                    pa.array([b[0] for b in both], pa.list_(pa.string())),
-                    pa.array([b[1] for b in both], pa.list_(pa.string())),
-                ],
-                names=["host", "skeleton", "slots"],
-            )
-
-    occurrences = pages.mapInArrow(read, "host string, row long, role string, n long, chars long, links long")
-    summed = occurrences.groupBy("host", "role").agg(
-        F.bit_xor(F.xxhash64("row", "n")).alias("vector"),
-        F.count(F.lit(1)).alias("pages"),
-        F.sum("chars").alias("chars"),
-        F.sum("links").alias("links"),
+
+def with_templates(pages: DataFrame) -> DataFrame:
+    """``pages`` (host, html and others) with the templates of their hosts: ``words``, ``skeleton``, ``repeated``,
+    ``large``, ``common`` and ``menus``, as main_text takes them."""
+    spark = pages.sparkSession
+    slim = pages.select("host", "html")
+    enough = F.col("n") >= F.greatest(F.least(F.lit(2), F.col("all")), F.lit(SUPPORT) * F.col("all"))
+
+    # the empty word stands for the page itself
+    words_schema = pa.schema([("host", pa.string()), ("word", pa.string())])
+    words = slim.mapInArrow(
+        lambda batches: _rows(batches, lambda p: [(p["host"], w) for w in {"", *names_of(p["html"])}], words_schema),
+        "host string, word string",
+    )
+    words = shared.stored(words.groupBy("host", "word").agg(F.count(F.lit(1)).alias("n")))
+    whole = words.where("word = ''").select("host", F.col("n").alias("all"))
+    of_host = words.join(whole, "host").groupBy("host").agg(
+        F.max("all").alias("all"), F.collect_list(F.when(enough & (F.col("word") != ""), F.col("word"))).alias("words")
+    )
+    of_host = shared.stored(of_host)
+
+    roles_schema = pa.schema([("host", pa.string()), ("role", pa.string())] + [(c, pa.int64()) for c in ("once", "chars", "whole")])
+
+    def roles_of(p: dict) -> list[tuple]:
+        page = read_page(p["html"], set(p["words"]))
+        inner, counts = Counter(), page.counts()
+        for role, tag, n in zip(page.roles, page.tags, page.chars(), strict=True):
+            if tag not in TEXT:
+                inner[role] += n
+        return [(p["host"], r, int(n == 1), min(inner[r], inner[""]), inner[""]) for r, n in counts.items()]
+
+    roles = slim.join(of_host, "host").mapInArrow(
+        lambda batches: _rows(batches, roles_of, roles_schema), "host string, role string, once long, chars long, whole long"
+    )
+    roles = roles.groupBy("host", "role").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("once", "chars", "whole")])
+    known = roles.join(of_host.select("host", "all"), "host").where(enough)
+    once = F.col("once") >= F.lit(ONCE) * F.col("n")
+    framed = known.groupBy("host").agg(
+        F.collect_list(F.when(once, F.col("role"))).alias("skeleton"),
+        F.collect_list(F.when(~once, F.col("role"))).alias("repeated"),
+        F.collect_list(F.when(F.col("chars") > F.lit(MOST) * F.col("whole"), F.col("role"))).alias("large"),
+    )
+    framed = shared.stored(of_host.select("host", "words").join(framed, "host"))
+
+    slots_schema = pa.schema([("host", pa.string()), ("slot", pa.string())] + [(c, pa.int64()) for c in ("text", "page", "chars", "links")])
+
+    def slots_of(p: dict) -> list[tuple]:
+        page = read_page(p["html"], set(p["words"]))
+        texts = slot_texts(page.slots(set(p["skeleton"]), set(p["repeated"]), set(p["large"])))
+        same = _digest("\n".join(text for _, text, _ in page.blocks))
+        return [(p["host"], s, text, same, chars, links) for s, (text, chars, links) in texts.items() if not _in_article(s)]
+
+    slots = slim.join(framed, "host").mapInArrow(
+        lambda batches: _rows(batches, slots_of, slots_schema), "host string, slot string, text long, page long, chars long, links long"
+    )
+    # copies of a page are one page here
+    slots = slots.groupBy("host", "slot", "text", "page").agg(F.max("chars").alias("chars"), F.max("links").alias("links"))
+    texts = slots.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    judged = texts.groupBy("host", "slot").agg(
+        F.max(F.struct("n", "text")).alias("most"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
     )
-    # the page itself: one page, vector and count for each host
-    summed = shared.stored(summed)
-    whole = summed.where("role = ''").select("host", F.col("pages").alias("all"))
-    shown = summed.join(whole, "host").where(F.col("pages") >= SUPPORT * F.col("all"))
-    # as many roles as a page has, however many pages there are
-    of_host = shown.groupBy("host").agg(
-        F.max("all").alias("pages"), F.sort_array(F.collect_list(F.struct("role", "vector", "pages", "chars", "links"))).alias("roles")
+    same = (F.col("most.n") >= 2) & (F.col("most.n") > F.lit(MOST) * F.col("n"))
+    menu = (F.col("n") == 1) & (F.col("links") > F.lit(MOST) * F.col("chars"))
+    # a slot without either is as good as none
+    judged = judged.where(same | menu).groupBy("host").agg(
+        F.collect_list(F.when(same, F.struct("slot", F.col("most.text").alias("text")))).alias("common"),
+        F.collect_list(F.when(menu, F.col("slot"))).alias("menus"),
     )
-    return of_host.mapInArrow(deduced, "host string, skeleton array<string>, slots array<string>")
+    return pages.join(shared.stored(framed.join(judged, "host", "left")), "host")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -255,7 +314,13 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                found = [main_text(p["html"], p["skeleton"], p["slots"]) for p in part.select(["html", "skeleton", "slots"]).to_pylist()]
+                found = [
+                    main_text(
+                        p["html"], *(set(p[c]) for c in ("words", "skeleton", "repeated", "large")),
+                        {c["slot"]: c["text"] for c in p["common"] or ()}, set(p["menus"] or ()),
+                    )
+                    for p in part.drop_columns(["page_id", "url"]).to_pylist()
+                ]
                 yield pa.record_batch(
                     [part.column(0), part.column(1), pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())],
                     names=["page_id", "url", "text", "n_chars"],
@@ -266,8 +331,6 @@ def extract(pages: DataFrame) -> DataFrame:
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
         _host(F.col("url").cast("string")).alias("host"),
-        F.monotonically_increasing_id().alias("row"),
     )
-    made = shared.stored(templates(slim.select("row", "host", "html")))
-    joined = slim.join(made, "host").select("page_id", "url", "html", "skeleton", "slots")
+    joined = with_templates(slim).select("page_id", "url", "html", "words", "skeleton", "repeated", "large", "common", "menus")
     return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long")

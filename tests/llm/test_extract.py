@@ -67,3 +67,15 @@ def test_odd_pages(spark):
     assert by_id[1] == by_id[2] == by_id[7] == "" and by_id[None] == "only" and by_id[4] == "no markup at all"
     assert len(by_id[5]) == 499_999
     assert extract.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def texts_of(spark, pages):
+    rows = [(k, "http://e.example/", page) for k, page in enumerate(pages)]
+    return {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_ids_of_each_page(spark, tag):
+    top = "<h1>Site</h1><div class='top'>Site</div>"
+    pages = [f"<body>{top}<{tag} id='post-{k}' class='post p{k}'><p>Own {k}.<div id='b{k}'>More {k}.</div></{tag}></body>" for k in range(12)]
+    assert texts_of(spark, pages) == {k: f"Own {k}.\nMore {k}." for k in range(12)}
