@@ -79,3 +79,18 @@ def test_ids_of_each_page(spark, tag):
     top = "<h1>Site</h1><div class='top'>Site</div>"
     pages = [f"<body>{top}<{tag} id='post-{k}' class='post p{k}'><p>Own {k}.<div id='b{k}'>More {k}.</div></{tag}></body>" for k in range(12)]
     assert texts_of(spark, pages) == {k: f"Own {k}.\nMore {k}." for k in range(12)}
+
+
+def test_irregular_pages_do_not_change_their_host(spark):
+    top, end = "<div class='top'>Site of ours</div>", "<div class='end'>Terms of ours</div>"
+    pages = [f"<body>{top}<article><p>Own {k}.</article>{end}</body>" for k in range(8)]
+    pages += ["", f"<body>{top}<div class='text'><p>No article element.</div>{end}</body>"]
+    assert texts_of(spark, pages) == {**{k: f"Own {k}." for k in range(8)}, 8: "", 9: "No article element."}
+
+
+def test_boilerplate_without_a_name(spark):
+    top, end = "<div class='top'>Site of ours</div>", "<div class='end'>" + "Terms of ours. " * 40 + "</div>"
+    pages = [f"<body>{top}<div class='text'><p>Own {k}.<div>The same on each page.</div></div>{end}</body>" for k in range(8)]
+    pages += ["", f"<body>{top}<section><p>Other markup.</section>{end}</body>"]
+    want = {k: f"Own {k}.\nThe same on each page." for k in range(8)}
+    assert texts_of(spark, pages) == {**want, 8: "", 9: "Other markup."}
