@@ -102,7 +102,7 @@ class Page:
         out = [False] * n
         for k in range(1, n):
             tag, up = self.tags[k], self.parents[k]
-            by_name = self.named[k]
+            by_name = self.named[k] and tag not in FRAME and not holds[k] and self.roles[k] not in large
             out[k] = out[up] or tag in ASIDE or (tag == "header" and not inside[up]) or by_name
         return out
 

@@ -94,3 +94,15 @@ def test_boilerplate_without_a_name(spark):
     pages += ["", f"<body>{top}<section><p>Other markup.</section>{end}</body>"]
     want = {k: f"Own {k}.\nThe same on each page." for k in range(8)}
     assert texts_of(spark, pages) == {**want, 8: "", 9: "Other markup."}
+
+
+@pytest.mark.parametrize(
+    "markup",
+    ["<body class='no-sidebar'>{}</body>", "<body class='comments-open'><div id='content-with-sidebar'>{}</div></body>",
+     "<body><div class='elementor-widget'>{}</div></body>"],
+)
+@pytest.mark.parametrize("article", ["<article class='post share-enabled'>{}</article>", "<div class='post share-enabled'>{}</div>"])
+def test_names_of_what_holds_the_article(spark, markup, article):
+    inner = "<h1>Title {0}</h1><p>Own words of page {0}.</p><div class='share'>Share it</div>"
+    pages = [markup.format(article.format(inner.format(k))) for k in range(5)]
+    assert texts_of(spark, pages) == {k: f"Title {k}\nOwn words of page {k}." for k in range(5)}
