@@ -213,7 +213,7 @@ def main_text(page: str, words: set, skeleton: set, repeated: set, large: set, c
     found = read_page(page, words).slots(skeleton, repeated, large)
     texts = slot_texts(found)
     own = {s for s in texts if _in_article(s)}
-    own = own or {s for s, (digest, _, _) in texts.items() if common.get(s) != digest}
+    own = own or {s for s, (digest, _, _) in texts.items() if common.get(s) != digest and s not in menus}
     holders = tuple(f"{s}/" for s in own if s.rpartition("/")[2].partition(".")[0] not in FRAME - ARTICLE and s)
     return "\n".join(text for slot, text, _ in found if slot in own or slot.startswith(holders))
 

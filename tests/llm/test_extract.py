@@ -106,3 +106,13 @@ def test_names_of_what_holds_the_article(spark, markup, article):
     inner = "<h1>Title {0}</h1><p>Own words of page {0}.</p><div class='share'>Share it</div>"
     pages = [markup.format(article.format(inner.format(k))) for k in range(5)]
     assert texts_of(spark, pages) == {k: f"Title {k}\nOwn words of page {k}." for k in range(5)}
+
+
+def test_small_parts_and_linked_references(spark):
+    pages = [
+        f"<body><div class='title'><h1>T {k}</h1></div><div class='post'><p>{f'own{k} ' * 200}</p></div>"
+        f"<div class='more'><p>Short {k}</p></div><div class='sources'><ol><li><a href='/{k}'>Source {k}</a></ol></div>"
+        "<div class='links'><a href='/'>Start</a></div></body>"
+        for k in range(6)
+    ]
+    assert texts_of(spark, pages) == {k: f"T {k}\n{(f'own{k} ' * 200).strip()}\nShort {k}\nSource {k}" for k in range(6)}
