@@ -13,8 +13,10 @@ from lapsewise.llm import sampling, shared, spans
 from lapsewise.llm.chain import Chain, Words, train
 
 #: Labelled rows that the field is fitted on, at most (about; chosen by a hash of doc_id), and code points of a row that
-#: can be among them. Every row is labelled whole.
+#: can be among them. Languages share the rows evenly, what a rare one leaves goes to the others; each may have so many
+#: rows in any case. Every row is labelled whole.
 SAMPLE_ROWS = 1500
+SAMPLE_EACH = 100
 SAMPLE_CHARS = 20_000
 #: Words of a stretch in one language when labelled texts are dealt into training sequences that switch.
 STRETCH = 25
@@ -32,7 +34,11 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) ->
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~sampling.held_out(F.col("doc_id")))
     known = known.where(F.length("text") <= chars)
-    sample = sorted(tuple(r) for r in sampling.bounded(known, "doc_id", rows, 4).select("doc_id", "lang", "text").collect())
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return None
+    most = max(_even(list(counts.values()), rows), SAMPLE_EACH)
+    sample = sorted(tuple(r) for r in sampling.bounded_each(known, "lang", counts, "doc_id", most, 4).select("doc_id", "lang", "text").collect())
     labels = sorted({lang for _, lang, _ in sample})
     if not labels:
         return None
@@ -48,6 +54,16 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) ->
     return train(words, of_word, labels, _lists(words, of_word, len(labels)), joined=True)
 
 
+def _even(counts: list[int], rows: int) -> int:
+    """The largest number such that at most ``rows`` are taken if each kind gives that many or all it has."""
+    left = len(counts)
+    for n in sorted(counts):
+        if n * left >= rows:
+            break
+        rows, left = rows - n, left - 1
+    return rows // left if left else max(counts)
+
+
 def _lists(words: Words, truth: np.ndarray, labels: int) -> list[np.ndarray]:
     """For each label the words that tell most for it: the largest gain in log-likelihood over their share elsewhere."""
     hashes = words.hashes()

@@ -17,3 +17,11 @@ def bounded(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     """About ``most`` of ``rows`` at most, chosen by a hash of ``key``: the same whenever it is asked for."""
     share = min(1.0, most / max(1, rows.count()))
     return rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(_UNIT)) < int(share * _UNIT))
+
+
+def bounded_each(rows: DataFrame, kind: str, counts: dict, key: str, most: int, seed: int) -> DataFrame:
+    """As ``bounded``, about ``most`` of each ``kind``; ``counts`` has the number of rows of each."""
+    limits = [(value, int(min(1.0, most / n) * _UNIT)) for value, n in counts.items()]
+    limits = rows.sparkSession.createDataFrame(limits, f"{kind} string, below long")
+    chosen = rows.join(F.broadcast(limits), kind).where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(_UNIT)) < F.col("below"))
+    return chosen.select(*rows.columns)

@@ -80,6 +80,18 @@ def test_language_of_held_out_and_switching_texts(spark, spoken):
             assert [s.lang for s in r.spans] == ["aa", "bb"] and abs(r.spans[0].end - border) < 40
 
 
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(7)
+    # 8 of 40,000 rows: 0.02%
+    rows = [(k, speech(rng, "cc" if k % 5000 == 0 else "aa" if k % 3 else "bb", 12), "cc" if k % 5000 == 0 else "aa" if k % 3 else "bb", None) for k in range(40_000)]
+    docs = table(spark, rows)
+    model = langid.fit(docs, rows=300)
+    assert model.labels == ["aa", "bb", "cc"]
+    new = table(spark, [(1, speech(rng, "cc", 30), None, None), (2, speech(rng, "aa", 30), None, None)])
+    assert {r.doc_id: r.lang_pred for r in langid.identify(new, model).collect()} == {1: "cc", 2: "aa"}
+    assert langid._even([8, 20_000, 20_000], 308) == 150 and langid._even([1, 2], 10) == 2
+
+
 def test_language_learns_from_no_held_out_row(spark, spoken):
     docs = table(spark, spoken)
     turned = docs.withColumn("lang", __import__("pyspark").sql.functions.expr("case when crc32(cast(cast(doc_id as string) as binary)) % 3 = 1 then 'zz' else lang end"))
