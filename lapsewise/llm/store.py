@@ -1,7 +1,8 @@
 """Token ids in files: Re-Pair grammar compression by shard, with random access.
 
 A shard is a run of whole documents in ascending doc_id. Frequent pairs of neighbouring symbols are replaced by new
-symbols, round after round, most frequent first; within a round, pairs are chosen so that no two can overlap. A shard
+symbols, round after round, most frequent first, until none is left; within a round, pairs are chosen so that no two can
+overlap, and a pair of equal symbols is replaced from left to right. A shard
 keeps its rules, how many ids each symbol expands to, and the symbols that remain, two bytes each. The sums of expanded
 lengths find the symbol in which any document or id begins, so that a document is decoded without what stands before it.
 
@@ -23,15 +24,21 @@ from lapsewise.llm import bpe, shared, spans
 
 #: Ids of a shard, about; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
-#: Times a pair must be there to be replaced, and rounds at most.
+#: Times a pair must be there, without overlap, to be replaced.
 LEAST = 16
-ROUNDS = 12
 #: Symbols are two bytes: ids of the shard and rules together.
 SYMBOLS = 1 << 16
 
 _TABLE_BITS = 20
 
 
+def _alternate(at: np.ndarray) -> np.ndarray:
+    """Which of some ascending places are taken if neighbours exclude each other: every other one of a run."""
+    edge = np.concatenate([[True], np.diff(at) != 1])
+    first = np.flatnonzero(edge)
+    return (np.arange(len(at)) - first[np.cumsum(edge) - 1]) % 2 == 0 if len(at) else np.zeros(0, bool)
+
+
 def _frequent(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of neighbours (left * SYMBOLS + right) that are there ``least`` times or more, and how often.
 
@@ -45,6 +52,11 @@ def _frequent(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         return maybe, maybe
     edge = np.flatnonzero(np.concatenate([[True], maybe[1:] != maybe[:-1]]))
     number = np.diff(np.append(edge, len(maybe)))
+    # equal symbols are counted as they would be replaced
+    alike = np.flatnonzero(maybe[edge] >> np.uint32(16) == maybe[edge] & np.uint32(SYMBOLS - 1))
+    if len(alike):
+        at = np.flatnonzero(x[:-1] == x[1:])
+        number[alike] = np.bincount(x[at[_alternate(at)]], minlength=SYMBOLS)[maybe[edge[alike]] & np.uint32(SYMBOLS - 1)]
     often = number >= least
     return maybe[edge[often]], number[often]
 
@@ -54,7 +66,7 @@ def _apart(keys: np.ndarray, counts: np.ndarray, room: int) -> np.ndarray:
     lefts, rights, chosen = set(), set(), []
     for key in keys[np.argsort(-counts, kind="stable")].tolist():
         a, b = divmod(key, SYMBOLS)
-        if a not in rights and b not in lefts and a != b:
+        if a not in rights and b not in lefts and (a != b or (a not in lefts and a not in rights)):
             lefts.add(a)
             rights.add(b)
             chosen.append(key)
@@ -63,7 +75,7 @@ def _apart(keys: np.ndarray, counts: np.ndarray, room: int) -> np.ndarray:
     return np.sort(np.array(chosen, np.uint32))
 
 
-def compress(ids: np.ndarray, least: int = LEAST, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def compress(ids: np.ndarray, least: int = LEAST) -> dict[str, np.ndarray]:
     """The grammar of ``ids``: ``terminals``, ``rules`` (pairs of symbols), ``lengths`` (ids of each symbol), ``symbols``.
 
     Symbols up to the number of terminals are places in ``terminals``; the others are rules in order, each of symbols
@@ -76,9 +88,7 @@ def compress(ids: np.ndarray, least: int = LEAST, rounds: int = ROUNDS) -> dict[
     rules = [np.zeros((0, 2), np.uint16)]
     lengths = [np.ones(len(terminals), np.int64)]
     size = len(terminals)
-    for _ in range(rounds):
-        if size >= SYMBOLS or len(x) < 2:
-            break
+    while size < SYMBOLS and len(x) >= 2:
         keys, counts = _frequent(x, least)
         chosen = _apart(keys, counts, SYMBOLS - size)
         if len(chosen) == 0:
@@ -93,8 +103,10 @@ def compress(ids: np.ndarray, least: int = LEAST, rounds: int = ROUNDS) -> dict[
         key = x[at].astype(np.uint32) * np.uint32(SYMBOLS) + x[at + 1]
         place = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
         hit = chosen[place] == key
-        at = at[hit]
-        x[at] = (size + place[hit]).astype(np.uint16)
+        at, place = at[hit], place[hit]
+        taken = _alternate(at)
+        at, place = at[taken], place[taken]
+        x[at] = (size + place).astype(np.uint16)
         stay = np.ones(len(x), bool)
         stay[at + 1] = False
         x = x[stay]

@@ -129,6 +129,23 @@ def test_grammar_round_trip_and_random_access(kind, whole):
         assert grammar["lengths"][grammar["symbols"]].sum() == len(ids)
 
 
+@pytest.mark.parametrize("kind", ["one id", "repeated", "runs"])
+def test_no_frequent_pair_stays(kind):
+    rng = np.random.default_rng(6)
+    ids = {
+        "one id": np.full(1 << 18, 7, np.uint32),
+        "repeated": np.tile(rng.integers(0, 9, 30_000), 20).astype(np.uint32),
+        "runs": np.repeat(rng.integers(0, 5, 5000), rng.integers(1, 40, 5000)).astype(np.uint32),
+    }[kind]
+    grammar = store.compress(ids)
+    assert (store.expand(grammar) == ids).all()
+    seen, left = defaultdict(int), None
+    for pair in zip(grammar["symbols"][:-1].tolist(), grammar["symbols"][1:].tolist(), strict=True):
+        left = None if left == pair and pair[0] == pair[1] else pair  # equal symbols do not overlap
+        seen[pair] += left is not None
+    assert max(seen.values(), default=0) < store.LEAST
+
+
 def test_store_round_trip(spark, odd_docs, whole, tmp_path, monkeypatch):
     monkeypatch.setattr(store, "SHARD_IDS", 700)
     path = str(tmp_path / "tokens")
