@@ -26,14 +26,15 @@ def normalised(text: Column) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, ``row`` (its place in the table), ``digest``, ``check`` and ``run``.
+    """A row per document: doc_id, ``row`` (its place in the files), ``digest``, ``check`` and ``run``.
 
     ``check`` is a second hash of the same text: it is part of what is compared at every level of the tree, so that two
     texts meet only if both agree.
     """
+    docs = shared.scan(docs)
     text = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
+        shared.place(docs).alias("row"),
         normalised(F.col("text")).alias("text"),
         F.pmod(F.spark_partition_id(), F.lit(RUNS)).alias("run"),
     )
@@ -61,9 +62,9 @@ def copies(docs: DataFrame) -> DataFrame:
 
     Texts are equal when they are after each run of white space became one blank. A null text is empty; empty texts are
     copies of each other. Of equal texts the row with the smallest doc_id stays (null is the largest); of rows that
-    share that doc_id too, the first in the table. An empty table gives no rows. Only doc_id and text are read. Texts
-    never leave the task that reads them: digests do. ``docs`` must be a table scan, whose rows come in the same order
-    again; a lost task then numbers its rows as before.
+    share that doc_id too, one whose place is the smallest. An empty table gives no rows. Only doc_id and text are read.
+    Texts never leave the task that reads them: digests do. ``row`` is the row's file and number there, so that another
+    read of the same files finds it again; what is not a scan of files is written first.
     """
     rows = shared.stored(digests(docs))
     many = merged(rows).where("size > 1")
@@ -79,15 +80,20 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose place in the table is not among the ``row`` values of ``kept``'s rest.
+    """The rows of ``docs`` (a ``scan``), all columns, whose place is not among the ``row`` values of ``kept``'s rest.
 
     ``kept`` has ``row`` and ``kept`` for every row of ``docs``; only rows that go are joined, by their place.
     """
-    place = shared.fresh(docs.columns, "row")
-    gone = kept.where(~F.col("kept")).select(F.col("row").alias(place))
-    return docs.withColumn(place, F.monotonically_increasing_id()).join(gone, place, "left_anti").drop(place)
+    row = shared.fresh(docs.columns, "row")
+    gone = kept.where(~F.col("kept")).select(F.col("row").alias(row))
+    return docs.withColumn(row, shared.place(docs)).join(gone, row, "left_anti").drop(row)
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of copies, all columns as they were."""
+    """``docs`` with one row of each group of copies, all columns as they were.
+
+    Nulls, empty texts, ties and repeated rows are as ``copies`` says: of repeated rows one stays. An empty table stays
+    empty.
+    """
+    docs = shared.scan(docs)
     return rows_kept(docs, copies(docs))

@@ -67,16 +67,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text, source) with how often the mix takes it.
 
-    doc_id, ``row`` (place in the table), ``source``, ``size`` (its words), ``source_size``, ``target`` (words of its
+    doc_id, ``row`` (its place in the files), ``source``, ``size`` (its words), ``source_size``, ``target`` (words of its
     source in the mix), ``copies`` and ``taken`` (words: copies times size). A null text has size zero; null is a source
     of its own, the last. Rows with the same doc_id and size are taken alike up to one copy. Runs agree, and so do lost
     tasks that run again. Sources without words have target zero and their documents no copies. An empty table gives no
     rows. Only the three columns are read; texts stay where they are read.
     """
+    docs = shared.scan(docs)
     rows = shared.stored(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
-            F.monotonically_increasing_id().alias("row"),
+            shared.place(docs).alias("row"),
             F.col("source").cast("string").alias("source"),
             words(F.col("text")).alias("size"),
         ).withColumn("slot", _md5_number(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 2))
@@ -144,9 +145,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: ``docs`` with every row as often as it is taken, all columns as they were."""
-    place, times = shared.fresh(docs.columns, "row"), shared.fresh(docs.columns, "copies")
-    taken = mix(docs, **options).select(F.col("row").alias(place), F.col("copies").cast("int").alias(times))
-    again = docs.withColumn(place, F.monotonically_increasing_id()).join(taken.where(F.col(times) > 0), place)
+    """The mix itself: ``docs`` with every row as often as it is taken, all columns as they were.
+
+    Rows are taken by their place in the files, so rows with the same doc_id, null or repeated ones, count each for
+    itself. Rows without words are never taken. An empty table stays empty.
+    """
+    docs = shared.scan(docs)
+    row, times = shared.fresh(docs.columns, "row"), shared.fresh(docs.columns, "copies")
+    taken = mix(docs, **options).select(F.col("row").alias(row), F.col("copies").cast("int").alias(times))
+    again = docs.withColumn(row, shared.place(docs)).join(taken.where(F.col(times) > 0), row)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return again.select(*columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).drop(times)

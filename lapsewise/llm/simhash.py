@@ -61,7 +61,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, ``row`` (place in the table) and ``fp`` (the fingerprint as a signed long) of every row of ``docs``."""
+    """doc_id, ``row`` (its place in the files) and ``fp`` (the fingerprint as a signed long) of every row of ``docs``."""
     shared.shipped(docs.sparkSession)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,12 +75,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = pa.array(np.array(values, np.uint64).view(np.int64))
             yield pa.record_batch([batch.column(0), batch.column(1), fp], names=["doc_id", "row", "fp"])
 
+    docs = shared.scan(docs)
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
+        shared.place(docs).alias("row"),
         F.col("text").cast("string").alias("text"),
     )
-    return slim.mapInArrow(made, "doc_id long, row long, fp long")
+    return slim.mapInArrow(made, "doc_id long, row struct<file: long, at: long>, fp long")
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:
@@ -211,8 +212,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     XXH64. Rows whose fingerprints differ in at most 2 bits are linked; ``component_id`` is the smallest doc_id that is
     reached. A null or empty text has fingerprint zero and is linked like any other. A null doc_id is larger than all;
     a component of null ids has a null component_id. ``kept`` marks the row with the smallest doc_id of a component,
-    the first in the table if several have it. An empty table gives no rows. Other columns are not read. ``docs`` must
-    be a table scan, whose rows come in the same order again.
+    that with the smallest place if several have it. An empty table gives no rows. Other columns are not read. ``row`` is
+    the row's file and number there; what is not a scan of files is written first.
     """
     rows = shared.stored(fingerprints(docs))
     entry = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
@@ -233,5 +234,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near copies, all columns as they were."""
+    """``docs`` with one row of each group of near copies, all columns as they were.
+
+    Nulls, empty texts, ties and repeated rows are as ``near_copies`` says: of repeated rows one stays, and one of all
+    rows without words. An empty table stays empty.
+    """
+    docs = shared.scan(docs)
     return dedup.rows_kept(docs, near_copies(docs))
