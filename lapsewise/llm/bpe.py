@@ -1,11 +1,13 @@
 """Token ids of whole texts by the tokenizers library, each distinct word encoded once per chunk of texts.
 
-A byte-level tokenizer splits a text into words by a fixed pattern and merges inside words only, so the ids of a text
-are the ids of its words in a row. The split is done here for many texts at once; words go to the library.
+A byte-level tokenizer cuts a text at its added tokens, splits the rest into words by a fixed pattern and merges inside
+words only, so the ids of a text are the ids of its words in a row. The split is done here for many texts at once; words
+go to the library.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import numpy as np
@@ -156,7 +158,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that take white space or whole words only are not supported")
+        longest = sorted({t.content.encode() for t in added}, key=len, reverse=True)
+        #: The added tokens, which stand for themselves wherever their strings are.
+        self.added = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memory = Memory()
@@ -180,10 +187,23 @@ class Encoder:
             self.memory.add(first[new], second[new], np.concatenate(found), sizes_new)
         return at, sizes
 
+    def _word_starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where words and added tokens begin; an added token parts the words around it as a text's edge does."""
+        found = [] if self.added is None else [m.span() for m in self.added.finditer(data.tobytes())]
+        if not found:
+            return word_starts(data, offsets)
+        first, end = np.array(found, np.int64).T
+        within = np.searchsorted(offsets, first, "right") == np.searchsorted(offsets, end, "left")
+        first, end = first[within], end[within]
+        starts = word_starts(data, np.unique(np.concatenate([offsets, first, end])))
+        token = np.searchsorted(first, starts, "right") - 1
+        inside = (token >= 0) & (starts > first[token]) & (starts < end[token]) if len(first) else np.zeros(len(starts), bool)
+        return starts[~inside]
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each text with the end id after it, and where each text begins."""
         data, offsets = spans.utf8(column)
-        starts = word_starts(data, offsets)
+        starts = self._word_starts(data, offsets)
         texts = len(offsets) - 1
         bounds = np.append(starts, len(data)).astype(np.int32)
         words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))

@@ -18,7 +18,6 @@ from lapsewise.llm.queries import VOCABULARY
 def whole():
     """Ids of a whole text and the end id."""
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     return lambda text: np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -26,8 +25,9 @@ def test_words_have_the_ids_of_the_whole_text(whole):
     rng = random.Random(1)
     letters = list("ab'sStdmrevl  \n\t  é1²,.!??<|>ßЖ漢字😀\x1c​ 　")
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(4000)]
-    texts += ["", None, "don't they've 's 't", "a <|endoftext|> b", "x'", "'", " '", "''s", "'reading", "a\n\n  b "]
+    texts += ["", None, "don't they've 's 't", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>'s", "<|endoftext", "|>", "end <|endoftext|>", "<|endoftext|>  two", "x'", "'", " '", "''s", "'reading", "a\n\n  b "]
     encoder = bpe.Encoder(VOCABULARY)
+    texts += ["".join(rng.choices(["<|endoftext|>", "<|", "endoftext", "|>", " ", "'s", "a", "\n", "é"], k=rng.randint(1, 12))) for _ in range(1500)]
     for _ in range(2):  # the second time from memory
         ids, at = encoder.encode(pa.array(texts, pa.string()))
         assert at[-1] == len(ids)
