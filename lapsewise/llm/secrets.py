@@ -93,8 +93,10 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     A key needs an identifier in its scope, an identifier a secret, an endpoint both. A weak part that overlaps a known
     form is that form's and not reported again.
     """
-    order = Window.partitionBy("row").orderBy("start", "nth", "end")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    place = ("start", "nth", "end")
+    # both frames grow row by row, so that a document's sweep takes time in proportion to its spans
+    before = Window.partitionBy("row").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row").orderBy(*map(F.desc, place)).rowsBetween(Window.unboundedPreceding, -1)
 
     def near(kinds: list[str], reach: int) -> Column:
         """Whether a span of the kinds ends after start - reach and begins before end + reach."""

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -83,6 +84,19 @@ def test_many_parts_in_one_text(spark):
     assert len(row.spans) == 6000
 
 
+def test_time_grows_with_the_spans_of_a_text(spark):
+    def seconds(pairs):
+        rows = [(1, k, kind, 21 * k + shift, 21 * k + shift + 8) for k in range(pairs) for kind, shift in (("identifier", 0), ("key", 10))]
+        parts = spark.createDataFrame([(r, secrets.KINDS.index(k), k, a, b) for r, _, k, a, b in rows], "row long, nth int, kind string, start long, end long")
+        parts = secrets.shared.stored(parts)
+        began = time.perf_counter()
+        assert secrets.linked(parts).count() == 2 * pairs
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(40_000) < 2 * seconds(20_000) + 3
+
+
 @pytest.mark.parametrize("text", ["password=abcdef", "none"])
 def test_listing_and_its_digest(spark, text):
     from pyspark.sql import functions as F
