@@ -6,10 +6,26 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import dedup, extract, fingerprint, langid, mix, pack, sampling, secrets, shared, simhash, store, toxicity
+from lapsewise.llm import (
+    dedup,
+    extract,
+    fingerprint,
+    langid,
+    licenses,
+    mix,
+    pack,
+    periodic,
+    sampling,
+    secrets,
+    shared,
+    simhash,
+    store,
+    toxicity,
+    trie,
+)
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -75,6 +91,54 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crc_of(number: Column) -> Column:
+    """Unsigned crc32 of the number as text (null as empty)."""
+    return F.crc32(F.coalesce(number.cast("string"), F.lit("")).cast("binary"))
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of every tenth document (by crc32 of its id) the words from one place on repeat."""
+    h = crc_of(F.col("doc_id"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.col("text").cast("string"), F.lit(mix.WORD), F.lit(0)))
+    g, n = F.floor(h / 10), F.size("words")
+    slim = docs.select("doc_id", "text", words.alias("words"), g.alias("g")).withColumn("a", F.when(n > 0, F.col("g") % n))
+    slim = slim.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    source = lambda k: (F.col("a") + F.pmod(k - F.col("a"), F.col("p"))).cast("int")
+    again = F.transform("words", lambda w, k: F.when(k >= F.col("a"), F.get("words", source(k))).otherwise(w))
+    return slim.select("doc_id", F.when(n > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.runs(made_periodic(table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast(periodic.RUN)
+    more = lambda r, best: r["length"] * best["period"] > best["length"] * r["period"]
+    best = F.aggregate("runs", none, lambda b, r: F.when(b.isNull() | more(r, b), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    begun = trie.with_shared_heads(turns, 5, (crc_of(F.col("conv_id")) % 9).cast("int"))
+    return trie.nodes(begun).drop("node")
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = lambda name: F.array_join(name, ",").alias(name)
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_pack": op2_pack,
@@ -86,6 +150,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
+    "op11_periodic": op11_periodic,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_licenses": op13_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -128,6 +195,7 @@ select doc_id, size, source_size, top::double / bottom::double as target,
 from placed
 """,
     "op8_secrets": secrets.sql(),
+    "op13_licenses": licenses.sql(),
     "op9_exact_dedup": r"""
 with normal as (
   select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256

@@ -17,6 +17,9 @@ COLUMNS = {
     "op8": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
     "op9": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
     "op10": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op11": {c: "bigint" for c in ("doc_id", "n_runs", "start", "length", "period", "exponent_milli")} | {"runs_sha256": "string", "collapsed_sha256": "string"},
+    "op12": {c: "bigint" for c in ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")} | {"ends_sha256": "string"},
+    "op13": {c: "bigint" for c in ("doc_id", "n_words", "n_base", "first_word", "last_word")} | {"base_labels": "string", "labels": "string", "score": "double"},
 }
 
 
@@ -27,7 +30,7 @@ def test_columns(spark, number):
     assert {c: found.get(c) for c in COLUMNS[number]} == COLUMNS[number]
 
 
-@pytest.mark.parametrize("name", ["op1_mix", "op8_secrets", "op9_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_mix", "op8_secrets", "op9_exact_dedup", "op13_licenses"])
 def test_sql(spark, name):
     ok, n, note = compare(spark, oracle_connection(SF_DIR), SF_DIR, name)
     assert ok and n > 0, note
