@@ -17,18 +17,18 @@ from lapsewise.sources import stages
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, a new temporary folder on a local master only."""
-    found = stages.shared_dir(spark)
+    """A folder that all executors see and that goes when the application ends: below ``spark.checkpoint.dir``.
+
+    Where that is unset, it is a new temporary folder, on a local master only.
+    """
+    found = stages.scratch(spark)
     return found if urlparse(found).scheme or not spark.sparkContext.master.startswith("local") else f"file://{found}"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet under a new name in the shared folder and read back: it survives lost executors.
-
-    What is written so goes when the application ends.
-    """
+    """``df`` written as Parquet under a new name in the shared folder and read back: it survives lost executors."""
     spark = df.sparkSession
-    path = stages.passing(spark, f"{folder(spark)}/llm-{uuid.uuid4().hex}")
+    path = f"{folder(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
