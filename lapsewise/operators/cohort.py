@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsewise import spec as S
@@ -51,6 +51,30 @@ def month_grain(market_fills: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("n_fills"), F.sum("fill_weight").alias("weighted_fills"))
 
 
+def month_grain_of_all(market_fills: DataFrame, spec: RetentionSpec) -> DataFrame:
+    """Month grain with the months in which the entity bought anywhere; one read serves both.
+
+    ``market_fills`` are trusted maintenance fills of any chain with their market and weight, retail or mail, from the
+    lookback to the last span month. ``fill_months`` lists the entity's months with a follow-up fill, as
+    ``destination.followed_months`` does; both sums need one shuffle of fills, already counted.
+    """
+    month = F.col("fill_yyyymm")
+    own = F.col("channel").isin(*spec.cohort_channels) & F.col("chain").isin(*spec.cohort_chains)
+    later = month.between(spec.cohort_first, spec.fills_last) & F.col("channel").isin(*spec.followup_channels)
+    counted = (
+        market_fills.filter(F.col("entity_id").isNotNull() & (own | later))
+        .withColumn("chain", F.when(own, F.col("chain")))
+        .groupBy("market", "market_desc", "chain", "entity_id", "fill_month", "fill_yyyymm")
+        .agg(
+            F.count("*").alias("n_fills"),
+            F.sum("fill_weight").alias("weighted_fills"),
+            F.max(later).alias("later"),
+        )
+    )
+    months = F.collect_set(F.when(F.col("later"), month)).over(Window.partitionBy("market", "entity_id"))
+    return counted.withColumn("fill_months", months).filter(F.col("chain").isNotNull()).drop("later")
+
+
 def cohort_fills(market_fills: DataFrame, members: DataFrame, spec: RetentionSpec) -> DataFrame:
     """Each member's fills at its own chain, from the cohort month to the span's end.
 

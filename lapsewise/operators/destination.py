@@ -10,6 +10,8 @@ from lapsewise.operators.cohort import MEMBER_WIDE
 from lapsewise.spec import RetentionSpec
 
 LOSS = (*MEMBER_WIDE, "status", "last_fill_month", "before_gap_start", "after_gap_end", "lost_month")
+#: Parts in which a hot entity's follow-up fills are dealt.
+DEALS = 8
 FILL_COLUMNS = (
     "fill_yyyymm", "chain", "channel", "outlet_class", "fill_date", "supplier_id",
     "product_key", "fill_weight",
@@ -33,33 +35,54 @@ def _labelled(rows: DataFrame, spec: RetentionSpec) -> DataFrame:
     ).withColumn("fill_weight", F.coalesce("fill_weight", F.lit(spec.long_fill_weight)))
 
 
-def lost_window_fills(lost: DataFrame, market_fills: DataFrame, spec: RetentionSpec) -> DataFrame:
+def followed_months(followup: DataFrame) -> DataFrame:
+    """Months with a follow-up fill per market and entity; fills, kinds or any other grain with the month serve."""
+    return followup.groupBy("market", "entity_id").agg(F.collect_set("fill_yyyymm").alias("fill_months"))
+
+
+def lost_window_fills(
+    lost: DataFrame,
+    market_fills: DataFrame,
+    spec: RetentionSpec,
+    months: DataFrame | None = None,
+    deals: int = DEALS,
+) -> DataFrame:
     """Fills of lost members inside their gap, at any chain; at least one row each.
 
-    ``market_fills`` are weighted follow-up fills with their market. A member
-    without such a fill keeps one row with NULL fill columns. This is a left join
-    written in two parts: adaptive execution can split a hot entity's fills in
-    the inner join but not on the right side of an outer one, and the unmatched
-    part needs only the distinct fill months.
-    """
-    losses = _losses(lost, spec)
-    matched = losses.join(
-        market_fills.select("market", "entity_id", *FILL_COLUMNS), ["market", "entity_id"]
-    ).filter(_inside("fill_yyyymm"))
+    ``market_fills`` are weighted follow-up fills with their market. A member without such a fill keeps one row with
+    NULL fill columns. ``lost`` may bring ``fill_months``, the entity's months with a follow-up fill; otherwise they come
+    from ``months`` (see ``followed_months``), or from the fills themselves.
 
-    months = market_fills.select(
+    The months tell which losses have a fill at all. Fills are dealt in ``deals`` parts, so that no task has a hot
+    entity's fills whole; a loss with a fill meets each part and one without meets none, all in one left join.
+    """
+    if "fill_months" in lost.columns:
+        losses = _losses(lost, spec, "fill_months")
+    else:
+        months = followed_months(market_fills) if months is None else months
+        losses = _losses(lost, spec).join(months, ["market", "entity_id"], "left")
+    inside = F.exists("fill_months", lambda m: (F.col("before_gap_start") < m) & (m < F.col("after_gap_end")))
+    parts = F.sequence(F.lit(0), F.lit(deals - 1))
+    dealt = losses.withColumn("has_fill", F.coalesce(inside, F.lit(False))).withColumn(
+        "deal", F.explode(F.when(F.col("has_fill"), parts).otherwise(F.array(F.lit(-1))))
+    )
+    right = market_fills.select(
         F.col("market").alias("m_market"),
         F.col("entity_id").alias("m_entity"),
-        F.col("fill_yyyymm").alias("m_yyyymm"),
-    ).distinct()
-    none_inside = losses.join(
-        months,
+        F.pmod(F.hash(*FILL_COLUMNS), F.lit(deals)).alias("m_deal"),
+        *FILL_COLUMNS,
+    )
+    joined = dealt.join(
+        right,
         (F.col("market") == F.col("m_market"))
         & (F.col("entity_id") == F.col("m_entity"))
-        & _inside("m_yyyymm"),
-        "left_anti",
+        & (F.col("deal") == F.col("m_deal"))
+        & _inside("fill_yyyymm"),
+        "left",
     )
-    return _labelled(matched.unionByName(none_inside, allowMissingColumns=True), spec)
+    # a loss with fills leaves an empty row for each part in which it has none
+    kept = joined.filter(~F.col("has_fill") | F.col("m_entity").isNotNull())
+    return _labelled(kept.drop("fill_months", "has_fill", "deal", "m_market", "m_entity", "m_deal"), spec)
 
 
 def fill_kinds(market_fills: DataFrame, spec: RetentionSpec) -> DataFrame:

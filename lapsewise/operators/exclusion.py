@@ -37,7 +37,12 @@ def exclude_code_users(
     lost: DataFrame, listed_fills: DataFrame, spec: RetentionSpec
 ) -> DataFrame:
     """Members without those of the exclusion market who ever bought a listed code."""
-    return lost.join(code_users(listed_fills, spec), ["market", "entity_id"], "left_anti")
+    return without_users(lost, code_users(listed_fills, spec))
+
+
+def without_users(lost: DataFrame, users: DataFrame) -> DataFrame:
+    """Members without ``users``, entities with the market they leave."""
+    return lost.join(users, ["market", "entity_id"], "left_anti")
 
 
 def own_mail_cleanup(members: DataFrame, spec: RetentionSpec) -> DataFrame:

@@ -73,7 +73,7 @@ def cohort_lifecycle(monthly: DataFrame, spec: RetentionSpec) -> DataFrame:
 
     Gives what members, minimum fills, status, gaps and lost month give in turn,
     but fills are never copied per cohort: range frames look ahead and back from
-    each month. ``monthly`` runs from the lookback to the last span month.
+    each month. ``monthly`` runs from the lookback to the last span month; ``fill_months`` is handed on.
     """
     per_entity = Window.partitionBy("market", "chain", "entity_id").orderBy("month_idx")
     span = per_entity.rangeBetween(0, spec.span_months - 1)
@@ -83,6 +83,7 @@ def cohort_lifecycle(monthly: DataFrame, spec: RetentionSpec) -> DataFrame:
     last_start = idx + (spec.span_months - spec.gap_months)
     lost = F.col("gap_idx") <= last_start
     last_fill = F.when(lost, F.col("gap_idx"))
+    handed_on = [c for c in monthly.columns if c == "fill_months"]
     return (
         monthly.withColumn("month_idx", month_index(F.col("fill_yyyymm")))
         .withColumn("fills_in_span", F.sum("n_fills").over(span))
@@ -110,5 +111,6 @@ def cohort_lifecycle(monthly: DataFrame, spec: RetentionSpec) -> DataFrame:
             index_to_key(last_fill + spec.gap_months).alias("after_gap_end"),
             F.coalesce(last_fill - idx + 1, F.lit(spec.never_lost)).alias("lost_month"),
             "fills_in_span",
+            *handed_on,
         )
     )

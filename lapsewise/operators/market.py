@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapsewise.functions.keys import padded_code, product_key
@@ -18,33 +18,32 @@ def _ordinary(products: DataFrame, spec: RetentionSpec) -> DataFrame:
     return products.filter((flag != spec.special_flag) | flag.isNull())
 
 
-def _once(rows: DataFrame, spec: RetentionSpec) -> DataFrame:
+def _once(rows: DataFrame, spec: RetentionSpec, named: bool = False) -> DataFrame:
     """Each product once per market.
 
     A strict study fails, when it runs, on a product with two descriptions or a market with two: either would count
-    fills twice. The check is part of the plan: it costs no more shuffles of products than leaving out repeated rows.
+    fills twice. The check is part of the plan: products cost no more shuffles than leaving out repeated rows, and the
+    descriptions of markets are summed up to a row per market, not brought to one task. ``named`` markets have one
+    description by construction.
     """
     if not spec.strict_market:
         return rows.distinct()
-    described = ("market_desc", "prod_desc")
-    bounds = [f(c).alias(f"{n}_{c}") for c in described for n, f in (("least", F.min), ("most", F.max))]
-    in_market = Window.partitionBy("market")
-    clear = F.col("least_prod_desc").eqNullSafe(F.col("most_prod_desc")) & F.min("least_market_desc").over(
-        in_market
-    ).eqNullSafe(F.max("most_market_desc").over(in_market))
-    error = F.raise_error(F.concat(F.lit("market is ambiguous: "), F.col("market"), F.lit(", product "), F.col("product_key")))
-    return (
-        rows.groupBy("market", "product_key")
-        .agg(*bounds)
-        .withColumn("clear", clear)
-        .filter(F.when(F.col("clear"), F.lit(True)).otherwise(error.cast("boolean")))
-        .select(
-            "market",
-            F.col("least_market_desc").alias("market_desc"),
-            F.col("least_prod_desc").alias("prod_desc"),
-            "product_key",
-        )
+    once = rows.groupBy("market", "product_key").agg(
+        F.min("market_desc").alias("market_desc"), F.min("prod_desc").alias("prod_desc"), _unlike("prod_desc").alias("unlike")
     )
+    if not named:
+        # as many rows as the study has markets
+        markets = rows.groupBy("market").agg(_unlike("market_desc").alias("unlike_market"))
+        once = once.join(F.broadcast(markets), "market").withColumn("unlike", F.col("unlike") | F.col("unlike_market"))
+    error = F.raise_error(F.concat(F.lit("market is ambiguous: "), F.col("market"), F.lit(", product "), F.col("product_key")))
+    sound = F.when(~F.col("unlike"), F.lit(True)).otherwise(error.cast("boolean"))
+    return once.filter(sound).select("market", "market_desc", "prod_desc", "product_key")
+
+
+def _unlike(name: str) -> Column:
+    """Whether a group has different values of the column, or some and null; an aggregate of numbers only."""
+    value = F.coalesce(F.xxhash64(name), F.lit(0))
+    return (F.min(value) != F.max(value)) | (F.min(F.col(name).isNull()) != F.max(F.col(name).isNull()))
 
 
 def market_by_attribute(products: DataFrame, spec: RetentionSpec) -> DataFrame:
@@ -79,7 +78,7 @@ def market_by_code_list(
             "prod_desc",
             product_key(F.col("prod_id"), F.col("pack_cd")).alias("product_key"),
         )
-        .transform(_once, spec)
+        .transform(_once, spec, named=True)
     )
 
 

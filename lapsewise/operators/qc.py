@@ -191,6 +191,79 @@ def row_diff(old: DataFrame, new: DataFrame, columns: tuple[str, ...]) -> DataFr
     )
 
 
+def version_rows(
+    old: DataFrame, new: DataFrame, keys: tuple[str, ...], measures: tuple[str, ...], by: tuple[str, ...]
+) -> DataFrame:
+    """Two versions of a stage row by row: per ``by``, rows of each, and rows that are alike, changed, gone or new.
+
+    ``keys`` are unique in each version. Versions kept in buckets of one of the keys meet without a shuffle.
+    """
+    there = lambda df, name: df.select(*keys, F.struct(*measures).alias(name))
+    both = there(old, "old").join(there(new, "new"), list(keys), "full")
+    was, is_ = F.col("old").isNotNull(), F.col("new").isNotNull()
+    alike = F.col("old").eqNullSafe(F.col("new"))
+    return both.groupBy(*by).agg(
+        F.count_if(was).alias("n_old"),
+        F.count_if(is_).alias("n_new"),
+        F.count_if(was & is_ & alike).alias("n_same"),
+        F.count_if(was & is_ & ~alike).alias("n_changed"),
+        F.count_if(was & ~is_).alias("n_gone"),
+        F.count_if(is_ & ~was).alias("n_added"),
+    )
+
+
+#: Checks on members of a stage, by what they are counted by.
+CHECKS = {
+    "segment": SEGMENT,
+    "segment_month": (*SEGMENT, "lost_month"),
+    "segment_dest": (*SEGMENT, "lost_dest"),
+    "month_dest": ("lost_month", "lost_dest"),
+    "dest_class": ("lost_dest", "lost_dest_detail"),
+    "all": (),
+}
+
+
+def stage_checks(members: DataFrame) -> DataFrame:
+    """All of ``CHECKS`` in one pass: check_name, the columns it is counted by (others null), n_members.
+
+    Members are read and counted once; the checks are grouping sets over those counts. Each member has one row, so that
+    members of a segment are its entities.
+    """
+    columns = (*SEGMENT, "lost_month", "lost_dest", "lost_dest_detail")
+    counts = members.groupBy(*columns).agg(F.count("*").alias("n"))
+    # the grouping id has a bit for each column that a set leaves out, the first column's the highest
+    left_out = {name: sum(1 << k for k, c in enumerate(reversed(columns)) if c not in by) for name, by in CHECKS.items()}
+    name = reduce(lambda found, item: found.when(F.grouping_id() == item[1], item[0]), left_out.items(), F.when(F.lit(False), ""))
+    return counts.groupingSets([[F.col(c) for c in by] for by in CHECKS.values()], *columns).agg(
+        name.alias("check_name"), F.sum("n").alias("n_members")
+    )
+
+
+def distinct_rollup(rows: DataFrame, by: tuple[str, ...], measure: str = "entity_id") -> DataFrame:
+    """Exact distinct counts of ``measure`` (a number) for ``by`` and each of its beginnings: level, ``by``, n_distinct.
+
+    ``level`` is the number of columns counted by. Numbers are bits of bitmaps of 32,768 neighbours. Rows are shuffled
+    once, by bitmap; coarser levels are unions of the bitmaps of finer ones in the same task, and only sizes of bitmaps
+    are shuffled again. A null is not counted; a group of nulls alone has none.
+    """
+    bits = rows.select(
+        *by,
+        F.bitmap_bucket_number(measure).alias("bucket"),
+        F.bitmap_bit_position(measure).alias("bit"),
+    ).repartition("bucket")
+    fine = bits.groupBy("bucket", *by).agg(F.bitmap_construct_agg("bit").alias("bits"))
+    levels = fine.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(by)))))
+    cut = levels.select(
+        "bucket", "level", "bits", *[F.when(F.col("level") > k, F.col(c)).alias(c) for k, c in enumerate(by)]
+    )
+    return (
+        cut.groupBy("bucket", "level", *by)
+        .agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+        .groupBy("level", *by)
+        .agg(F.sum(F.when(F.col("bucket").isNotNull(), F.col("n")).otherwise(0)).alias("n_distinct"))
+    )
+
+
 def curve_report_topn(curve: DataFrame, n: int = 200) -> DataFrame:
     """First rows of the combined report, in a total order."""
     keys = [

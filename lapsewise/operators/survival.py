@@ -35,19 +35,18 @@ def lost_by_destination(
 
 
 def survival_at_risk(members: DataFrame, unique: bool = False) -> DataFrame:
-    """Per segment and lost month: lost, still at risk before it, and in total.
+    """Per segment and lost month: lost, still at risk before it, and in total."""
+    return at_risk(members.groupBy(*SEGMENT, "lost_month").agg(entities(unique).alias("lost")))
 
-    The windows run over counts, a few rows per segment.
-    """
+
+def at_risk(per_month: DataFrame) -> DataFrame:
+    """As ``survival_at_risk``, from ``lost`` per segment and lost month; windows over a few rows per segment."""
     segment = Window.partitionBy(*SEGMENT)
     downward = segment.orderBy(F.desc("lost_month")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    return (
-        members.groupBy(*SEGMENT, "lost_month")
-        .agg(entities(unique).alias("lost"))
-        .withColumn("at_risk", F.sum("lost").over(downward))
-        .withColumn("total", F.sum("lost").over(segment))
+    return per_month.withColumn("at_risk", F.sum("lost").over(downward)).withColumn(
+        "total", F.sum("lost").over(segment)
     )
 
 
@@ -92,12 +91,13 @@ def dense_rate(at_risk: DataFrame, spec: RetentionSpec) -> DataFrame:
     )
 
 
-def _with_month_zero(df: DataFrame, at_zero: dict) -> DataFrame:
-    """Each month-1 row once more as month 0, with some columns replaced."""
-    first = df.filter(F.col("lost_month") == 1).withColumns(
-        {"lost_month": F.lit(0), **at_zero}
-    )
-    return df.unionByName(first)
+def _with_month_zero(df: DataFrame, at_zero: dict[str, Column]) -> DataFrame:
+    """Each month-1 row once more as month 0, with some columns replaced; ``df`` is planned and read once."""
+    month = F.col("lost_month")
+    shown = F.when(month == 1, F.array(F.lit(1), F.lit(0))).otherwise(F.array(month))
+    is_zero = F.col("shown") == 0
+    columns = {"lost_month": F.col("shown")} | {n: F.when(is_zero, c).otherwise(F.col(n)) for n, c in at_zero.items()}
+    return df.withColumn("shown", F.explode(shown)).withColumns(columns).drop("shown")
 
 
 def survival_month_zero(points: DataFrame) -> DataFrame:
@@ -148,6 +148,22 @@ def survival_curve(
     return curve_report(points, lost_month_zero(lost_by_destination(classes, spec)), spec)
 
 
+def curve_by_join(counts: DataFrame, spec: RetentionSpec) -> DataFrame:
+    """The report as a join of the curve's points with their destinations, both from member counts.
+
+    ``counts`` is as for ``curve_from_counts`` and is read twice: it should be stored, or cheap.
+    """
+    per_month = counts.groupBy(*SEGMENT, "lost_month").agg(F.sum("members").alias("lost"))
+    points = survival_month_zero(survival_rate(at_risk(per_month), spec))
+    lost = (
+        counts.filter(F.col("lost_month") <= spec.last_lost_month)
+        .withColumn("lost_dest", labels.report_destination(F.col("lost_dest"), spec))
+        .groupBy(*SEGMENT, "lost_month", "lost_dest", "lost_dest_detail")
+        .agg(F.sum("members").alias("lost"))
+    )
+    return curve_report(points, lost_month_zero(lost), spec)
+
+
 def curve_from_counts(counts: DataFrame, spec: RetentionSpec) -> DataFrame:
     """The same report from member counts, without joining the curve to itself.
 

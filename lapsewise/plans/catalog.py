@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,7 @@ from lapsewise.operators import cohort, destination, fills, gaps, market, qc, su
 from lapsewise.plans import fused
 from lapsewise.plans.inputs import StarInputs
 from lapsewise.plans.staged import LeanStudy, StagedStudy
-from lapsewise.sources import star
-from lapsewise.sources.stages import remove, shared_dir
+from lapsewise.sources import stages, star
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPEC = star.STAR_SPEC
@@ -40,6 +40,16 @@ def _outcomes(spark: SparkSession, sf_dir: str, exclude: bool = True) -> DataFra
     return fused.member_outcomes(StarInputs(spark, sf_dir), SPEC, exclude)
 
 
+def _store(spark: SparkSession) -> str:
+    """A folder for stages of one query."""
+    return f"{stages.scratch(spark)}/stages-{uuid.uuid4().hex}"
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """The rows of a report, at most a few per cohort, computed now: what they were made from may go."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def _still_lost(members: DataFrame) -> DataFrame:
     return members.filter(F.col("lost_month") <= SPEC.last_lost_month)
 
@@ -298,9 +308,9 @@ def survival_curve_all(spark, sf_dir):
 
 @query
 def survival_curve_joined(spark, sf_dir):
-    """The report as a join of the curve with its destinations, from members and classes."""
-    study = _lean(spark, sf_dir)
-    return survival.survival_curve(study.cleaned, study.outlet_class, SPEC)
+    """The report as a join of the curve with its destinations, from stored member counts."""
+    counts = fused.member_counts(_lean(spark, sf_dir).cleaned)
+    return survival.curve_by_join(stages.write_stage(counts, f"{_store(spark)}/counts"), SPEC)
 
 
 @query
@@ -342,14 +352,14 @@ def preview(spark, sf_dir):
 def stage_ledger(spark, sf_dir):
     """Runs the steps through written stages, each computed once, and leaves none of them.
 
-    The ledger itself is a row per stage.
+    The ledger itself is a row per stage, counted while the stage was written.
     """
-    store = f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
+    store = _store(spark)
     try:
-        ledger = qc.stage_ledger(_steps(spark, sf_dir, store).stages())
-        return spark.createDataFrame(ledger.collect(), ledger.schema)
+        ledger = _steps(spark, sf_dir, store).ledger()
+        return spark.createDataFrame(list(ledger.items()), "stage string, n_rows long")
     finally:
-        remove(spark, store)
+        stages.remove(spark, store)
 
 
 @query
@@ -468,10 +478,44 @@ def qc_version_diff(spark, sf_dir):
 
 @query
 def qc_form_diff(spark, sf_dir):
-    """The step-by-step members and their outcomes against the fused ones, row by row."""
+    """The step-by-step members and their outcomes against the fused ones, row by row.
+
+    The steps run through stored stages, so that each is computed once; both forms leave out the same stored code users.
+    """
     columns = (*cohort.MEMBER, "status", "lost_month", "lost_dest", "lost_dest_detail")
     still_lost = F.col("lost_month") <= SPEC.last_lost_month
-    steps = _steps(spark, sf_dir).cleaned.withColumn(
-        "lost_dest_detail", F.when(still_lost, F.col("lost_dest_detail"))
-    )
-    return qc.row_diff(steps, _outcomes(spark, sf_dir), columns)
+    store = _store(spark)
+    try:
+        study = _steps(spark, sf_dir, store)
+        steps = study.cleaned.withColumn("lost_dest_detail", F.when(still_lost, F.col("lost_dest_detail")))
+        fusion = fused.member_outcomes(study.inputs, SPEC, users=study.code_users)
+        return _small(qc.row_diff(steps, fusion, columns))
+    finally:
+        stages.remove(spark, store)
+
+
+@query
+def qc_version_rows(spark, sf_dir):
+    """Members' status against the version stored before, which looked back half as far, row by row."""
+    store = _store(spark)
+    short = replace(SPEC, lookback_months=SPEC.lookback_months // 2)
+    try:
+        for spec in (short, SPEC):
+            new = LeanStudy(StarInputs(spark, sf_dir, spec), spec, store).status
+        old = stages.read_stage(spark, f"{store}/status", 1)
+        with stages.co_located(spark):
+            return _small(qc.version_rows(old, new, cohort.MEMBER, ("status",), ("market", "cohort_chain", "cohort_yyyymm")))
+    finally:
+        stages.remove(spark, store)
+
+
+@query
+def qc_stage_checks(spark, sf_dir):
+    """All checks on the cleaned members in one pass."""
+    return qc.stage_checks(_outcomes(spark, sf_dir))
+
+
+@query
+def qc_distinct_rollup(spark, sf_dir):
+    """Entities per market, chain and status, per market and chain, per market and in all, each counted once."""
+    return qc.distinct_rollup(_outcomes(spark, sf_dir), ("market", "cohort_chain", "status"))

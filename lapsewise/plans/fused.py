@@ -225,14 +225,17 @@ def _members(outcomes: DataFrame, spec: RetentionSpec) -> DataFrame:
     )
 
 
-def member_outcomes(inputs: Inputs, spec: RetentionSpec, exclude: bool = True) -> DataFrame:
+def member_outcomes(
+    inputs: Inputs, spec: RetentionSpec, exclude: bool = True, users: DataFrame | None = None
+) -> DataFrame:
     """Every cohort member that is left after the exclusion, with its outcome.
 
+    ``users`` are the entities to leave out, with their market, where they are known already.
     A study of any length and any minimum of fills: what does not fit one integer
     per customer takes the form that works on windows over months.
     """
     if not fits(spec):
-        return windowed_outcomes(inputs, spec, exclude)
+        return windowed_outcomes(inputs, spec, exclude, users)
     s = spec
     products = market.market_definition(
         inputs.products, inputs.bridge, inputs.market_codes, s
@@ -246,18 +249,21 @@ def member_outcomes(inputs: Inputs, spec: RetentionSpec, exclude: bool = True) -
     activity = month_activity(raw, s).repartition("entity_id")
     outcomes = _outcomes(_tracks(activity, s), s)
     if exclude:
-        listed = fills.exclusion_fills(inputs.history_of_codes(), s)
-        outcomes = exclusion.exclude_code_users(outcomes, listed, s)
+        if users is None:
+            users = exclusion.code_users(fills.exclusion_fills(inputs.history_of_codes(), s), s)
+        outcomes = exclusion.without_users(outcomes, users)
     return _members(outcomes, s)
 
 
-def windowed_outcomes(inputs: Inputs, spec: RetentionSpec, exclude: bool = True) -> DataFrame:
+def windowed_outcomes(
+    inputs: Inputs, spec: RetentionSpec, exclude: bool = True, users: DataFrame | None = None
+) -> DataFrame:
     """The same rows from ``LeanStudy``, without a bound on months or fills."""
     study = LeanStudy(inputs, spec)
     before = F.col("lost_month").alias("lost_month_before")
     outcome = study.outcome.select("*", before)
     if exclude:
-        outcome = exclusion.exclude_code_users(outcome, study._listed, spec)
+        outcome = exclusion.without_users(outcome, study.code_users if users is None else users)
     still_lost = F.col("lost_month") <= spec.last_lost_month
     return exclusion.own_mail_cleanup(outcome, spec).select(
         "market",

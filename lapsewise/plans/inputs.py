@@ -84,6 +84,7 @@ class StarInputs(Inputs):
             None,
             self.spec.fills_last,
             lambda items: exclusion.of_codes(items, self.exclusion_codes, self.codes_bytes),
+            few=True,
         )
 
     @cached_property

@@ -184,11 +184,26 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
-def passing(spark: SparkSession, path: str) -> str:
-    """``path``, marked to be deleted when the application ends: for what no one reads later."""
-    place, files = _at(spark, path)
-    files.deleteOnExit(place)
-    return path
+def observed_rows(df: DataFrame) -> int:
+    """Rows of ``df``, counted while it is made in full; nothing is kept."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.format("noop").mode("overwrite").save()
+    return seen.get["n_rows"]
+
+
+_scratch: dict[tuple[str, str], str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder of the application below the shared one, deleted when the application ends: for what no one reads later."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark))
+    if key not in _scratch:
+        path = f"{key[1]}/scratch-{uuid.uuid4().hex}"
+        place, files = _at(spark, path)
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _scratch[key] = path
+    return _scratch[key]
 
 
 @cache

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewise.functions.months import month_floor, month_key
+from lapsewise.operators import reduce
 from lapsewise.operators.market import hinted
 from lapsewise.spec import RetentionSpec
 
@@ -46,16 +47,28 @@ def stored_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def shuffled(df: DataFrame) -> bool:
+    """Whether a plain table is too large for Spark to broadcast it by itself."""
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return stored_bytes(df) > most
+
+
 def _month_text(yyyymm: int) -> str:
     return f"{yyyymm // 100:04d}-{yyyymm % 100:02d}-01"
 
 
+def _with_products(items: DataFrame) -> DataFrame:
+    part = F.col("l_partkey")
+    return items.withColumns({"product_key": part, "product_code": part.cast("string")})
+
+
 def fills(
     tables: Tables,
     first: int | None = None,
     last: int | None = None,
     narrow: Callable[[DataFrame], DataFrame] | None = None,
     narrowed: tuple[str, ...] = (),
+    few: bool = False,
 ) -> DataFrame:
     """Fill fact; ``first``/``last`` (YYYYMM) cut the scan itself.
 
@@ -64,7 +77,9 @@ def fills(
     with what they must match (by ``product_key`` or ``product_code``) and may add
     the columns ``narrowed``. All that depends on the outlet and the product is
     joined and filtered before the orders, so that only surviving line items are
-    shuffled, once.
+    shuffled, once. With ``few`` they are few: orders that are to be shuffled are then
+    reduced to those of narrowed line items first, by a filter of their keys. It costs one
+    more read of the keys and products of line items, and spares the shuffle of most orders.
     """
     shipped = F.col("l_shipdate")
     items = tables("lineitem")
@@ -73,9 +88,7 @@ def fills(
     if last is not None:
         after = last + 1 if last % 100 < 12 else (last // 100 + 1) * 100 + 1
         items = items.filter(shipped < F.lit(_month_text(after)))
-    items = items.withColumns(
-        {"product_key": F.col("l_partkey"), "product_code": F.col("l_partkey").cast("string")}
-    )
+    items = _with_products(items)
     orders = tables("orders").select(
         "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"
     )
@@ -90,6 +103,9 @@ def fills(
     items = items.join(outlets, F.col("l_suppkey") == F.col("s_suppkey"))
     if narrow is not None:
         items = narrow(items)
+    if narrow is not None and few and shuffled(tables("orders")):
+        wanted = narrow(_with_products(tables("lineitem").select("l_orderkey", "l_partkey")))
+        orders = reduce.may_have(orders, "o_orderkey", reduce.key_filter(wanted, "l_orderkey"))
 
     region = F.col("n_regionkey")
     fill_date = shipped.cast("date")

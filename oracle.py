@@ -290,6 +290,13 @@ _LOSS = (
     "last_fill_month, before_gap_start, after_gap_end, lost_month"
 )
 
+_OF_MEMBERS = (*_SEGMENT.split(", "), "lost_month", "lost_dest", "lost_dest_detail")
+_OUTCOMES = """
+    from cleaned c
+    left join classes k on k.market = c.market and k.cohort_chain = c.cohort_chain
+                       and k.cohort_yyyymm = c.cohort_yyyymm and k.entity_id = c.entity_id
+"""
+
 FINAL = {
     "fills_scan": """
         select claim_order, claim_line, entity_id, fill_date, fill_month, fill_yyyymm,
@@ -542,6 +549,39 @@ FINAL = {
                cast(0 as bigint) as difference
         from losses group by market, cohort_chain, cohort_yyyymm, lost_month
     """,
+    "qc_version_rows": """
+        select market, cohort_chain, cohort_yyyymm, count(*) as n_old, count(*) as n_new,
+               count(*) filter (where before = status) as n_same,
+               count(*) filter (where before <> status) as n_changed,
+               cast(0 as bigint) as n_gone, cast(0 as bigint) as n_added
+        from (select s.*, case when exists (
+                         select 1 from qualified q
+                         where q.entity_id = s.entity_id and q.chain = s.cohort_chain
+                           and q.market = s.market
+                           and date_diff('month', q.fill_month, s.cohort_month) between 1 and 6)
+                     then 'CONTINUING' else 'NEW' end as before
+              from statuses s)
+        group by market, cohort_chain, cohort_yyyymm
+    """,
+    "qc_stage_checks": " union all ".join(
+        f"select '{check}' as check_name, "
+        + ", ".join(c if c in by else f"null as {c}" for c in _OF_MEMBERS)
+        + f", count(*) as n_members from (select c.*, k.lost_dest_detail {_OUTCOMES})"
+        + (f" group by {', '.join(by)}" if by else "")
+        for check, by in {
+            "segment": _OF_MEMBERS[:5],
+            "segment_month": (*_OF_MEMBERS[:5], "lost_month"),
+            "segment_dest": (*_OF_MEMBERS[:5], "lost_dest"),
+            "month_dest": ("lost_month", "lost_dest"),
+            "dest_class": ("lost_dest", "lost_dest_detail"),
+            "all": (),
+        }.items()
+    ),
+    "qc_distinct_rollup": """
+        select 3 - bit_count(grouping(market, cohort_chain, status))::integer as level,
+               market, cohort_chain, status, count(distinct entity_id) as n_distinct
+        from cleaned group by rollup (market, cohort_chain, status)
+    """,
 }
 
 

@@ -1,11 +1,13 @@
 """What must hold between stages, whatever the data."""
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conftest import rows
 from lapsewise.operators import qc
 from lapsewise.operators.cohort import MEMBER
+from lapsewise.operators.survival import SEGMENT
 from lapsewise.plans import fused
 from lapsewise.plans.inputs import StarInputs
 from lapsewise.plans.staged import StagedStudy
@@ -91,3 +93,54 @@ def test_fused_plan_gives_the_same_report(spark, study):
     for status in ("NEW", "CONTINUING"):
         part = fused.survival_curve(study.inputs, STAR_SPEC, status)
         assert rows(part) == rows(study.curve.filter(F.col("status") == status))
+
+
+def test_the_ledger_counts_what_it_writes(spark, tmp_path, sizes, monkeypatch):
+    """The same numbers, observed while stages are written; no stage is counted by a job of its own."""
+    monkeypatch.setattr(DataFrame, "count", lambda self: pytest.fail("counted"))
+    again = StagedStudy(StarInputs(spark, "/root/testdata/sf0.01"), STAR_SPEC, str(tmp_path)).ledger()
+    assert again == sizes
+    with pytest.raises(ValueError):
+        StagedStudy(StarInputs(spark, "/root/testdata/sf0.01"), STAR_SPEC).ledger()
+
+
+def test_checks_in_one_pass_are_those_one_by_one(study):
+    found = qc.stage_checks(study.cleaned).collect()
+    of = lambda name, *by: sorted((*[r[c] for c in by], r.n_members) for r in found if r.check_name == name)
+    hist = qc.lost_month_hist(study.cleaned)
+    assert of("segment_month", *SEGMENT, "lost_month") == rows_of(hist)
+    dest = qc.lost_month_dest(study.cleaned)
+    assert of("month_dest", "lost_month", "lost_dest") == rows_of(dest)
+    total = qc.with_grand_total(study.cleaned, unique=True)
+    assert of("segment", *SEGMENT) == rows_of(total.drop("grand_total"))
+    assert {r.grand_total for r in total.collect()} == {n for (n,) in of("all")}
+    pairs = qc.distinct_pairs(study.cleaned, "lost_dest", "lost_dest_detail")
+    assert {(r.lost_dest, r.lost_dest_detail) for r in found if r.check_name == "dest_class"} == {tuple(r) for r in pairs.collect()}
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("by", [(), ("market",), ("market", "cohort_chain", "status", "cohort_yyyymm")])
+def test_distinct_rollup_is_count_distinct_on_every_level(study, by):
+    found = {(r.level, *[r[c] for c in by]): r.n_distinct for r in qc.distinct_rollup(study.status, by).collect()}
+    want = {}
+    for level in range(len(by) + 1):
+        for r in study.status.groupBy(*by[:level]).agg(F.countDistinct("entity_id").alias("n")).collect():
+            want[(level, *[r[c] for c in by[:level]], *[None] * (len(by) - level))] = r.n
+    assert found == want
+
+
+def test_distinct_rollup_of_nulls_and_far_numbers(spark):
+    values = [0, 1, 32767, 32768, 32769, 2**40, 2**62, 5, 5, None]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 5), ("c", None)], "g string, v long")
+    got = {(r.level, r.g): r.n_distinct for r in qc.distinct_rollup(df, ("g",), "v").collect()}
+    assert got == {(0, None): 8, (1, "a"): 8, (1, "b"): 1, (1, "c"): 0}
+
+
+def test_row_by_row_versions(spark):
+    old = spark.createDataFrame([(1, "x", "a"), (2, "x", None), (3, "x", "c"), (4, "y", "d")], "k int, g string, m string")
+    new = spark.createDataFrame([(1, "x", "a"), (2, "x", None), (3, "x", "C"), (5, "y", "e")], "k int, g string, m string")
+    got = rows_of(qc.version_rows(old, new, ("k", "g"), ("m",), ("g",)))
+    assert got == [("x", 3, 3, 2, 1, 0, 0), ("y", 1, 1, 0, 0, 1, 1)]

@@ -4,11 +4,16 @@ import re
 
 import pytest
 
-from lapsewise.plans import catalog
+from lapsewise.operators import reduce
+from lapsewise.plans import catalog, fused
+from lapsewise.plans.inputs import StarInputs
+from lapsewise.plans.staged import LeanStudy, StagedStudy
+from lapsewise.sources import stages
+from lapsewise.sources.star import STAR_SPEC
 
 SF_DIR = "/root/testdata/sf0.01"
-# Writes its stages while being built.
-SKIP = {"stage_ledger"}
+# Write stages while being built.
+SKIP = {"stage_ledger", "qc_form_diff", "qc_version_rows"}
 
 
 def plan_of(df):
@@ -79,6 +84,7 @@ def test_shuffles_of_the_fused_plan(spark, no_broadcasts):
             "o_orderkey",
             "l_orderkey",
             "o_orderkey",
+            "filter_word",
             "entity_id, market, market_desc, month_no, chain, channel, outlet_class, own_mail",
             "entity_id",
             "entity_id",
@@ -115,7 +121,11 @@ def test_line_items_meet_outlets_and_products_before_any_shuffle(spark, no_broad
         ("own_mail_cleanup", 3),
         ("lost_outlet_class", 3),
         ("lost_destination", 2),
-        ("lost_window_fills", 4),
+        ("lost_window_fills", 2),
+        ("survival_month_zero", 2),
+        ("survival_curve_joined", 3),
+        ("qc_stage_checks", 2),
+        ("qc_distinct_rollup", 2),
         ("qc_gap_reconcile", 2),
         ("qc_version_diff", 4),
         ("survival_curve_all", 2),
@@ -125,6 +135,79 @@ def test_reads_of_the_fact(spark, name, most):
     assert fact_scans(plan_of(catalog.REGISTRY[name](spark, SF_DIR))) <= most
 
 
+def below(plan, start):
+    """Lines of the subtree under the line that has ``start``."""
+    lines = plan.split("\n")
+    at = next(k for k, line in enumerate(lines) if start in line)
+    depth = re.search(r"[A-Z]", lines[at]).start()
+    found = []
+    for line in lines[at + 1 :]:
+        if not re.search(r"[A-Z]", line) or re.search(r"[A-Z]", line).start() <= depth:
+            break
+        found.append(line)
+    return found
+
+
+def test_orders_of_few_items_are_filtered_before_their_shuffle(spark, no_broadcasts):
+    plan = plan_of(catalog.StagedStudy(StarInputs(spark, SF_DIR), STAR_SPEC)._listed)
+    under = below(plan, "hashpartitioning(o_orderkey")
+    assert any("BroadcastHashJoin" in line and "filter_word" in line for line in under)
+    made_from = [line for line in under if "FileScan" in line and "l_orderkey" in line]
+    assert len(made_from) == 1 and "l_shipdate" not in made_from[0]
+
+
+def test_orders_that_are_broadcast_are_not_filtered(spark):
+    assert "filter_word" not in plan_of(catalog.REGISTRY["exclude_code_users"](spark, SF_DIR))
+
+
+def test_key_filter_keeps_partners_and_drops_most_others(spark):
+    keys = spark.range(0, 30_000, 3).toDF("k")
+    made = reduce.key_filter(keys, "k", 4096)
+    assert made.count() <= 4096
+    rows = spark.range(30_000).selectExpr("if(id % 7 = 0, null, id) as k")
+    kept = {r.k for r in reduce.may_have(rows, "k", made, 4096).collect()}
+    partners = {k for k in range(0, 30_000, 3) if k % 7}
+    assert partners <= kept and len(kept - partners) < 0.15 * 30_000 and None not in kept
+    assert reduce.may_have(rows, "k", reduce.key_filter(keys.limit(0), "k")).count() == 0
+
+
+@pytest.mark.parametrize("kind", [StagedStudy, LeanStudy])
+def test_stored_stages_join_without_a_shuffle(spark, no_broadcasts, tmp_path, monkeypatch, kind):
+    """Only what comes from the fact is shuffled to the entity; stages made of stages are not."""
+    plans = {}
+    write = stages.write_stage
+
+    def recorded(df, path, partition_by=(), bucket_by=(), buckets=0):
+        dealt = df.repartition(buckets, *bucket_by) if bucket_by else df
+        plans[path.rsplit("/", 1)[1]] = plan_of(dealt)
+        return write(df, path, partition_by, bucket_by, buckets)
+
+    monkeypatch.setattr(stages, "write_stage", recorded)
+    study = kind(StarInputs(spark, "/root/testdata/sf0.001"), STAR_SPEC, str(tmp_path))
+    study.cleaned, study.status
+    assert {"months", "lost", "kinds", "followup_kinds", "outcome", "code_users", "cleaned"} <= set(plans)
+    for name in set(plans) - {"market", "qualified", "months", "kinds", "code_users"}:
+        assert "hashpartitioning" not in plans[name], name
+    with stages.co_located(spark):
+        for result in (study.kept, study.destination, study.outlet_class):
+            assert "hashpartitioning" not in plan_of(result)
+    stages.remove(spark, str(tmp_path))
+
+
+def test_joined_curve_reads_the_fact_for_its_counts_only(spark):
+    study = LeanStudy(StarInputs(spark, SF_DIR), STAR_SPEC)
+    assert fact_scans(plan_of(fused.member_counts(study.cleaned))) <= 3
+    assert fact_scans(plan_of(catalog.REGISTRY["survival_curve_joined"](spark, SF_DIR))) == 0
+
+
+def test_form_diff_reads_the_fact_four_times(spark, tmp_path):
+    study = StagedStudy(StarInputs(spark, "/root/testdata/sf0.001"), STAR_SPEC, str(tmp_path))
+    reads = [fact_scans(plan_of(x)) for x in (study.inputs.fills_in_market(study.market), study._any_chain, study._listed)]
+    fusion = fused.member_outcomes(study.inputs, STAR_SPEC, users=study.code_users)
+    assert sum(reads) + fact_scans(plan_of(fusion)) <= 4
+    stages.remove(spark, str(tmp_path))
+
+
 def test_lifecycle_shuffles_once_after_the_month_counts(spark):
     plan = plan_of(catalog.REGISTRY["cohort_lifecycle"](spark, SF_DIR))
     keys = [
