@@ -36,6 +36,7 @@ RAW = "script style noscript template textarea iframe svg object title"
 ASIDE = frozenset("nav footer aside form button select menu dialog head".split())
 ARTICLE = frozenset(["article", "main"])
 FRAME = ARTICLE | {"html", "body"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th pre blockquote figure figcaption".split())
 #: Words in a class or id that name parts beside the article.
 BESIDE = frozenset(
@@ -53,24 +54,27 @@ ONCE = 0.9
 #: More than this share is most: of a slot's text in links, of pages with the same text, of a page's text in an element.
 MOST = 0.5
 
+# a quote opens a value only after an equals sign; elsewhere it is a character like others
+_ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW.replace(' ', '|')})\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<[!?][^>]*>"
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*)>""",
+    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW.replace(' ', '|')})(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)\s*>|$)|<[!?][^>]*>"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})>",
     re.S | re.I,
 )
 _PARTS = re.compile(r"[^a-z0-9]+")
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""\b(?P<of>class|id|role)\s*=\s*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)'|(?P<c>[^\s"'>]+))""", re.I)
 
 
 @dataclass
 class Page:
-    """Elements (the page itself first): parent, role, tag, whether named as beside the article. Blocks: element, text
-    with white space as single blanks, code points in links."""
+    """Elements (the page itself first): parent, role, tag, whether a class or an id names it as beside the article.
+    Blocks: element, text with white space as single blanks, code points in links."""
 
     parents: list[int] = field(default_factory=lambda: [0])
     roles: list[str] = field(default_factory=lambda: [""])
     tags: list[str] = field(default_factory=lambda: [""])
     named: list[bool] = field(default_factory=lambda: [False])
+    named_by_id: list[bool] = field(default_factory=lambda: [False])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
     def chars(self) -> list[int]:
@@ -88,7 +92,8 @@ class Page:
     def beside(self, large: set[str]) -> list[bool]:
         """Which elements are, or lie in, something beside the article; a header is if it stands outside of articles.
 
-        Names do not tell of the page's frame, of articles, of what holds the one article and of ``large`` roles.
+        Names do not tell of the page's frame, of articles, of what holds the one article, of ``large`` roles and of
+        headings; ids do not tell inside articles, where they are made from headings.
         """
         n = len(self.parents)
         inside, holds = [False] * n, [False] * n
@@ -102,7 +107,8 @@ class Page:
         out = [False] * n
         for k in range(1, n):
             tag, up = self.tags[k], self.parents[k]
-            by_name = self.named[k] and tag not in FRAME and not holds[k] and self.roles[k] not in large
+            named = self.named[k] or (self.named_by_id[k] and not inside[k])
+            by_name = named and tag not in FRAME | HEADINGS and not holds[k] and self.roles[k] not in large
             out[k] = out[up] or tag in ASIDE or (tag == "header" and not inside[up]) or by_name
         return out
 
@@ -167,22 +173,38 @@ def read_page(page: str, words: set[str] | None = None) -> Page:
             links = 0
         if tag in VOID or token["attrs"].endswith("/"):
             continue
-        names = names_of(token["attrs"]) if token["attrs"] else ()
+        of_class, of_id = _split_names(token["attrs"]) if token["attrs"] else ((), ())
+        names = {*of_class, *of_id}
         out.parents.append(stack[-1])
         above = out.roles[stack[-1]]
         own = ".".join([tag, *sorted(n for n in names if words is None or n in words)])
         out.roles.append(f"{above}/{own}" if above else own)
         out.tags.append(tag)
-        out.named.append(any(part in BESIDE for name in names for part in _PARTS.split(name)))
+        out.named.append(_tells(of_class))
+        out.named_by_id.append(_tells(n for n in of_id if words is None or n in words))  # an id of one page is its own
         stack.append(len(out.parents) - 1)
     read(page[at:])
     flush()
     return out
 
 
+def _split_names(markup: str) -> tuple[set[str], set[str]]:
+    """Words of classes and ARIA roles, and of ids."""
+    of_class: set[str] = set()
+    of_id: set[str] = set()
+    for m in _NAMES.finditer(markup):
+        value = m["a"] or m["b"] or m["c"] or ""
+        (of_id if m["of"].lower() == "id" else of_class).update(value.lower().split())
+    return of_class, of_id
+
+
 def names_of(markup: str) -> set[str]:
     """Words of all classes, ids and ARIA roles."""
-    return {w for m in _NAMES.findall(markup) for w in " ".join(m).lower().split()}
+    return set.union(*_split_names(markup))
+
+
+def _tells(names) -> bool:
+    return any(part in BESIDE for name in names for part in _PARTS.split(name))
 
 
 def _in_article(role: str) -> bool:

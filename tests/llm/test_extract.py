@@ -116,3 +116,17 @@ def test_small_parts_and_linked_references(spark):
         for k in range(6)
     ]
     assert texts_of(spark, pages) == {k: f"T {k}\n{(f'own{k} ' * 200).strip()}\nShort {k}\nSource {k}" for k in range(6)}
+
+
+def test_stray_quotes_and_odd_tags_leave_no_markup(spark):
+    body = '<article><p class="a"">one</p><p title=\'x>y\'>two</p><p data-x=a"b>three</p><p class="open>four</p><p title="">five</p><title-bar>six</title-bar></article>'
+    found = {extract.main_text(body, set(), set(), set(), set(), {}, set())}
+    (text,) = found
+    assert text.split("\n")[:3] == ["one", "two", "three"] and "<" not in text and ">" not in text and text.endswith("six")
+
+
+def test_ids_made_from_headings_stay_in_the_article(spark):
+    page = "<html><body><article><h2 id='social-life'>Social life</h2><p>Text {0} of the article.</p><section id='related-work'><h3 id='ads'>Related work</h3><p>More {0} text.</p></section><div class='share'>Share</div></article></body></html>"
+    pages = spark.createDataFrame([(k, f"https://h.example/{k}", page.format(f"number{k}")) for k in range(6)], "page_id long, url string, html string")
+    for r in extract.extract(pages).collect():
+        assert r.text == f"Social life\nText number{r.page_id} of the article.\nRelated work\nMore number{r.page_id} text."
