@@ -5,8 +5,9 @@ three bytes and its place in lists of telling words; each has a learned weight f
 neighbouring labels has a learned transition. Forward-backward gives the probability of each label for each word.
 Features depend on the spelling alone, so they are computed once per distinct word of a chunk of texts.
 
-A text's chain is cut into sequences of ``SEQUENCE`` words, which bounds the steps of the recursion; all words of a
-text are labelled.
+Sequences of at most ``SEQUENCE`` words are worked on side by side, which bounds the steps of the recursion. Training
+sequences are so long; a text's own chain is whole: what one stretch of it hands to the next, forward and backward, is
+computed from the product of its steps.
 """
 
 from __future__ import annotations
@@ -137,7 +138,11 @@ class Chain:
         if len(words.starts) == 0:
             return np.zeros((0, len(self.labels)), np.float32)
         first, length = words.sequences()
-        return forward_backward(self.scores(words), words.which, first, length, self.transitions)[0]
+        nth = np.concatenate([[0], np.where(np.diff(words.text_of()[first]) == 0, 1, 0)]).astype(np.int64)
+        nth = _counted(nth)
+        scores = self.scores(words)
+        entry, exit_ = _handed_on(scores, words.which, first, length, nth, self.transitions)
+        return forward_backward(scores, words.which, first, length, self.transitions, entry, exit_)[0]
 
 
 def _scores(model: Chain, fixed, grams, gram_at, listed) -> np.ndarray:
@@ -150,19 +155,70 @@ def _scores(model: Chain, fixed, grams, gram_at, listed) -> np.ndarray:
     return out
 
 
-def forward_backward(scores, which, first, length, transitions):
-    """Marginals of all words, and expected numbers of each pair of neighbouring labels."""
-    labels = scores.shape[1]
-    # at most 30 apart, so that no product of three vanishes
+def _counted(goes_on: np.ndarray) -> np.ndarray:
+    """Number of ones in a row up to each place."""
+    total = np.cumsum(goes_on)
+    return total - np.maximum.accumulate(np.where(goes_on == 0, total, 0))
+
+
+def _factors(scores: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of labels for each spelling and of steps between labels; at most 30 apart, so that no product of three vanishes."""
     emit = np.exp(np.maximum(scores - scores.max(1, keepdims=True), -30)).astype(np.float32)
     step = np.exp(np.maximum(transitions - transitions.max(), -30)).astype(np.float32)
+    return emit, step
+
+
+def _handed_on(scores, which, first, length, nth, transitions) -> tuple[np.ndarray, np.ndarray]:
+    """What each stretch gets from the one before it in its text, and from the one after it (ones at a text's ends).
+
+    ``nth`` numbers the stretches of each text, which stand in order.
+    """
+    labels, n = scores.shape[1], len(first)
+    entry, exit_ = np.ones((n, labels), np.float32), np.ones((n, labels), np.float32)
+    if not nth.any():
+        return entry, exit_
+    emit, step = _factors(scores, transitions)
+    # products of the steps into and through each stretch that follows another, and the state that a text's first leaves
+    own = np.flatnonzero((nth > 0) | np.concatenate([nth[1:] > 0, [False]]))
+    own = own[np.argsort(-length[own], kind="stable")]
+    through = np.broadcast_to(np.eye(labels, dtype=np.float32), (n, labels, labels)).copy()
+    inner = nth[own] > 0
+    active = np.searchsorted(-length[own], -np.arange(int(length[own[0]])), side="left")
+    for t, a in enumerate(active):
+        rows = own[:a]
+        moved = through[rows] @ step if t else np.where(inner[:a, None, None], through[rows] @ step, through[rows])
+        moved = moved * emit[which[first[rows] + t]][:, None, :]
+        through[rows] = moved / moved.sum((1, 2), keepdims=True)
+    in_turn = np.argsort(nth, kind="stable")
+    turns = np.split(in_turn, np.cumsum(np.bincount(nth))[:-1])
+    for k, at in enumerate(turns[1:], 1):
+        left = np.einsum("ij,ijk->ik", entry[at - 1] if k > 1 else np.ones((len(at), labels), np.float32), through[at - 1])
+        entry[at] = left / left.sum(1, keepdims=True)
+    for at in turns[:0:-1]:
+        right = np.einsum("ijk,ik->ij", through[at], exit_[at])
+        exit_[at - 1] = right / right.sum(1, keepdims=True)
+    # the state before a first word is that after the step to it
+    entry[nth > 0] = entry[nth > 0] @ step
+    return entry, exit_
+
+
+def forward_backward(scores, which, first, length, transitions, entry=None, exit_=None):
+    """Marginals of all words, and expected numbers of each pair of neighbouring labels.
+
+    ``entry`` and ``exit_`` weigh the labels of each sequence's first and last word by what stands around it.
+    """
+    labels = scores.shape[1]
+    emit, step = _factors(scores, transitions)
     order = np.argsort(-length, kind="stable")
+    entry = np.ones((len(first), labels), np.float32) if entry is None else entry[order]
     first, length = first[order], length[order]
     longest = int(length[0])
     active = np.searchsorted(-length, -np.arange(longest), side="left")  # sequences longer than t
     forward = np.empty((len(which), labels), np.float32)
     backward = np.ones((len(which), labels), np.float32)
-    state = np.full((len(first), labels), 1.0 / labels, np.float32)
+    if exit_ is not None:
+        backward[first + length - 1] = exit_[order]
+    state = entry
     for t in range(longest):
         a = active[t]
         state = emit[which[first[:a] + t]] * (state[:a] if t == 0 else state[:a] @ step)

@@ -18,6 +18,8 @@ from lapsewise.llm.chain import Chain, Words, train
 SAMPLE_ROWS = 1500
 SAMPLE_EACH = 100
 SAMPLE_CHARS = 20_000
+#: Languages that are learned, the most frequent ones: labels beyond these are taken for errors.
+LANGUAGES = 256
 #: Words of a stretch in one language when labelled texts are dealt into training sequences that switch.
 STRETCH = 25
 #: Telling words kept for each language.
@@ -28,13 +30,15 @@ UNKNOWN = "und"
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Chain | None:
     """A field learned from text and lang of rows that are not held out; None if there are none.
 
-    Labels are of whole texts. So that the field learns transitions, texts are cut into stretches of words, and
+    Labels are of whole texts. Null texts, null labels and labels beyond the ``LANGUAGES`` most frequent ones (ties by
+    name) are not learned from; repeated rows count each for itself. So that the field learns transitions, texts are cut into stretches of words, and
     stretches of all languages are dealt into training sequences in random order (a fixed seed).
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~sampling.held_out(F.col("doc_id")))
     known = known.where(F.length("text") <= chars)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of_each = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in of_each.collect()}
     if not counts:
         return None
     most = max(_even(list(counts.values()), rows), SAMPLE_EACH)

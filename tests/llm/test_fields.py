@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from odd_tables import no_docs, odd_docs, odd_rows, table  # noqa: F401
 
-from lapsewise.llm import langid, sampling, toxicity
+from lapsewise.llm import chain, langid, sampling, toxicity
 from lapsewise.llm.chain import SEQUENCE, Words, forward_backward
 
 
@@ -33,6 +33,24 @@ def test_forward_backward_is_exact():
     assert np.allclose(found, want, atol=1e-5) and np.allclose(pairs, want_pairs, atol=1e-4)
 
 
+def test_long_texts_are_one_chain(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcde") for _ in range(n)) for n in (0, 1, 2, 7, 8, 9, 15, 16, 17, 100, 1, 64)] + [None, "5"]
+    field = chain.Chain([0, 1, 2], np.zeros((chain.BUCKETS + 1, 3), np.float32), np.zeros((0, 3), np.float32), [], np.zeros(0, np.uint64), np.zeros(3, np.float32), np.zeros((3, 3), np.float32))
+    draw = np.random.default_rng(8)
+    scores = draw.normal(scale=3, size=(5, 3)).astype(np.float32)
+    field.transitions[...] = draw.normal(scale=3, size=(3, 3))
+    monkeypatch.setattr(chain.Chain, "_in_lists", lambda self, hashes: np.zeros((len(hashes), 0), np.float32))
+    monkeypatch.setattr(chain.Chain, "scores", lambda self, words: scores)
+    words = Words.of(pa.array(texts, pa.string()))
+    whole = field.marginals(words)
+    for size in (1, 2, 8, 50):
+        monkeypatch.setattr(chain, "SEQUENCE", size)
+        assert np.allclose(field.marginals(words), whole, atol=2e-5), size
+    monkeypatch.setattr(chain, "SEQUENCE", 10_000)
+    assert np.allclose(field.marginals(words), whole, atol=2e-5)
+
+
 def test_words_places_and_sequences():
     texts = ["Été, là!", None, "", "12 3", "x" + " y" * (2 * SEQUENCE)]
     words = Words.of(pa.array(texts, pa.string()))
