@@ -61,7 +61,11 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, ``row`` (its place in the files) and ``fp`` (the fingerprint as a signed long) of every row of ``docs``."""
+    """doc_id, ``row`` (its place in the files) and ``fp`` (the fingerprint as a signed long) of every row of ``docs``.
+
+    Null, empty and blank texts have fingerprint zero, equal texts equal ones; repeated rows are rows of their own; a null
+    doc_id stays null. An empty table gives no rows.
+    """
     shared.shipped(docs.sparkSession)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

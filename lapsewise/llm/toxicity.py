@@ -197,7 +197,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` with a score under 0.7, all columns as they were; texts are not shuffled."""
+    """The rows of ``docs`` with a score under 0.7, all columns as they were; texts are not shuffled.
+
+    Null and empty texts stay unless a text without toxic words is rejected; repeated rows stay or go together; without
+    a model all rows stay. An empty table stays empty.
+    """
     spark = docs.sparkSession
     shared.shipped(spark)
     handed = spark.sparkContext.broadcast(model)
