@@ -1,13 +1,19 @@
-"""Main text of web pages by template deduction: roles of elements that a host's pages share, and whether their text varies.
-
-A page is read as roles: the path of an element's block ancestors, each with those of its classes and ids that several
-pages of the host have. Roles that stand once on nearly every page that has them, on enough pages of the host, are its
-templates' skeleton, nested by their paths; a host may have several templates, and a page has the roles it has. What
-lies under a skeleton role and no deeper one is a slot. Text of rarer or repeated roles belongs to the slot around them.
-A page's article is what stands in its article elements; without one, all slots whose text is not the same on most
-pages of the host. Parts beside the article are told by name, unless they hold most of the text.
-
-Spark sums words, roles and slots; only what a template shares is gathered, as much as some pages have.
+"""Main text of web pages by template deduction: equivalence classes of the tokens that a host's pages share.
+
+Tokens are roles and words. A role is the path of an element's block ancestors, each with those of its classes and ids
+that several pages of the host have; a word outside of article elements is a token of the role around it. A token's
+occurrence vector holds how often each page of the host has it, and tokens of equal vectors are a class. A class is part
+of a template if enough pages have it and it is large or stands once on nearly every page that has it. Roles of such
+classes are the skeleton; as paths they are ordered and nested. Words of a class are template text where nearly all
+pages have them in one order, in one role that most pages with that role fill so.
+
+What lies under a skeleton role and no deeper one is a slot. A host may have several templates, and a page has the
+classes it has. Text of rarer or repeated roles belongs to the slot around them. A page's article is what stands in its
+article elements; without one, all slots that are not template text alone. Parts beside the article are told by name,
+unless they hold most of the text.
+
+Spark sums vectors, as hashes of page and count, groups tokens by them, and counts orders and slots; only what a
+template shares is gathered, as much as some pages have.
 """
 
 from __future__ import annotations
@@ -51,7 +57,9 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 SUPPORT = 0.05
 #: A role stands once if it does on this share of the pages that have it.
 ONCE = 0.9
-#: More than this share is most: of a slot's text in links, of pages with the same text, of a page's text in an element.
+#: A class is large with this many tokens.
+LARGE = 2
+#: More than this share is most: of a slot's text in links, of a role's pages with a word, of a page's text in an element.
 MOST = 0.5
 
 # a quote opens a value only after an equals sign; elsewhere it is a character like others
@@ -89,6 +97,25 @@ class Page:
     def counts(self) -> Counter:
         return Counter(r for r, t in zip(self.roles, self.tags, strict=True) if t not in TEXT)
 
+    def words(self) -> list[tuple[int, int]]:
+        """Words outside of article elements in page order, as hashes: of their role, and of role and word."""
+        inside = [False] * len(self.parents)
+        for k in range(1, len(inside)):
+            inside[k] = inside[self.parents[k]] or self.tags[k] in ARTICLE
+        out = []
+        for k, text, _ in self.blocks:
+            if not inside[k]:
+                role = self.around(k)
+                under = _digest(role)
+                out += [(under, _digest(f"{role}\n{word}")) for word in text.split()]
+        return out
+
+    def around(self, k: int) -> str:
+        """The role that the words of element ``k`` belong to: that of the nearest element which is no part of a text."""
+        while self.tags[k] in TEXT:
+            k = self.parents[k]
+        return self.roles[k]
+
     def beside(self, large: set[str]) -> list[bool]:
         """Which elements are, or lie in, something beside the article; a header is if it stands outside of articles.
 
@@ -112,8 +139,8 @@ class Page:
             out[k] = out[up] or tag in ASIDE or (tag == "header" and not inside[up]) or by_name
         return out
 
-    def slots(self, skeleton: set[str], repeated: set[str], large: set[str]) -> list[tuple[str, str, int]]:
-        """The blocks that are not beside the article, as slot, text and code points in links.
+    def slots(self, skeleton: set[str], repeated: set[str], large: set[str]) -> list[tuple[str, str, int, str]]:
+        """The blocks that are not beside the article, as slot, text, code points in links, and role of their words.
 
         An article that stands once on the page is a slot also if the host's pages seldom have it.
         """
@@ -123,7 +150,7 @@ class Page:
         of = [""] * len(self.parents)
         for k in range(1, len(of)):
             of[k] = self.roles[k] if self.tags[k] not in TEXT and self.roles[k] in bones else of[self.parents[k]]
-        return [(of[k], text, linked) for k, text, linked in self.blocks if not beside[k]]
+        return [(of[k], text, linked, self.around(k)) for k, text, linked in self.blocks if not beside[k]]
 
 
 def read_page(page: str, words: set[str] | None = None) -> Page:
@@ -215,29 +242,36 @@ def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def slot_texts(found: list[tuple[str, str, int]]) -> dict[str, tuple[int, int, int]]:
-    """Of each slot of a page: a hash of its text, code points and those in links."""
-    texts: dict[str, list[str]] = {}
+def slot_sizes(found: list[tuple[str, str, int, str]]) -> dict[str, tuple[int, int]]:
+    """Code points of each slot of a page, and those in links."""
     chars, links = Counter(), Counter()
-    for slot, text, linked in found:
-        texts.setdefault(slot, []).append(text)
+    for slot, text, linked, _ in found:
         chars[slot] += len(text)
         links[slot] += linked
-    return {s: (_digest("\n".join(t)), chars[s], links[s]) for s, t in texts.items()}
+    return {s: (n, links[s]) for s, n in chars.items()}
+
+
+def order_of(tokens: list[int]) -> int | None:
+    """The order of a class on a page: a hash of one round of its tokens, None if later rounds differ from the first."""
+    once = list(dict.fromkeys(tokens))
+    rounds, rest = divmod(len(tokens), len(once))
+    return None if rest or tokens != once * rounds else _digest(",".join(map(str, once)))
 
 
-def main_text(page: str, words: set, skeleton: set, repeated: set, large: set, common: dict[str, int], menus: set) -> str:
+def main_text(page: str, words: set, skeleton: set, repeated: set, large: set, template: set[int], menus: set) -> str:
     """The article's blocks in page order.
 
-    Without an article element these are the blocks of all slots whose text is not ``common`` to most pages and not a
-    menu, or that lie in such a slot.
+    Without an article element these are the blocks of all slots that have words not in ``template`` (hashes of role
+    and word) and are not menus, or that lie in such a slot.
     """
     found = read_page(page, words).slots(skeleton, repeated, large)
-    texts = slot_texts(found)
-    own = {s for s in texts if _in_article(s)}
-    own = own or {s for s, (digest, _, _) in texts.items() if common.get(s) != digest and s not in menus}
+    own = {slot for slot, _, _, _ in found if _in_article(slot)}
+    if not own:
+        for slot, text, _, role in found:
+            if slot not in own and slot not in menus and any(_digest(f"{role}\n{w}") not in template for w in text.split()):
+                own.add(slot)
     holders = tuple(f"{s}/" for s in own if s.rpartition("/")[2].partition(".")[0] not in FRAME - ARTICLE and s)
-    return "\n".join(text for slot, text, _ in found if slot in own or slot.startswith(holders))
+    return "\n".join(text for slot, text, _, _ in found if slot in own or slot.startswith(holders))
 
 
 def _host(url):
@@ -252,74 +286,116 @@ def _rows(batches: Iterator[pa.RecordBatch], rows_of, schema: pa.Schema) -> Iter
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def tokens_of(p: dict) -> list[tuple]:
+    """The tokens of a page (host, html, page, words): host, role (None for words), token and the role it stands in, as
+    hashes, how often it stands there, code points in a role and in the page, the page."""
+    page = read_page(p["html"], set(p["words"]))
+    inner = Counter()
+    for role, tag, n in zip(page.roles, page.tags, page.chars(), strict=True):
+        if tag not in TEXT:
+            inner[role] += n
+    out = [
+        (p["host"], r, _digest(r), _digest(r), n, min(inner[r], inner[""]), inner[""], p["page"]) for r, n in page.counts().items()
+    ]
+    return out + [(p["host"], None, word, under, n, 0, 0, p["page"]) for (under, word), n in Counter(page.words()).items()]
+
+
+def classes(tokens: DataFrame, all_pages: DataFrame) -> DataFrame:
+    """The tokens of ``tokens`` (as tokens_of gives them) that are in a class of a template, and roles that stand repeatedly.
+
+    host, role, token, under, n (pages that have it), ``once`` (it stands once on nearly all of them), chars, whole,
+    ``several`` (more than one different page has it), ``class`` (a hash of its vector) and ``size`` of the class.
+    ``all_pages`` has a row per host: host, ``all``.
+    """
+    # an entry of the vector as a hash; its halves are summed apart, so that no sum of longs overflows
+    entry = F.xxhash64("page", "count")
+    high, low = F.shiftrightunsigned(entry, 32), entry.bitwiseAND(F.lit(0xFFFFFFFF))
+    vectors = tokens.groupBy("host", "token", "under").agg(
+        F.max("role").alias("role"), F.count(F.lit(1)).alias("n"), F.sum((F.col("count") == 1).cast("long")).alias("ones"),
+        F.sum("chars").alias("chars"), F.sum("whole").alias("whole"), (F.min("page") != F.max("page")).alias("several"),
+        F.sum(high).alias("high"), F.sum(low).alias("low"),
+    )
+    enough = F.col("n") >= F.greatest(F.least(F.lit(2), F.col("all")), F.lit(SUPPORT) * F.col("all"))
+    known = vectors.join(all_pages, "host").where(enough)
+    known = known.withColumn("class", F.xxhash64("n", "high", "low")).withColumn("once", F.col("ones") >= F.lit(ONCE) * F.col("n"))
+    known = shared.stored(known.drop("ones", "high", "low", "all"))
+    sizes = known.groupBy("host", "class").agg(F.count(F.lit(1)).alias("size"))
+    known = known.join(sizes, ["host", "class"])
+    return known.where(F.col("role").isNotNull() | F.col("once") | (F.col("size") >= LARGE))
+
+
 def with_templates(pages: DataFrame) -> DataFrame:
     """``pages`` (host, html and others) with the templates of their hosts: ``words``, ``skeleton``, ``repeated``,
-    ``large``, ``common`` and ``menus``, as main_text takes them."""
-    spark = pages.sparkSession
-    slim = pages.select("host", "html")
-    enough = F.col("n") >= F.greatest(F.least(F.lit(2), F.col("all")), F.lit(SUPPORT) * F.col("all"))
+    ``large``, ``template`` and ``menus``, as main_text takes them."""
+    slim = pages.select("host", "html", F.xxhash64("html").alias("page"))
 
     # the empty word stands for the page itself
     words_schema = pa.schema([("host", pa.string()), ("word", pa.string())])
-    words = slim.mapInArrow(
+    words = slim.drop("page").mapInArrow(
         lambda batches: _rows(batches, lambda p: [(p["host"], w) for w in {"", *names_of(p["html"])}], words_schema),
         "host string, word string",
     )
     words = shared.stored(words.groupBy("host", "word").agg(F.count(F.lit(1)).alias("n")))
     whole = words.where("word = ''").select("host", F.col("n").alias("all"))
+    enough = F.col("n") >= F.greatest(F.least(F.lit(2), F.col("all")), F.lit(SUPPORT) * F.col("all"))
     of_host = words.join(whole, "host").groupBy("host").agg(
         F.max("all").alias("all"), F.collect_list(F.when(enough & (F.col("word") != ""), F.col("word"))).alias("words")
     )
     of_host = shared.stored(of_host)
 
-    roles_schema = pa.schema([("host", pa.string()), ("role", pa.string())] + [(c, pa.int64()) for c in ("once", "chars", "whole")])
-
-    def roles_of(p: dict) -> list[tuple]:
-        page = read_page(p["html"], set(p["words"]))
-        inner, counts = Counter(), page.counts()
-        for role, tag, n in zip(page.roles, page.tags, page.chars(), strict=True):
-            if tag not in TEXT:
-                inner[role] += n
-        return [(p["host"], r, int(n == 1), min(inner[r], inner[""]), inner[""]) for r, n in counts.items()]
-
-    roles = slim.join(of_host, "host").mapInArrow(
-        lambda batches: _rows(batches, roles_of, roles_schema), "host string, role string, once long, chars long, whole long"
+    longs = ("token", "under", "count", "chars", "whole", "page")
+    tokens_schema = pa.schema([("host", pa.string()), ("role", pa.string())] + [(c, pa.int64()) for c in longs])
+    tokens = slim.join(of_host.select("host", "words"), "host").mapInArrow(
+        lambda batches: _rows(batches, tokens_of, tokens_schema), "host string, role string, " + ", ".join(f"{c} long" for c in longs)
     )
-    roles = roles.groupBy("host", "role").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("once", "chars", "whole")])
-    known = roles.join(of_host.select("host", "all"), "host").where(enough)
-    once = F.col("once") >= F.lit(ONCE) * F.col("n")
-    framed = known.groupBy("host").agg(
-        F.collect_list(F.when(once, F.col("role"))).alias("skeleton"),
-        F.collect_list(F.when(~once, F.col("role"))).alias("repeated"),
+    known = shared.stored(classes(tokens, of_host.select("host", "all")))
+    roles = known.where("role is not null")
+    framed = roles.groupBy("host").agg(
+        F.collect_list(F.when(F.col("once"), F.col("role"))).alias("skeleton"),
+        F.collect_list(F.when(~F.col("once"), F.col("role"))).alias("repeated"),
         F.collect_list(F.when(F.col("chars") > F.lit(MOST) * F.col("whole"), F.col("role"))).alias("large"),
     )
-    framed = shared.stored(of_host.select("host", "words").join(framed, "host"))
+    # words on most pages of the role they stand in
+    filled = known.where("role is null and several").join(roles.select("host", "under", F.col("n").alias("of")), ["host", "under"])
+    filled = filled.where(F.col("n") > F.lit(MOST) * F.col("of")).select("host", "under", "class", "token")
+    candidates = filled.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("candidates"))
+    framed = shared.stored(of_host.select("host", "words").join(framed, "host").join(candidates, "host", "left"))
 
-    slots_schema = pa.schema([("host", pa.string()), ("slot", pa.string())] + [(c, pa.int64()) for c in ("text", "page", "chars", "links")])
+    longs = ("under", "class", "order", "page", "chars", "links")
+    found_schema = pa.schema([("host", pa.string()), ("slot", pa.string())] + [(c, pa.int64()) for c in longs])
 
-    def slots_of(p: dict) -> list[tuple]:
+    def found_of(p: dict) -> list[tuple]:
+        """A row per slot of a page, and one per class of words and role with their order there."""
         page = read_page(p["html"], set(p["words"]))
-        texts = slot_texts(page.slots(set(p["skeleton"]), set(p["repeated"]), set(p["large"])))
-        same = _digest("\n".join(text for _, text, _ in page.blocks))
-        return [(p["host"], s, text, same, chars, links) for s, (text, chars, links) in texts.items() if not _in_article(s)]
-
-    slots = slim.join(framed, "host").mapInArrow(
-        lambda batches: _rows(batches, slots_of, slots_schema), "host string, slot string, text long, page long, chars long, links long"
+        sizes = slot_sizes(page.slots(set(p["skeleton"]), set(p["repeated"]), set(p["large"])))
+        out = [(p["host"], s, None, None, None, p["page"], n, links) for s, (n, links) in sizes.items() if not _in_article(s)]
+        of = {c["token"]: c["class"] for c in p["candidates"] or ()}
+        met: dict[tuple[int, int], list[int]] = {}
+        for under, word in page.words() if of else ():
+            if word in of:
+                met.setdefault((under, of[word]), []).append(word)
+        return out + [(p["host"], None, under, c, order_of(words), None, None, None) for (under, c), words in met.items()]
+
+    found = slim.join(framed, "host").mapInArrow(
+        lambda batches: _rows(batches, found_of, found_schema), "host string, slot string, " + ", ".join(f"{c} long" for c in longs)
+    )
+    # one sum for both: copies of a page are one page to slots, and pages of their own to orders
+    found = found.groupBy("host", "slot", "under", "class", "order", "page").agg(
+        F.count(F.lit(1)).alias("n"), F.max("chars").alias("chars"), F.max("links").alias("links")
     )
-    # copies of a page are one page here
-    slots = slots.groupBy("host", "slot", "text", "page").agg(F.max("chars").alias("chars"), F.max("links").alias("links"))
-    texts = slots.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    judged = texts.groupBy("host", "slot").agg(
-        F.max(F.struct("n", "text")).alias("most"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
+    found = shared.stored(found)
+    orders = found.where("slot is null").groupBy("host", "under", "class").agg(
+        F.sum("n").alias("n"), F.max(F.when(F.col("order").isNotNull(), F.col("n"))).alias("most")
     )
-    same = (F.col("most.n") >= 2) & (F.col("most.n") > F.lit(MOST) * F.col("n"))
-    menu = (F.col("n") == 1) & (F.col("links") > F.lit(MOST) * F.col("chars"))
-    # a slot without either is as good as none
-    judged = judged.where(same | menu).groupBy("host").agg(
-        F.collect_list(F.when(same, F.struct("slot", F.col("most.text").alias("text")))).alias("common"),
-        F.collect_list(F.when(menu, F.col("slot"))).alias("menus"),
+    valid = orders.where(F.col("most") >= F.lit(ONCE) * F.col("n")).select("host", "under", "class")
+    template = filled.join(valid, ["host", "under", "class"]).groupBy("host").agg(F.collect_list("token").alias("template"))
+    slots = found.where("slot is not null").groupBy("host", "slot").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
     )
-    return pages.join(shared.stored(framed.join(judged, "host", "left")), "host")
+    menus = slots.where((F.col("n") == 1) & (F.col("links") > F.lit(MOST) * F.col("chars")))
+    menus = menus.groupBy("host").agg(F.collect_list("slot").alias("menus"))
+    framed = framed.drop("candidates").join(template, "host", "left").join(menus, "host", "left")
+    return pages.join(shared.stored(framed), "host")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -331,18 +407,15 @@ def extract(pages: DataFrame) -> DataFrame:
     are not read. An empty table gives no rows. Pages are read whole.
     """
     shared.shipped(pages.sparkSession)
+    parts = ("words", "skeleton", "repeated", "large", "template", "menus")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 found = [
-                    main_text(
-                        p["html"], *(set(p[c]) for c in ("words", "skeleton", "repeated", "large")),
-                        {c["slot"]: c["text"] for c in p["common"] or ()}, set(p["menus"] or ()),
-                    )
-                    for p in part.drop_columns(["page_id", "url"]).to_pylist()
-                ]
+                    main_text(p["html"], *(set(p[c] or ()) for c in parts)) for p in part.drop_columns(["page_id", "url"]).to_pylist()
+                ]
                 yield pa.record_batch(
                     [part.column(0), part.column(1), pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())],
                     names=["page_id", "url", "text", "n_chars"],
@@ -354,5 +427,5 @@ def extract(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
         _host(F.col("url").cast("string")).alias("host"),
     )
-    joined = with_templates(slim).select("page_id", "url", "html", "words", "skeleton", "repeated", "large", "common", "menus")
+    joined = with_templates(slim).select("page_id", "url", "html", *parts)
     return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long")

@@ -120,7 +120,7 @@ def test_small_parts_and_linked_references(spark):
 
 def test_stray_quotes_and_odd_tags_leave_no_markup(spark):
     body = '<article><p class="a"">one</p><p title=\'x>y\'>two</p><p data-x=a"b>three</p><p class="open>four</p><p title="">five</p><title-bar>six</title-bar></article>'
-    found = {extract.main_text(body, set(), set(), set(), set(), {}, set())}
+    found = {extract.main_text(body, set(), set(), set(), set(), set(), set())}
     (text,) = found
     assert text.split("\n")[:3] == ["one", "two", "three"] and "<" not in text and ">" not in text and text.endswith("six")
 
@@ -130,3 +130,64 @@ def test_ids_made_from_headings_stay_in_the_article(spark):
     pages = spark.createDataFrame([(k, f"https://h.example/{k}", page.format(f"number{k}")) for k in range(6)], "page_id long, url string, html string")
     for r in extract.extract(pages).collect():
         assert r.text == f"Social life\nText number{r.page_id} of the article.\nRelated work\nMore number{r.page_id} text."
+
+
+def brute_classes(pages):
+    """Tokens of one host by their whole occurrence vectors, as dictionaries, in plain Python."""
+    parsed = [extract.read_page(html, set()) for html in pages]
+    vectors = {}
+    for k, page in enumerate(parsed):
+        for role, n in page.counts().items():
+            vectors.setdefault(extract._digest(role), {})[k] = n
+        for _, word in page.words():
+            vectors.setdefault(word, {}).setdefault(k, 0)
+            vectors[word][k] += 1
+    support = max(min(2, len(pages)), extract.SUPPORT * len(pages))
+    groups = {}
+    for token, vector in vectors.items():
+        if len(vector) >= support:
+            groups.setdefault(tuple(sorted(vector.items())), set()).add(token)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_classes_are_those_of_whole_vectors(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(12)]
+    pages = []
+    for k in range(25):
+        text = " ".join(rng.choices(words, k=rng.randint(0, 9)))
+        items = "<li>item" * rng.randint(0, 3)
+        pages.append(f"<body><div>Site of ours {k % 2}</div><ul>{items}</ul>" + f"<section><p>{text}</section>" * rng.randint(0, 2) + "</body>")
+    tokens = [row for html in pages for row in extract.tokens_of({"host": "h", "html": html, "words": [], "page": extract._digest(html)})]
+    schema = "host string, role string, token long, under long, count long, chars long, whole long, page long"
+    all_pages = spark.createDataFrame([("h", len(pages))], "host string, all long")
+    found = {}
+    for r in extract.classes(spark.createDataFrame(tokens, schema), all_pages).collect():
+        found.setdefault(r["class"], set()).add(r.token)
+        assert r.size >= len(found[r["class"]])
+    want = brute_classes(pages)
+    large = {g for g in want if len(g) >= extract.LARGE}
+    assert large <= {frozenset(g) for g in found.values()} and all(frozenset(g) in want for g in found.values())
+    assert len(large) >= 1
+
+
+def test_words_without_one_order_are_no_template(spark):
+    words = ["alpha", "beta", "gamma", "delta"]
+    mixed, fixed = [], []
+    for k in range(12):
+        turned = words[k % 4 :] + words[: k % 4]
+        mixed.append(f"<body><div class='a'>{' '.join(turned)}</div></body>")
+        fixed.append(f"<body><div class='a'>{' '.join(words)} <b>or</b> {' '.join(words)}</div><div class='b'>Own{k}</div></body>")
+    assert texts_of(spark, mixed) == {k: " ".join(words[k % 4 :] + words[: k % 4]) for k in range(12)}
+    assert texts_of(spark, fixed) == {k: f"Own{k}" for k in range(12)}
+
+
+@pytest.mark.parametrize("tokens, same", [([1, 2, 3], True), ([1, 2, 1, 2], True), ([1, 2, 2, 1], False), ([1, 1, 2], False)])
+def test_order_of_a_class(tokens, same):
+    assert (extract.order_of(tokens) is not None) == same
+
+
+def test_template_text_that_differs_on_a_page_stays_there(spark):
+    pages = [f"<body><div class='top'>Site of ours</div><div class='text'>Own{k} words</div></body>" for k in range(9)]
+    pages.append("<body><div class='top'>Site under repair</div><div class='text'>Own9 words</div></body>")
+    assert texts_of(spark, pages) == {**{k: f"Own{k} words" for k in range(9)}, 9: "Site under repair\nOwn9 words"}
