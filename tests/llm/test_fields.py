@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -167,3 +168,65 @@ def test_toxicity_without_labels_keeps_all(spark, odd_docs, no_docs):
     kept = toxicity.without_toxic(odd_docs, None)
     assert kept.schema == odd_docs.schema and kept.count() == len(odd_rows())
     assert toxicity.score(no_docs, None).count() == 0
+
+
+def test_words_are_counted_over_all_labelled_rows(spark, rude, odd_docs):
+    rows, labels = rude
+    # copies and a row without a label count no further; a long text counts whole
+    long = " ".join(["kalo"] * 9000 + ["lomi", "endwort"])
+    more = [(2000 + k, rows[0][1], "aa", None) for k in range(50)] + [(3000, "endwort", None, None), (3002, long, None, None), (3003, None, None, None), (None, "bar", None, None)]
+    marked = labels + [(d, 0, 1) for d, *_ in more if d != 3000] + [(0, 0, None), (0, 0, labels[0][2])]
+    docs = table(spark, rows + more, clashing=True)
+    held = {r.doc_id for r in docs.where(sampling.held_out(docs.doc_id)).collect()}
+    toxic = {}
+    for d, _, t in marked:
+        if d is not None and t is not None and d not in held:
+            toxic[d] = max(t, toxic.get(d, 0))
+    texts = sorted((d, t) for d, t, *_ in rows + more if d in toxic and t is not None)
+    seen, want, size = set(), {}, [0, 0]
+    for d, t in texts:
+        if t in seen:
+            continue
+        seen.add(t)
+        size[toxic[d]] += 1
+        for w in set(re.findall(r"[^\W\d_]+", t.lower())):
+            want.setdefault(w, [0, 0])[toxic[d]] += 1
+    kinds = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    counts, of_rows = toxicity._counts(docs, kinds)
+    assert of_rows.sum(1).tolist() == size
+    spelled = Words.of(pa.array([" ".join(want)], pa.string()))
+    names = [bytes(spelled.spelled[a:b]).decode() for a, b in itertools.pairwise(spelled.spelled_at)]
+    of_hash = dict(zip(spelled.hashes().view(np.int64).tolist(), names, strict=True))
+    got = {of_hash[r.word]: [r.n00 + r.n01, r.n10 + r.n11] for r in counts.collect()}
+    assert got == want and "endwort" in got
+    told = {of_hash[h] for h in toxicity._telling(counts, of_rows, [0, 1]).view(np.int64).tolist()}
+    assert {"foo", "bar", "baz"} <= told <= {"foo", "bar", "baz"} | {w for w, (a, b) in want.items() if a > 5 and not b}
+    assert len(toxicity._telling(counts, of_rows, [0, 1], most=2)) == 2
+    kinds = kinds.withColumn("toxic", kinds.toxic * 0)
+    assert len(toxicity._telling(*toxicity._counts(odd_docs, kinds), [0, 1])) == 0
+
+
+def test_a_word_that_the_sample_misses_is_told(spark, rude):
+    rows, labels = rude
+    rng = random.Random(12)
+    # one toxic row in ten has the word; the sample of 30 toxic rows has it about three times, all rows have it often enough
+    more = [(5000 + k, speech(rng, "aa", 12) + (" rarum" if k % 10 == 0 else " foo"), None, None) for k in range(600)]
+    docs = table(spark, rows + more)
+    marked = spark.createDataFrame(labels + [(d, 0, 1) for d, *_ in more], LABELS)
+    model = toxicity.fit(docs, marked, toxic=30, clean=60)
+    new = table(spark, [(1, speech(rng, "bb", 20) + " rarum", None, None), (2, speech(rng, "bb", 20), None, None)])
+    found = {r.doc_id: r for r in toxicity.score(new, model).collect()}
+    assert found[1].score > found[2].score and found[2].predicted == 0
+
+
+def test_document_weights_are_the_best_ones():
+    rng = np.random.default_rng(3)
+    # most rows with label 1, measures nearly constant where nothing is found: full steps would swing
+    y = np.repeat([1, 1, 0], [25, 6, 60])
+    x = np.stack([np.where(np.arange(91) < 25, 1.5, -2.75) + rng.normal(scale=0.01, size=91), np.where(np.arange(91) < 25, 0.7, 0), np.ones(91)], 1)
+    weight = np.where(y == 1, 14.6, 3.4)
+    w = toxicity._logistic(x, y, weight)
+    p = 1 / (1 + np.exp(-x @ w))
+    assert np.abs(x.T @ (weight * (y - p)) - np.array([0.1, 0.1, 1e-6]) * w).max() < 1e-3
+    # where nothing is found, the share of label 1 by weight
+    assert abs(p[y == 0].mean() - 6 * 14.6 / (6 * 14.6 + 60 * 3.4)) < 0.02
