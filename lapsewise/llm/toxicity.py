@@ -59,15 +59,13 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     texts = texts.where(F.col("text").isNotNull() & (F.length("text") <= chars))
     # the sample is bounded by its parameters, so it is small enough to be sent to all
     sample = sorted(tuple(r) for r in texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect())
-    least = _least(pa.array([t for _, t, _ in sample], pa.string()))
-    new = _unlike(least)
-    sample, least = [s for s, n in zip(sample, new, strict=True) if n], least[new]
+    sample = [s for s, new in zip(sample, _unlike([t for _, t, _ in sample]), strict=True) if new]
     truth = np.array([t for _, _, t in sample], np.int64)
     if not 0 < truth.sum() < len(truth):
         return None
     counts, rows = _counts(docs, marked)
     # each half is measured by a field and by words of the other half, so that the scores hold for texts not learned from
-    half = (least[:, 0] & np.uint64(1)).astype(np.int64)
+    half = (_least(pa.array([t for _, t, _ in sample], pa.string()))[:, 0] & np.uint64(1)).astype(np.int64)
     measures = np.zeros((len(truth), 5))
     for k in (0, 1):
         if (half == k).any():
@@ -101,13 +99,13 @@ def _least(column: pa.Array) -> np.ndarray:
     return least
 
 
-def _unlike(least: np.ndarray) -> np.ndarray:
-    """Which texts of the sample share none of their smallest shingles with a text before them."""
-    kept = np.ones(len(least), bool)
+def _unlike(texts: list[str | None]) -> list[bool]:
+    """Which texts of the sample share none of their smallest shingles with a text before them; without words none does."""
+    kept = []
     seen: set = set()
-    for i, row in enumerate(least.tolist()):
-        own = set(enumerate(row))
-        kept[i] = not own & seen
+    for row in _least(pa.array(texts, pa.string())).tolist():
+        own = set(enumerate(row)) if any(row) else set()
+        kept.append(not own & seen)
         seen |= own
     return kept
 
@@ -115,14 +113,16 @@ def _unlike(least: np.ndarray) -> np.ndarray:
 def _labelled(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """Place, label and half of each labelled row of ``docs``, of those that share a smallest shingle only the first.
 
-    The half is drawn by a text's shingles, so that copies are in one.
+    The half is drawn by a text's shingles, so that copies are in one. Texts without words share nothing.
     """
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in spans.chunks(batch, 3):
                 least = _least(part.column(3)).view(np.int64)
-                lists = pa.ListArray.from_arrays(np.arange(0, least.size + 1, ORDERS, dtype=np.int32), pa.array(least.ravel()))
+                has = least.any(1)
+                ends = np.concatenate([[0], np.cumsum(has * ORDERS)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(least[has].ravel()))
                 yield pa.record_batch([*part.columns[:3], lists], names=["file", "at", "doc_id", "least"])
 
     slim = docs.select(shared.place(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -134,7 +134,7 @@ def _labelled(docs: DataFrame, marked: DataFrame) -> DataFrame:
     firsts = keys.groupBy("nth", "key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = keys.join(firsts, ["nth", "key"]).where(F.col("row") > F.col("first")).select("row.*").distinct()
     kept = found.join(later, ["doc_id", "file", "at"], "left_anti")
-    return kept.select("file", "at", "toxic", F.get("least", F.lit(0)).bitwiseAND(F.lit(1)).cast("int").alias("half"))
+    return kept.select("file", "at", "toxic", F.coalesce(F.get("least", F.lit(0)).bitwiseAND(F.lit(1)), F.lit(0)).cast("int").alias("half"))
 
 
 def _counts(docs: DataFrame, marked: DataFrame) -> tuple[DataFrame, np.ndarray]:

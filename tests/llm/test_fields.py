@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -206,6 +207,16 @@ def test_words_are_counted_over_all_labelled_rows(spark, rude, odd_docs):
     assert len(toxicity._telling(*toxicity._counts(odd_docs, kinds), [0, 1])) == 0
 
 
+def test_texts_without_words_are_no_copies(spark):
+    texts = ["", " ", "", "foo bar", "foo bar", None]
+    kept = [k for k in range(100) if zlib.crc32(str(k).encode()) % 3 != 1][: len(texts)]
+    docs = table(spark, [(d, t, None, None) for d, t in zip(kept, texts, strict=True)])
+    kinds = spark.createDataFrame([(d, k % 2) for k, d in enumerate(kept)], "doc_id long, toxic int")
+    counts, of_rows = toxicity._counts(docs, kinds)
+    assert of_rows.sum(1).tolist() == [2, 2]
+    assert sorted((r.n00 + r.n01, r.n10 + r.n11) for r in counts.collect()) == [(0, 1), (0, 1)]
+
+
 def test_a_word_that_the_sample_misses_is_told(spark, rude):
     rows, labels = rude
     rng = random.Random(12)
